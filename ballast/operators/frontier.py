@@ -67,8 +67,8 @@ def expand_frontier(
     ``pages`` holds one row per instance with a short list of items. Each item gives two
     children, one with the greedy decision and one against it (an item is only put in if
     it fits); they are bounded, and those that can still beat ``best`` (instance, best) go
-    on to the next item. Nodes of instances without a page are complete and leave the
-    frontier. ``hot`` names instances with very many nodes, see
+    on to the next item. Nodes that have decided the last item are ``complete``; instances
+    without a page leave the frontier. ``hot`` names instances with very many nodes, see
     :func:`ballast.plans.skew.hot_keys`.
 
     One join; the levels are a fold inside the joined row, whose size the page bounds.
@@ -77,11 +77,11 @@ def expand_frontier(
         page = pages.withColumn("best", F.lit(-1).cast("bigint"))
     else:
         page = pages.join(best, INSTANCE)
-    page = page.select(INSTANCE, "budget", "crit_weight", "crit_value", "best", "items")
+    page = page.select(INSTANCE, "budget", "crit_weight", "crit_value", "best", "last", "items")
     rows = join_by_key(nodes, page, INSTANCE, hot).where("bound is null or bound > best")
     return rows.selectExpr(
-        INSTANCE, "cast(depth + size(items) as int) as depth", "best", f"inline({_DESCENDANTS})"
-    ).select(*NODE_COLUMNS, "best")
+        INSTANCE, "cast(depth + size(items) as int) as depth", "best", "last as complete", f"inline({_DESCENDANTS})"
+    ).select(*NODE_COLUMNS, "best", "complete")
 
 
 def prune_frontier(nodes: DataFrame, incumbent: DataFrame, hot: DataFrame | None = None) -> DataFrame:
@@ -103,6 +103,10 @@ def keep_dominant(nodes: DataFrame) -> DataFrame:
     """
     return (
         nodes.groupBy(INSTANCE, "depth", "weight")
-        .agg(F.expr("max(struct(value, bound, flips)) as kept"), F.max("best").alias("best"))
-        .selectExpr(INSTANCE, "depth", "weight", "kept.value", "kept.bound", "kept.flips", "best")
+        .agg(
+            F.expr("max(struct(value, bound, flips)) as kept"),
+            F.expr("max(best) as best"),
+            F.expr("max(complete) as complete"),
+        )
+        .selectExpr(INSTANCE, "depth", "weight", "kept.value", "kept.bound", "kept.flips", "best", "complete")
     )

@@ -80,6 +80,7 @@ def rank_items(items: DataFrame, instances: DataFrame, sense: str = "max") -> Ra
         .selectExpr("*", f"{budget} as budget")
         .selectExpr("*", "case when n_bad > 0 or capacity is null then 'error' when budget < 0 then 'infeasible' end as status")
     )
+    heads = materialize(heads, "heads")
     context = blocks.select(INSTANCE, BLOCK, "weight_before", "value_before").join(
         heads.where("status is null").select(INSTANCE, "budget"), INSTANCE
     )
@@ -99,7 +100,7 @@ def rank_items(items: DataFrame, instances: DataFrame, sense: str = "max") -> Ra
         "item_id as crit_item",
     )
     # Without a critical item everything fits: weight has no price.
-    heads = heads.join(critical, INSTANCE, "left").selectExpr(
+    lines = heads.join(critical, INSTANCE, "left").selectExpr(
         *heads.columns,
         "coalesce(base_weight, total_weight) as base_weight",
         "coalesce(base_value, total_value) as base_value",
@@ -107,7 +108,7 @@ def rank_items(items: DataFrame, instances: DataFrame, sense: str = "max") -> Ra
         "coalesce(crit_value, 0L) as crit_value",
         "crit_item",
     )
-    return Ranked(placed, materialize(heads, "heads"), blocks.select(INSTANCE, BLOCK))
+    return Ranked(placed, lines, blocks.select(INSTANCE, BLOCK))
 
 
 def greedy_solutions(ranked: Ranked, core: DataFrame | None = None) -> DataFrame:
@@ -134,7 +135,7 @@ def greedy_solutions(ranked: Ranked, core: DataFrame | None = None) -> DataFrame
 
 @dataclass
 class SearchSpace:
-    """``pages``: core items by (instance, page); ``roots``: one row per instance with a core,
+    """``pages``: core items by (instance, page), ``last`` marking the final page; ``roots``: one row per instance with a core,
     holding its greedy choice; ``start``: first solution of every searchable instance."""
 
     pages: DataFrame
@@ -173,7 +174,7 @@ def search_space(ranked: Ranked, page_size: int, reduce: bool = True) -> SearchS
     addable = F.expr("if(greedy, 0L, value)")
     totals = {"position": F.expr("1L"), "addable": addable}
     blocks = block_totals(core, [INSTANCE], totals)
-    whole = blocks.groupBy(INSTANCE).agg(F.sum("addable").alias("addable_in_core"))
+    whole = blocks.groupBy(INSTANCE).agg(F.expr("sum(position) as n_core"), F.expr("sum(addable) as addable_in_core"))
     context = blocks.drop(*totals).join(whole, INSTANCE)
     rows = running_totals(core, [INSTANCE], _order(), totals, context)
     item = """struct(position_before as position, item_id, weight, value, greedy,
@@ -181,7 +182,7 @@ def search_space(ranked: Ranked, page_size: int, reduce: bool = True) -> SearchS
     pages = (
         rows.selectExpr("*", f"cast(position_before div {page_size} as int) as page", f"{item} as item")
         .groupBy(INSTANCE, "page", "budget", "crit_weight", "crit_value")
-        .agg(F.expr("sort_array(collect_list(item)) as items"))
+        .agg(F.expr("sort_array(collect_list(item)) as items"), F.expr("max(position_before + 1 = n_core) as last"))
         .selectExpr("*", f"least(page, {PAGE_FOLDERS - 1}) as page_folder")
     )
     spark = pages.sparkSession

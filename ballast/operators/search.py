@@ -81,7 +81,8 @@ def select_best_subset(
         children = expand_frontier(nodes.drop("best"), space.page(number), best, hot)
         if dominance:
             children = keep_dominant(children)
-        return children.select(*NODE_COLUMNS, "best", F.lit(True).alias("open")).unionByName(better)
+        # A complete node has beaten the best known choice: it is emitted as one.
+        return children.selectExpr(*NODE_COLUMNS, "best", "not complete as open").unionByName(better)
 
     loop = iterate_until_empty(seed, step, max_rounds=0 if halted else max_rounds, label="nodes")
     stop_reason = "halted" if halted else loop.stop_reason

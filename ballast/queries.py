@@ -24,7 +24,7 @@ def _flip_list(flips: str) -> str:
 
 
 def _customers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    items = views.customer_items(spark, folder)
+    items = materialize(views.customer_items(spark, folder), "orders")
     return items, views.half_capacity(items)
 
 
@@ -46,8 +46,8 @@ def _two_levels(spark: SparkSession, folder: str) -> tuple[DataFrame, ranking.Ra
     space = ranking.search_space(ranked, page_size=1, reduce=False)
     roots = frontier.seed_frontier(space.roots, 1, weight="base_weight", value="base_value")
     first = materialize(frontier.expand_frontier(roots.withColumn("bound", F.lit(None).cast("bigint")), space.page(0)), "first")
-    second = frontier.expand_frontier(first.drop("best"), space.page(1))
-    return first.unionByName(second).drop("best"), ranked
+    second = frontier.expand_frontier(first.drop("best", "complete"), space.page(1))
+    return first.unionByName(second).drop("best", "complete"), ranked
 
 
 def expand_frontier(spark: SparkSession, folder: str) -> DataFrame:
