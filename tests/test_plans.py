@@ -1,0 +1,101 @@
+"""Shape of the physical plans, and the helpers they rest on."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ballast import apportion_budget, merge_incumbent
+from ballast.operators.frontier import expand_frontier, keep_dominant
+from ballast.plans.blocks import range_blocks, running_totals
+from ballast.plans.firsts import first_k
+from ballast.plans.scratch import drop_folder, scratch_root
+from ballast.plans.skew import hot_keys, join_by_key
+from ballast.sources import views
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    draw = random.Random(1)
+    rows = [(1 if draw.random() < 0.4 else draw.randint(2, 60), i, draw.randint(0, 9)) for i in range(3000)]
+    return spark.createDataFrame(rows, "key BIGINT, id BIGINT, x BIGINT")
+
+
+def test_running_totals_equal_a_window(spark, many_blocks, skewed):
+    order = [F.col("x").desc(), F.col("id")]
+    blocked = range_blocks(skewed, ["key"], order, "test")
+    assert blocked.where("key = 1").select("block").distinct().count() > 1
+    got = running_totals(blocked, ["key"], order, {"s": F.col("x"), "n": F.lit(1).cast("bigint")})
+    window = Window.partitionBy("key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    expected = skewed.select("*", F.coalesce(F.sum("x").over(window), F.lit(0)), F.count("*").over(window))
+    assert sorted(map(tuple, got.select("key", "id", "x", "s_before", "n_before").collect())) == sorted(
+        map(tuple, expected.collect())
+    )
+
+
+def test_running_totals_over_the_whole_table(spark, many_blocks, skewed):
+    blocked = range_blocks(skewed, [], [F.col("id")], "test")
+    got = running_totals(blocked, [], [F.col("id")], {"n": F.lit(1).cast("bigint")})
+    assert sorted((r.id, r.n_before) for r in got.collect()) == [(i, i) for i in range(3000)]
+
+
+def test_hot_keys_are_few_and_join_by_broadcast(spark, skewed):
+    names = skewed.select("key").distinct().withColumn("name", F.concat(F.lit("k"), "key"))
+    hot = hot_keys(skewed, "key", 3000, hot_rows=500)
+    assert [r.key for r in hot.collect()] == [1]
+    assert hot_keys(skewed, "key", 3000, hot_rows=3000) is None
+    joined = join_by_key(skewed, names, "key", hot)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, skewed.join(names, "key").collect()))
+
+
+@pytest.mark.parametrize("k", [3, 1200])
+def test_first_k(spark, skewed, k):
+    got = first_k(skewed, ["key"], ["x", "id"], k)
+    window = Window.partitionBy("key").orderBy("x", "id")
+    expected = skewed.withColumn("p", F.row_number().over(window)).where(F.col("p") <= k).drop("p")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_budget_trims_groups_before_the_shuffle(spark, data):
+    plan = plan_of(apportion_budget(views.customer_trees(spark, data), 600))
+    partial = plan.split("WindowGroupLimit")
+    assert len(partial) > 2 and "Partial" in plan and "Python" not in plan
+
+
+def test_merge_combines_before_its_only_shuffle(spark, data):
+    plan = plan_of(merge_incumbent(views.order_solutions(spark, data), "key"))
+    assert plan.count("Exchange") == 1 and "partial_min" in plan
+
+
+def test_round_has_no_python_and_no_cross_join(spark, many_blocks):
+    nodes = spark.createDataFrame(
+        [], "instance_id BIGINT, depth INT, weight BIGINT, value BIGINT, bound BIGINT, flips ARRAY<BIGINT>"
+    )
+    item = "item_id: BIGINT, weight: BIGINT, value: BIGINT, greedy: BOOLEAN, addable_after: BIGINT"
+    pages = spark.createDataFrame(
+        [],
+        f"instance_id BIGINT, budget BIGINT, crit_weight BIGINT, crit_value BIGINT, last BOOLEAN, items ARRAY<STRUCT<{item}>>",
+    )
+    best = spark.createDataFrame([], "instance_id BIGINT, best BIGINT")
+    plan = keep_dominant(expand_frontier(nodes, pages, best))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    for word in ("Python", "Pandas", "Window", "Cartesian", "Cross"):
+        assert word not in text
+
+
+def test_views_read_only_their_columns(spark, data):
+    plan = plan_of(views.supplier_work(spark, data)[0])
+    assert "EqualTo(l_quantity,50.0)" in plan and "l_extendedprice" not in plan
+
+
+def test_only_own_folders_are_dropped(spark, tmp_path):
+    assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    with pytest.raises(ValueError):
+        drop_folder(spark, str(tmp_path))
