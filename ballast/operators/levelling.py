@@ -121,18 +121,28 @@ def _kth_slot(counts: DataFrame, k: int):
     return inside.withColumn("place", place).where(F.col("place") == k - block["rank_before"]).first()["slot"]
 
 
-def pick_to_move(nodes: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
+def _hot_slots(plan: DataFrame, size: str, hot_rows: int) -> DataFrame | None:
+    """Slots whose ``size`` calls for a broadcast join; never more than MAX_HOT_KEYS."""
+    total = plan.agg(F.expr(f"sum({size}) as total")).first()["total"] or 0
+    limit = max(hot_rows, total // MAX_HOT_KEYS)
+    return plan.where(f"{size} > {limit}").select("slot") if total > limit else None
+
+
+def pick_to_move(nodes: DataFrame, plan: DataFrame, seed: int = SEED, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exactly ``-delta`` nodes of every giving slot: (slot, tree_id, node_id, rank).
 
-    The order is pseudo-random but fixed by the seed: by MD5 of seed, tree and node.
+    The order is pseudo-random but fixed by the seed: by MD5 of seed, tree and node. Only
+    the nodes of giving slots are put in order.
     """
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), "tree_id", "node_id"))
+    plan = plan.where("delta < 0").selectExpr("slot", "n", "-delta as gives")
+    hot = _hot_slots(plan, "n", hot_rows)
+    lot = F.md5(F.concat_ws("|", F.lit(str(seed)), "tree_id", "node_id")).alias("lot")
+    giving = join_by_key(nodes.select(*NODE, lot), plan.select("slot"), "slot", hot)
     order = [F.col("lot"), F.col("tree_id"), F.col("node_id")]
-    blocked = range_blocks(nodes.select(*NODE, key.alias("lot")), ["slot"], order, "lots")
-    one = {"rank": F.lit(1).cast("bigint")}
-    gives = plan.where("delta < 0").select("slot", (-F.col("delta")).alias("gives"))
+    blocked = range_blocks(giving, ["slot"], order, "lots")
+    one = {"rank": F.expr("1L")}
     # Blocks that start behind the last node to give are never read in order.
-    context = block_totals(blocked, ["slot"], one).join(gives, "slot").where("rank_before < gives")
+    context = block_totals(blocked, ["slot"], one).join(plan, "slot").where("rank_before < gives")
     ranked = running_totals(blocked, ["slot"], order, one, context.select("slot", BLOCK, "rank_before", "gives"))
     return ranked.withColumn("rank", F.col("rank_before") + 1).where("rank <= gives").select(*NODE, "rank")
 
@@ -164,9 +174,7 @@ def assign_destinations(picked: DataFrame, plan: DataFrame, hot_rows: int = HOT_
     numbered = running_totals(moves, [], [F.col("slot")], sides)
 
     # One slot may give nearly everything that moves.
-    total = plan.agg(F.sum(F.greatest(F.col("delta"), F.lit(0))).alias("d")).first()["d"] or 0
-    limit = max(hot_rows, total // MAX_HOT_KEYS)
-    hot = plan.where(F.col("delta") < -limit).select("slot") if total > limit else None
+    hot = _hot_slots(plan.where("delta < 0"), "-delta", hot_rows)
     givers = numbered.where("delta < 0").select("slot", "given_before")
     moving = join_by_key(picked, givers, "slot", hot)
     moving = moving.withColumn("place", F.col("given_before") + F.col("rank") - 1).drop("given_before", "rank")

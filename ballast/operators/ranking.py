@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ballast.functions.bounds import flip_can_win
 from ballast.functions.status import check_sense
 from ballast.plans.blocks import BLOCK, block_totals, range_blocks, running_totals
-from ballast.plans.scratch import materialize, new_folder
+from ballast.plans.scratch import materialize, new_folder, release
 
 INSTANCE = "instance_id"
 
@@ -90,6 +90,7 @@ def rank_items(items: DataFrame, instances: DataFrame, sense: str = "max") -> Ra
     placed = placed.selectExpr("*", "weight_before + weight <= budget as greedy")
     placed = placed.selectExpr("*", "not greedy and weight_before <= budget as critical").drop("budget")
     placed = materialize(placed, "ranked")
+    release(ordered)
 
     critical = placed.where("critical").selectExpr(
         INSTANCE,
@@ -164,10 +165,10 @@ def search_space(ranked: Ranked, page_size: int, reduce: bool = True) -> SearchS
     )
     if reduce:
         # Any item whose flip improves on the greedy choice passes this first test.
-        core = materialize(core.where(flip_can_win("base_value")), "core")
-        start = materialize(greedy_solutions(ranked, core), "start")
+        candidates = materialize(core.where(flip_can_win("base_value")), "candidates")
+        start = materialize(greedy_solutions(ranked, candidates), "start")
         best = ranked.blocks.join(start.selectExpr(INSTANCE, "objective as best"), INSTANCE)
-        core = core.join(best, [INSTANCE, BLOCK]).where(flip_can_win("best")).drop("best")
+        core = candidates.join(best, [INSTANCE, BLOCK]).where(flip_can_win("best")).drop("best")
     else:
         start = greedy_solutions(ranked)
 
@@ -188,6 +189,8 @@ def search_space(ranked: Ranked, page_size: int, reduce: bool = True) -> SearchS
     spark = pages.sparkSession
     path = new_folder(spark, "pages")
     pages.write.partitionBy("page_folder").parquet(path)
+    if reduce:
+        release(candidates)
     pages = spark.read.schema(pages.schema).parquet(path)
     space = SearchSpace(pages, core, start)
     space.roots = space.page(0).select(INSTANCE).join(lines.select(INSTANCE, "base_weight", "base_value"), INSTANCE)

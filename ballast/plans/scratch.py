@@ -48,4 +48,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize` that no later plan reads."""
+    for table in tables:
+        drop_folder(table.sparkSession, table.scratch_path)

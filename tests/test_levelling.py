@@ -94,6 +94,9 @@ def test_steps_agree_and_lose_nothing(spark, many_blocks):
     for slot in taken:
         assert sorted(r["rank"] for r in picked.collect() if r.slot == slot) == list(range(1, taken[slot] + 1))
 
+    by_broadcast = pick_to_move(nodes, plan, seed=5, hot_rows=5)
+    assert sorted(map(tuple, by_broadcast.collect())) == sorted(map(tuple, picked.collect()))
+
     moved, kept = split_moved(nodes, picked)
     everything = sorted(map(tuple, nodes.collect()))
     assert sorted(map(tuple, moved.unionByName(kept).collect())) == everything
