@@ -8,7 +8,9 @@ items come first in the order, so a node is always a choice that fits the budget
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast.functions.bounds import node_bound
@@ -19,23 +21,18 @@ INSTANCE = "instance_id"
 NODE_COLUMNS = ("instance_id", "depth", "weight", "value", "bound", "flips")
 
 
-def seed_frontier(
-    instances: DataFrame, n_slots: int, slot: int = 1, weight: str | None = None, value: str | None = None
-) -> DataFrame:
-    """One root node per instance, on one slot; weight and value are 0 or taken from columns."""
-
-    def start(column: str | None) -> Column:
-        return (F.lit(0) if column is None else F.col(column)).cast("bigint")
-
+def seed_frontier(instances: DataFrame, n_slots: int, slot: int = 1, carry: Sequence[str] = ()) -> DataFrame:
+    """One root node per instance, on one slot; weight and value are 0 unless carried over."""
+    zero = {c: F.lit(0).cast("bigint").alias(c) for c in ("weight", "value") if c not in carry}
     return instances.select(
         INSTANCE,
         F.col(INSTANCE).cast("string").alias("tree_id"),
         F.lit("").alias("node_id"),
         F.lit(slot % n_slots).alias("slot"),
         F.lit(0).alias("depth"),
-        start(weight).alias("weight"),
-        start(value).alias("value"),
+        *zero.values(),
         F.array().cast("array<bigint>").alias("flips"),
+        *carry,
     )
 
 
@@ -60,7 +57,11 @@ _DESCENDANTS = f"""aggregate(
 
 
 def expand_frontier(
-    nodes: DataFrame, pages: DataFrame, best: DataFrame | None = None, hot: DataFrame | None = None
+    nodes: DataFrame,
+    pages: DataFrame,
+    best: DataFrame | None = None,
+    hot: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Decide the next few items of every node.
 
@@ -69,16 +70,18 @@ def expand_frontier(
     it fits); they are bounded, and those that can still beat ``best`` (instance, best) go
     on to the next item. Nodes that have decided the last item are ``complete``; instances
     without a page leave the frontier. ``hot`` names instances with very many nodes, see
-    :func:`ballast.plans.skew.hot_keys`.
+    :func:`ballast.plans.skew.hot_keys`. A frontier known to be small is dealt out to
+    ``tasks`` tasks and meets its pages by broadcast: few bytes, but much work per row.
 
     One join; the levels are a fold inside the joined row, whose size the page bounds.
     """
-    if best is None:
-        page = pages.withColumn("best", F.lit(-1).cast("bigint"))
+    page = pages.select(INSTANCE, "budget", "crit_weight", "crit_value", "last", "items")
+    page = page.withColumn("best", F.lit(-1).cast("bigint")) if best is None else page.join(best, INSTANCE)
+    if tasks is not None:
+        rows = nodes.repartition(tasks).join(F.broadcast(page), INSTANCE)
     else:
-        page = pages.join(best, INSTANCE)
-    page = page.select(INSTANCE, "budget", "crit_weight", "crit_value", "best", "last", "items")
-    rows = join_by_key(nodes, page, INSTANCE, hot).where("bound is null or bound > best")
+        rows = join_by_key(nodes, page, INSTANCE, hot)
+    rows = rows.where("bound is null or bound > best")
     return rows.selectExpr(
         INSTANCE, "cast(depth + size(items) as int) as depth", "best", "last as complete", f"inline({_DESCENDANTS})"
     ).select(*NODE_COLUMNS, "best", "complete")

@@ -136,13 +136,17 @@ def greedy_solutions(ranked: Ranked, core: DataFrame | None = None) -> DataFrame
 
 @dataclass
 class SearchSpace:
-    """``pages``: core items by (instance, page), ``last`` marking the final page; ``roots``: one row per instance with a core,
-    holding its greedy choice; ``start``: first solution of every searchable instance."""
+    """``pages``: core items by (instance, page), ``last`` marking the final page;
+    ``start``: first solution of every searchable instance, whose objective is ``best`` on
+    the pages."""
 
     pages: DataFrame
-    roots: DataFrame
     start: DataFrame
 
+    def roots(self) -> DataFrame:
+        """Instances with a core: (instance, base_weight, base_value, best)."""
+        return self.page(0).select(INSTANCE, "base_weight", "base_value", "best")
+
     def page(self, number: int) -> DataFrame:
         """The given page of all instances; reads only the folder that holds it."""
         last = PAGE_FOLDERS - 1
@@ -168,22 +172,21 @@ def search_space(ranked: Ranked, page_size: int, reduce: bool = True) -> SearchS
         candidates = materialize(core.where(flip_can_win("base_value")), "candidates")
         start = materialize(greedy_solutions(ranked, candidates), "start")
         best = ranked.blocks.join(start.selectExpr(INSTANCE, "objective as best"), INSTANCE)
-        core = candidates.join(best, [INSTANCE, BLOCK]).where(flip_can_win("best")).drop("best")
+        core = candidates.join(best, [INSTANCE, BLOCK]).where(flip_can_win("best"))
     else:
         start = greedy_solutions(ranked)
+        core = core.selectExpr("*", "base_value as best")
 
-    addable = F.expr("if(greedy, 0L, value)")
-    totals = {"position": F.expr("1L"), "addable": addable}
-    blocks = block_totals(core, [INSTANCE], totals)
-    whole = blocks.groupBy(INSTANCE).agg(F.expr("sum(position) as n_core"), F.expr("sum(addable) as addable_in_core"))
-    context = blocks.drop(*totals).join(whole, INSTANCE)
+    totals = {"position": F.expr("1L"), "addable": F.expr("if(greedy, 0L, value)")}
+    context = block_totals(core, [INSTANCE], totals, whole=list(totals)).drop(*totals)
     rows = running_totals(core, [INSTANCE], _order(), totals, context)
     item = """struct(position_before as position, item_id, weight, value, greedy,
-                     addable_in_core - addable_before - if(greedy, 0L, value) as addable_after)"""
+                     addable_whole - addable_before - if(greedy, 0L, value) as addable_after)"""
+    shared = ["budget", "crit_weight", "crit_value", "base_weight", "base_value", "best"]
     pages = (
         rows.selectExpr("*", f"cast(position_before div {page_size} as int) as page", f"{item} as item")
-        .groupBy(INSTANCE, "page", "budget", "crit_weight", "crit_value")
-        .agg(F.expr("sort_array(collect_list(item)) as items"), F.expr("max(position_before + 1 = n_core) as last"))
+        .groupBy(INSTANCE, "page", *shared)
+        .agg(F.expr("sort_array(collect_list(item)) as items"), F.expr("max(position_before + 1 = position_whole) as last"))
         .selectExpr("*", f"least(page, {PAGE_FOLDERS - 1}) as page_folder")
     )
     spark = pages.sparkSession
@@ -191,7 +194,4 @@ def search_space(ranked: Ranked, page_size: int, reduce: bool = True) -> SearchS
     pages.write.partitionBy("page_folder").parquet(path)
     if reduce:
         release(candidates)
-    pages = spark.read.schema(pages.schema).parquet(path)
-    space = SearchSpace(pages, core, start)
-    space.roots = space.page(0).select(INSTANCE).join(lines.select(INSTANCE, "base_weight", "base_value"), INSTANCE)
-    return space
+    return SearchSpace(spark.read.schema(pages.schema).parquet(path), start)

@@ -15,6 +15,10 @@ from ballast.plans.skew import HOT_ROWS, hot_keys
 
 LEVELS_PER_ROUND = 8
 
+# A frontier of no more nodes counts as small: with its pages, some 50 MB to broadcast.
+SMALL_FRONTIER = 100_000
+NODES_PER_TASK = 100
+
 
 @dataclass
 class SearchResult:
@@ -39,6 +43,7 @@ def select_best_subset(
     halt_all: bool = False,
     reduce: bool = True,
     hot_rows: int = HOT_ROWS,
+    small_frontier: int = SMALL_FRONTIER,
 ) -> SearchResult:
     """Best 0/1 choice of items for every instance.
 
@@ -55,13 +60,15 @@ def select_best_subset(
     space = search_space(ranked, levels_per_round, reduce)
     halted = halt_all and is_halted(ranked.heads).first()["halted"]
 
-    no_bound = F.lit(None).cast("bigint")
-    roots = seed_frontier(space.roots, 1, weight="base_weight", value="base_value")
-    roots = roots.join(space.start.select(INSTANCE, F.col("objective").alias("best")), INSTANCE)
-    seed = roots.select(INSTANCE, "depth", "weight", "value", no_bound.alias("bound"), "flips", "best")
+    roots = space.roots().withColumnsRenamed({"base_weight": "weight", "base_value": "value"})
+    seed = seed_frontier(roots, 1, carry=["weight", "value", "best"])
+    seed = seed.selectExpr(INSTANCE, "depth", "weight", "value", "cast(null as bigint) as bound", "flips", "best")
+
+    parallelism = items.sparkSession.sparkContext.defaultParallelism
 
     def step(nodes: DataFrame, number: int, n_open: int) -> DataFrame:
         hot = hot_keys(nodes, INSTANCE, n_open, hot_rows)
+        tasks = min(parallelism, -(-n_open // NODES_PER_TASK)) if n_open <= small_frontier else None
         # Every node is a choice of its own.
         known = nodes.groupBy(INSTANCE).agg(
             F.expr("greatest(max(best), max(value)) as best"),
@@ -78,7 +85,7 @@ def select_best_subset(
             "false as open",
         )
         best = known.select(INSTANCE, "best")
-        children = expand_frontier(nodes.drop("best"), space.page(number), best, hot)
+        children = expand_frontier(nodes.drop("best"), space.page(number), best, hot, tasks)
         if dominance:
             children = keep_dominant(children)
         # A complete node has beaten the best known choice: it is emitted as one.

@@ -34,15 +34,22 @@ def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], la
     return materialize(df.repartitionByRange(*by).withColumn(BLOCK, F.spark_partition_id()), label)
 
 
-def block_totals(blocked: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+def block_totals(
+    blocked: DataFrame, keys: Sequence[str], totals: Mapping[str, Column], whole: Sequence[str] = ()
+) -> DataFrame:
     """One row per (keys, block): each total, and ``<name>_before`` over the earlier blocks.
 
-    The window sees at most one row per block for each key.
+    For the names in ``whole`` also ``<name>_whole``, the total of the key. The windows see
+    at most one row per block for each key.
     """
     per_block = blocked.groupBy(*keys, BLOCK).agg(*[F.sum(c).alias(n) for n, c in totals.items()])
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    key = Window.partitionBy(*keys)
+    earlier = key.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    types = {n: per_block.schema[n].dataType for n in totals}
     return per_block.select(
-        "*", *[F.coalesce(F.sum(n).over(earlier), F.lit(0).cast(per_block.schema[n].dataType)).alias(f"{n}_before") for n in totals]
+        "*",
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0).cast(t)).alias(f"{n}_before") for n, t in types.items()],
+        *[F.sum(n).over(key).alias(f"{n}_whole") for n in whole],
     )
 
 

@@ -44,7 +44,8 @@ def _two_levels(spark: SparkSession, folder: str) -> tuple[DataFrame, ranking.Ra
     """Nodes of depth 1 and 2 under the greedy choice of every customer, nothing reduced."""
     ranked = ranking.rank_items(*_customers(spark, folder))
     space = ranking.search_space(ranked, page_size=1, reduce=False)
-    roots = frontier.seed_frontier(space.roots, 1, weight="base_weight", value="base_value")
+    roots = space.roots().withColumnsRenamed({"base_weight": "weight", "base_value": "value"})
+    roots = frontier.seed_frontier(roots, 1, carry=["weight", "value"])
     first = materialize(frontier.expand_frontier(roots.withColumn("bound", F.lit(None).cast("bigint")), space.page(0)), "first")
     second = frontier.expand_frontier(first.drop("best", "complete"), space.page(1))
     return first.unionByName(second).drop("best", "complete"), ranked
