@@ -1,6 +1,6 @@
 """From items and budgets to a search space.
 
-1. *Rank*: order each instance by value per weight and keep running totals. The longest
+1. *Rank*: order each instance by value per weight and run totals along it. The longest
    prefix that fits is the greedy choice, the item after it is the critical one.
 2. *Reduce*: drop the items whose decision cannot differ from the greedy one in any better
    choice. What remains, the *core*, is what the search has to branch on.
@@ -32,15 +32,25 @@ def _order() -> list[Column]:
     return [F.col("ratio").desc(), F.col("item_id")]
 
 
+# Does the greedy choice of its instance take an item? Those ahead of the critical item.
+GREEDY = "crit_item is null or ratio > crit_ratio or (ratio = crit_ratio and item_id < crit_item)"
+
+
 @dataclass
 class Ranked:
-    """``items``: searchable items with ``weight_before``, ``value_before`` and ``greedy``;
-    ``heads``: one row per instance; ``blocks``: one row per (instance, block)."""
+    """``items``: (instance, block, item, weight, value, ratio); ``heads``: one row per
+    instance with totals, budget, status, greedy choice and critical item; ``blocks``: one
+    row per (instance, block)."""
 
     items: DataFrame
     heads: DataFrame
     blocks: DataFrame
 
+    def lines(self, heads: DataFrame) -> DataFrame:
+        """Items with the columns of ``heads``, which has one row per instance."""
+        items = self.items.select(INSTANCE, BLOCK, "item_id", "weight", "value", "ratio")
+        return items.join(self.blocks.join(heads, INSTANCE), [INSTANCE, BLOCK])
+
 
 def rank_items(items: DataFrame, instances: DataFrame, sense: str = "max") -> Ranked:
     """Order the items of every instance and find the greedy choice.
@@ -80,36 +90,32 @@ def rank_items(items: DataFrame, instances: DataFrame, sense: str = "max") -> Ra
         .selectExpr("*", f"{budget} as budget")
         .selectExpr("*", "case when n_bad > 0 or capacity is null then 'error' when budget < 0 then 'infeasible' end as status")
     )
-    heads = materialize(heads, "heads")
     context = blocks.select(INSTANCE, BLOCK, "weight_before", "value_before").join(
         heads.where("status is null").select(INSTANCE, "budget"), INSTANCE
     )
     placed = running_totals(
         ordered.drop("good"), [INSTANCE], _order(), {"weight": F.col("weight"), "value": F.col("value")}, context
     )
-    placed = placed.selectExpr("*", "weight_before + weight <= budget as greedy")
-    placed = placed.selectExpr("*", "not greedy and weight_before <= budget as critical").drop("budget")
-    placed = materialize(placed, "ranked")
-    release(ordered)
-
-    critical = placed.where("critical").selectExpr(
+    critical = placed.where("weight_before <= budget and weight_before + weight > budget").selectExpr(
         INSTANCE,
         "weight_before as base_weight",
         "value_before as base_value",
         "weight as crit_weight",
         "value as crit_value",
+        "ratio as crit_ratio",
         "item_id as crit_item",
     )
     # Without a critical item everything fits: weight has no price.
-    lines = heads.join(critical, INSTANCE, "left").selectExpr(
+    heads = heads.join(critical, INSTANCE, "left").selectExpr(
         *heads.columns,
         "coalesce(base_weight, total_weight) as base_weight",
         "coalesce(base_value, total_value) as base_value",
         "coalesce(crit_weight, 1L) as crit_weight",
         "coalesce(crit_value, 0L) as crit_value",
+        "crit_ratio",
         "crit_item",
     )
-    return Ranked(placed, lines, blocks.select(INSTANCE, BLOCK))
+    return Ranked(ordered, materialize(heads, "heads"), blocks.select(INSTANCE, BLOCK))
 
 
 def greedy_solutions(ranked: Ranked, core: DataFrame | None = None) -> DataFrame:
@@ -161,12 +167,10 @@ def search_space(ranked: Ranked, page_size: int, reduce: bool = True) -> SearchS
 
     With ``reduce=False`` every item is in the core.
     """
-    lines = ranked.heads.where("status is null").select(
-        INSTANCE, "budget", "base_weight", "base_value", "crit_weight", "crit_value", "crit_item"
-    )
-    core = ranked.items.select(INSTANCE, BLOCK, "item_id", "weight", "value", "ratio", "greedy").join(
-        ranked.blocks.join(lines, INSTANCE), [INSTANCE, BLOCK]
+    heads = ranked.heads.where("status is null").select(
+        INSTANCE, "budget", "base_weight", "base_value", "crit_weight", "crit_value", "crit_ratio", "crit_item"
     )
+    core = ranked.lines(heads).selectExpr("*", f"{GREEDY} as greedy")
     if reduce:
         # Any item whose flip improves on the greedy choice passes this first test.
         candidates = materialize(core.where(flip_can_win("base_value")), "candidates")

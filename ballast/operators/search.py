@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ballast.operators.frontier import INSTANCE, NODE_COLUMNS, expand_frontier, keep_dominant, seed_frontier
 from ballast.operators.incumbent import is_halted, merge_incumbent, solution_report
 from ballast.operators.iterate import MAX_ROUNDS, iterate_until_empty
-from ballast.operators.ranking import rank_items, search_space
+from ballast.operators.ranking import GREEDY, rank_items, search_space
 from ballast.plans.skew import HOT_ROWS, hot_keys
 
 LEVELS_PER_ROUND = 8
@@ -112,8 +112,8 @@ def select_best_subset(
     open_counts = loop.open.groupBy(INSTANCE).agg(F.count("*").alias("n_open"))
     report = solution_report(incumbent, open_counts, bool(halted))
 
-    flips = best.select(INSTANCE, F.explode("flips").alias("item_id")).withColumn("flipped", F.lit(True))
-    decided = ranked.items.select(INSTANCE, "item_id", "greedy").join(flips, [INSTANCE, "item_id"], "left")
-    taken = F.col("greedy") != F.coalesce(F.col("flipped"), F.lit(False))
-    choices = decided.where(taken if sense == "max" else ~taken).select(INSTANCE, "item_id")
+    # Flips are few for any instance, so they travel with its row.
+    solved = ranked.heads.join(best, INSTANCE).select(INSTANCE, "crit_ratio", "crit_item", "flips")
+    taken = f"({GREEDY}) <> array_contains(flips, item_id)"
+    choices = ranked.lines(solved).where(taken if sense == "max" else f"not ({taken})").select(INSTANCE, "item_id")
     return SearchResult(report, choices, loop.history, stop_reason, loop.rounds)
