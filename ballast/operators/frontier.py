@@ -61,7 +61,7 @@ def expand_frontier(
     pages: DataFrame,
     best: DataFrame | None = None,
     hot: DataFrame | None = None,
-    tasks: int | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """Decide the next few items of every node.
 
@@ -70,15 +70,15 @@ def expand_frontier(
     it fits); they are bounded, and those that can still beat ``best`` (instance, best) go
     on to the next item. Nodes that have decided the last item are ``complete``; instances
     without a page leave the frontier. ``hot`` names instances with very many nodes, see
-    :func:`ballast.plans.skew.hot_keys`. A frontier known to be small is dealt out to
-    ``tasks`` tasks and meets its pages by broadcast: few bytes, but much work per row.
+    :func:`ballast.plans.skew.hot_keys`. With ``small`` the caller vouches that
+    ``best`` has few rows: the nodes stay where they are and meet their pages by broadcast.
 
     One join; the levels are a fold inside the joined row, whose size the page bounds.
     """
     page = pages.select(INSTANCE, "budget", "crit_weight", "crit_value", "last", "items")
     page = page.withColumn("best", F.lit(-1).cast("bigint")) if best is None else page.join(best, INSTANCE)
-    if tasks is not None:
-        rows = nodes.repartition(tasks).join(F.broadcast(page), INSTANCE)
+    if small:
+        rows = nodes.join(F.broadcast(page), INSTANCE)
     else:
         rows = join_by_key(nodes, page, INSTANCE, hot)
     rows = rows.where("bound is null or bound > best")

@@ -13,6 +13,11 @@ from ballast.plans.scratch import drop_folder, new_folder
 
 MAX_ROUNDS = 1000
 
+# Open rows per task: with fewer than the first number another task is not worth it, with
+# more than the second the written table has enough parts by itself.
+FEW_ROWS = 100
+MANY_ROWS = 100_000
+
 HISTORY = "round INT, n_open BIGINT, n_closed BIGINT, stop_reason STRING"
 
 
@@ -43,8 +48,8 @@ def iterate_until_empty(
     ``halt`` is a condition on those rows that ends the loop when it holds for any of them.
 
     Each round is one job. Its rows are written to the shared scratch folder, which ends
-    the lineage, and the open rows of the round before are dropped. Only the counts and the
-    halt flag come to the driver.
+    the lineage, and the open rows of the round before are dropped. Open rows that are few
+    are dealt out evenly to all tasks. Only the counts and the halt flag come to the driver.
     """
     spark = seed.sparkSession
     run = new_folder(spark, label)
@@ -66,9 +71,15 @@ def iterate_until_empty(
         )
         return seen.get
 
+    parallelism = spark.sparkContext.defaultParallelism
+
     def open_rows(number: int) -> DataFrame:
         path = f"{run}/round={number}"
-        return spark.read.schema(stored).parquet(path).where("is_open = 1").drop("is_open")
+        rows = spark.read.schema(stored).parquet(path).where("is_open = 1").drop("is_open")
+        n_open = counts["n_open"]
+        if n_open > parallelism * MANY_ROWS:
+            return rows
+        return rows.repartition(min(parallelism, n_open // FEW_ROWS + 1))
 
     counts = write(seed.withColumn("open", F.lit(True)), 0)
     history = [(0, counts["n_open"], counts["n_closed"], None)]

@@ -78,27 +78,10 @@ def levelling_plan(counts: DataFrame, cap: int = CAP) -> DataFrame:
     aggregation, and the plan is then a projection of the counts.
     """
     counts = materialize(counts.select("slot", F.col("n").cast("bigint").alias("n")), "counts")
-    still = counts.withColumn("delta", F.lit(0).cast("bigint"))
-    threshold = levelling_threshold(counts, cap).first()["threshold"]
-    if threshold is None:
-        return still
-    missing = counts.where(F.col("n") < threshold).agg(F.sum(threshold - F.col("n")).alias("d")).first()["d"]
-    if not missing:
-        return still
-
-    # One row per height. k different heights need at least k * (k + 1) / 2 open nodes, so
-    # even a million heights, a small sort, take half a trillion nodes.
-    heights = counts.where(F.col("n") > threshold).groupBy("n").agg(F.count("*").alias("slots"))
-    down = Window.orderBy(F.col("n").desc())
-    so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = heights.select(
-        "n",
-        F.sum("slots").over(so_far).alias("slots"),
-        F.sum(F.col("n") * F.col("slots")).over(so_far).alias("nodes"),
-        F.lead("n", 1, threshold).over(down).alias("next"),
-    )
-    enough = F.col("nodes") - F.col("slots") * F.col("next") >= missing
-    step = steps.where(enough).agg(F.max_by(F.struct("slots", "nodes"), "n").alias("s")).first()["s"]
+    cut = _cut(counts, cap)
+    if cut is None:
+        return counts.withColumn("delta", F.lit(0).cast("bigint"))
+    threshold, missing, step = cut["threshold"], cut["missing"], cut["step"]
     level = (step["nodes"] - missing) // step["slots"] + 1
     one_more = missing - (step["nodes"] - step["slots"] * level)
 
@@ -110,6 +93,38 @@ def levelling_plan(counts: DataFrame, cap: int = CAP) -> DataFrame:
     return counts.withColumn("delta", delta.cast("bigint"))
 
 
+def _cut(counts: DataFrame, cap: int):
+    """Where the moves end: (threshold, missing, step), or None if nothing moves.
+
+    ``missing`` nodes have to be found above the threshold; ``step`` has the number of slots
+    at or above the height where there are enough, and of their nodes.
+
+    Works on one row per height. k different heights need at least k * (k - 1) / 2 open
+    nodes, so even a million heights, a small sort, take half a trillion nodes.
+    """
+    heights = counts.groupBy("n").agg(F.count("*").alias("slots"))
+    everything, down = Window.partitionBy(), Window.orderBy(F.col("n").desc())
+    so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mean = F.ceil(F.sum(F.col("n") * F.col("slots")).over(everything) / F.sum("slots").over(everything))
+    steps = heights.select(
+        "n",
+        (F.least(F.lit(cap).cast("bigint"), mean.cast("bigint") - 1)).alias("threshold"),
+        F.sum("slots").over(so_far).alias("slots"),
+        F.sum(F.col("n") * F.col("slots")).over(so_far).alias("nodes"),
+        F.lead("n").over(down).alias("next"),
+        F.col("slots").alias("here"),
+    )
+    lacking = F.expr("if(n < threshold, (threshold - n) * here, 0L)")
+    steps = steps.withColumn("missing", F.sum(lacking).over(everything))
+    enough = "n > threshold and nodes - slots * greatest(next, threshold) >= missing"
+    cut = steps.agg(
+        F.max("threshold").alias("threshold"),
+        F.max("missing").alias("missing"),
+        F.expr(f"max_by(struct(slots, nodes), n) filter (where {enough})").alias("step"),
+    ).first()
+    return cut if cut["missing"] else None
+
+
 def _kth_slot(counts: DataFrame, k: int):
     """The k-th lowest slot, sorting only the range block that holds it."""
     blocked = range_blocks(counts.select("slot"), [], [F.col("slot")], "slots")

@@ -15,9 +15,11 @@ from ballast.plans.skew import HOT_ROWS, hot_keys
 
 LEVELS_PER_ROUND = 8
 
-# A frontier of no more nodes counts as small: with its pages, some 50 MB to broadcast.
-SMALL_FRONTIER = 100_000
-NODES_PER_TASK = 100
+# A node may have 2 ** levels descendants in one row before they are pruned.
+MOST_LEVELS = 16
+
+# A frontier counts as small up to this many items on the pages of its nodes, some 50 MB.
+SMALL_FRONTIER = 1_000_000
 
 
 @dataclass
@@ -56,6 +58,8 @@ def select_best_subset(
     When ``max_rounds`` ends the search early, instances with open nodes are reported as
     feasible with the best choice found so far.
     """
+    if not 1 <= levels_per_round <= MOST_LEVELS:
+        raise ValueError(f"levels_per_round must be between 1 and {MOST_LEVELS}")
     ranked = rank_items(items, instances, sense)
     space = search_space(ranked, levels_per_round, reduce)
     halted = halt_all and is_halted(ranked.heads).first()["halted"]
@@ -64,11 +68,9 @@ def select_best_subset(
     seed = seed_frontier(roots, 1, carry=["weight", "value", "best"])
     seed = seed.selectExpr(INSTANCE, "depth", "weight", "value", "cast(null as bigint) as bound", "flips", "best")
 
-    parallelism = items.sparkSession.sparkContext.defaultParallelism
-
     def step(nodes: DataFrame, number: int, n_open: int) -> DataFrame:
         hot = hot_keys(nodes, INSTANCE, n_open, hot_rows)
-        tasks = min(parallelism, -(-n_open // NODES_PER_TASK)) if n_open <= small_frontier else None
+        small = n_open * levels_per_round <= small_frontier
         # Every node is a choice of its own.
         known = nodes.groupBy(INSTANCE).agg(
             F.expr("greatest(max(best), max(value)) as best"),
@@ -85,7 +87,7 @@ def select_best_subset(
             "false as open",
         )
         best = known.select(INSTANCE, "best")
-        children = expand_frontier(nodes.drop("best"), space.page(number), best, hot, tasks)
+        children = expand_frontier(nodes.drop("best"), space.page(number), best, hot, small)
         if dominance:
             children = keep_dominant(children)
         # A complete node has beaten the best known choice: it is emitted as one.

@@ -168,7 +168,8 @@ def _work(view: Callable) -> dict[str, Query]:
 
 def _budget(total: int) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        shares = budget.apportion_budget(views.customer_trees(spark, folder), total)
+        trees = materialize(views.customer_trees(spark, folder), "trees")
+        shares = budget.apportion_budget(trees, total)
         return shares.select("group_id", "seq", F.round("share", 4).alias("share"))
 
     return query

@@ -119,6 +119,11 @@ def test_bad_items_are_errors_of_their_instance_only(spark):
     assert {r.halted for r in halted.report.collect()} == {True}
 
 
+def test_round_size_is_limited(spark):
+    with pytest.raises(ValueError):
+        select_best_subset(*tables(spark, {1: (1, [(1, 1)])}), levels_per_round=17)
+
+
 def test_too_much_demand_is_infeasible(spark):
     made = {1: (5, [(1, 1), (3, 2)]), 2: (4, [(1, 1), (3, 2)])}
     found = {r.instance_id: (r.status, r.objective) for r in select_best_subset(*tables(spark, made), "min").report.collect()}
