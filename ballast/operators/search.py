@@ -11,10 +11,13 @@ from ballast.operators.frontier import INSTANCE, NODE_COLUMNS, expand_frontier,
 from ballast.operators.incumbent import is_halted, merge_incumbent, solution_report
 from ballast.operators.iterate import MAX_ROUNDS, iterate_until_empty
 from ballast.operators.ranking import GREEDY, rank_items, search_space
-from ballast.plans.skew import HOT_ROWS, hot_keys
+from ballast.plans.skew import hot_keys
 
 LEVELS_PER_ROUND = 8
 
+# Nodes of one instance that one task may expand; with more, the instance is hot.
+HOT_NODES = 20_000
+
 # A node may have 2 ** levels descendants in one row before they are pruned.
 MOST_LEVELS = 16
 
@@ -44,7 +47,7 @@ def select_best_subset(
     dominance: bool = True,
     halt_all: bool = False,
     reduce: bool = True,
-    hot_rows: int = HOT_ROWS,
+    hot_nodes: int = HOT_NODES,
     small_frontier: int = SMALL_FRONTIER,
 ) -> SearchResult:
     """Best 0/1 choice of items for every instance.
@@ -69,7 +72,7 @@ def select_best_subset(
     seed = seed.selectExpr(INSTANCE, "depth", "weight", "value", "cast(null as bigint) as bound", "flips", "best")
 
     def step(nodes: DataFrame, number: int, n_open: int) -> DataFrame:
-        hot = hot_keys(nodes, INSTANCE, n_open, hot_rows)
+        hot = hot_keys(nodes, INSTANCE, n_open, hot_nodes)
         small = n_open * levels_per_round <= small_frontier
         # Every node is a choice of its own.
         known = nodes.groupBy(INSTANCE).agg(

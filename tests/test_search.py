@@ -86,7 +86,7 @@ def test_equals_dynamic_programme(spark, many_blocks, sense):
         {"levels_per_round": 1, "max_rounds": 1000},
         {"dominance": False, "levels_per_round": 3},
         {"reduce": False},
-        {"hot_rows": 1, "small_frontier": 0},
+        {"hot_nodes": 1, "small_frontier": 0},
         {"small_frontier": 0},
     ],
     ids=str,
