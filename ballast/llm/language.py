@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ballast.llm.common import at_most
+from ballast.llm.common import at_most, packed, unpacked
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -30,6 +30,8 @@ EMBEDDING = 12
 #: Labelled rows per language that the network is fitted on, and windows taken from each.
 ROWS_PER_LANGUAGE = 500
 WINDOWS_PER_ROW = 4
+#: Texts whose best language scores less are not in any learned language.
+LEAST_SCORE = 0.3
 EPOCHS = 14
 BATCH = 64
 
@@ -215,10 +217,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def learned(documents: DataFrame) -> ByteConvNet:
+    """The network of the rows of ``documents`` that are not held out."""
+    learn = documents.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    return fit_language(learn.select(F.col("doc_id").alias("id"), "text", "lang"))
+
+
 def document_languages(documents: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``documents``; repeated rows are kept."""
     rows = documents.select("doc_id", "text", "lang")
-    learn = rows.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    model = fit_language(learn.select(F.col("doc_id").alias("id"), "text", "lang"))
-    found = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), identify_language(model, F.col("text")).alias("_p"))
+    found = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), identify_language(learned(rows), F.col("text")).alias("_p"))
     return found.select("doc_id", "held_out", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"))
+
+
+def drop_unknown_language(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """``documents`` without the rows in no learned language: ``und``, or scored below ``least_score``.
+
+    If there is nothing to learn from, rows with a letter stay.
+    """
+    model = learned(documents)
+    if not model.languages:
+        return documents.where(F.col("text").rlike(r"\p{L}"))
+    rows = documents.select(packed(documents)).withColumn("_p", identify_language(model, F.col("_row.text")))
+    return rows.where((F.col("_p.lang") != UNKNOWN) & (F.col("_p.score") >= least_score)).select(*unpacked(documents.columns))

@@ -4,21 +4,129 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ballast.llm.archive import page_records
+from ballast.llm.decontamination import document_contamination
 from ballast.llm.language import document_languages
+from ballast.llm.licenses import document_licenses
+from ballast.llm.near_duplicates import document_duplicates
+from ballast.llm.nearest import nearest_embeddings
+from ballast.llm.packing import pack_documents
+from ballast.llm.personal_data import document_personal_data
+from ballast.llm.quality import document_quality
+from ballast.llm.style_tree import main_text
 from ballast.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return document_personal_data(table(spark, folder, "documents"))
+
+
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return document_licenses(table(spark, folder, "documents"))
+
+
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return page_records(table(spark, folder, "pages"))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return document_languages(table(spark, folder, "documents"))
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return document_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages"))
+
+
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return document_duplicates(table(spark, folder, "documents"))
+
+
+def op9_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_embeddings(table(spark, folder, "embeddings"))
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return document_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_language_id,)}
+    found = (
+        op1_personal_data, op2_licenses, op3_warc, op4_language_id, op5_packing,
+        op6_decontamination, op7_main_text, op8_near_duplicates, op9_nearest, op10_quality,
+    )
+    return {f.__name__: f for f in found}
+
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM r),
+k AS (SELECT *, payload_bytes >= 100 AND least IS NOT NULL AND page_id IS DISTINCT FROM least AS again FROM m)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN least END AS refers_to
+FROM k
+"""
+
+CONTAMINATION = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+h AS (SELECT r, n, i, item_id FROM dw JOIN bw USING (n, g)),
+c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+      FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+"""
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END AS s FROM w),
+g AS (SELECT list_sort(s) AS s, min(r) AS k FROM s WHERE len(s) > 0 GROUP BY 1),
+e AS (SELECT k, len(s) AS n, unnest(s) AS x FROM g),
+p AS (
+  SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.x = b.x AND a.k < b.k AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+u AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT k, k FROM g),
+reach(a, b) AS (SELECT a, b FROM u UNION SELECT reach.a, u.b FROM reach JOIN u ON reach.b = u.a),
+m AS (SELECT g.k, s.r, s.doc_id, len(s.s) AS n FROM s JOIN g ON list_sort(s.s) = g.s),
+f AS (SELECT reach.a AS k, min(m.doc_id) AS component_id FROM reach JOIN m ON reach.b = m.k GROUP BY 1)
+SELECT m.doc_id, CAST(m.n AS BIGINT) AS n_shingles, component_id, m.doc_id IS NOT DISTINCT FROM component_id AS kept FROM m JOIN f USING (k)
+UNION ALL
+SELECT doc_id, 0, doc_id, true FROM s WHERE len(s) = 0
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": WARC, "op6_decontamination": CONTAMINATION, "op8_near_duplicates": NEAR_DUPLICATES}

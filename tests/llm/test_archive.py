@@ -1,0 +1,98 @@
+from __future__ import annotations
+
+import hashlib
+from pathlib import Path
+
+import pytest
+
+from ballast.llm.archive import END, page_records, parse_record, plan_reads, read_records, records, write_archive
+from ballast.sources.tables import table
+
+LONG = "<p>" + "ü€\r\n\r\nWARC/1.1 " * 400
+PAGES = [
+    (1, "http://a.example/x", LONG, "mine"),
+    (2, "http://b.example/y\r\nX: 1", LONG, "mine"),
+    (3, None, LONG, None),
+    (4, "http://a.example/z", "short", None),
+    (5, "http://a.example/z", "short", None),
+    (6, "", None, None),
+    (7, "http://a.example/z", "", None),
+    (None, "http://a.example/z", LONG, None),
+    (8, "u", "x" * 100, None),
+    (8, "u", "x" * 100, None),
+    (9, "u", "x" * 100, None),
+    (None, "u", "only null ids " * 20, None),
+    (None, "u", "only null ids " * 20, None),
+    (10, "u", "\U0001f600\n\n tail \r\n", None),
+]
+
+
+@pytest.fixture
+def pages(spark):
+    return spark.createDataFrame(PAGES, "page_id long, url string, html string, digest string")
+
+
+def expected(rows):
+    least = {}
+    for i, html in rows:
+        if i is not None and len((html or "").encode()) >= 100:
+            least[html] = min(least.get(html, i), i)
+    out = []
+    for i, html in rows:
+        raw = (html or "").encode()
+        again = html in least and i != least[html]
+        out.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", least[html] if again else None))
+    return sorted(out, key=repr)
+
+
+def result(df):
+    cols = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return sorted((tuple(r) for r in page_records(df).select(*cols).collect()), key=repr)
+
+
+def test_reads_back_what_was_written(spark, pages, data):
+    assert result(pages) == expected([(r[0], r[2]) for r in PAGES])
+    df = table(spark, data, "pages")
+    assert result(df) == expected([(r.page_id, r.html) for r in df.collect()])
+    assert result(pages.limit(0)) == []
+
+
+def test_payloads_make_the_round_trip(spark, data):
+    df = table(spark, data, "pages")
+    for size in (16 << 20, 20_000):
+        archive = write_archive(df.select("page_id", "url", "html"), size)
+        some = archive.index.where("page_id % 3 = 1")
+        got = {r.page_id: (r.url, r.payload) for r in read_records(archive, some).collect()}
+        assert got == {r.page_id: (r.url, r.html or "") for r in df.where("page_id % 3 = 1").collect()}
+
+
+def test_index_tells_where_records_are(spark, pages):
+    archive = write_archive(pages.select("page_id", "url", "html"), 3000)
+    rows = archive.index.collect()
+    assert len({r.archive for r in rows}) > 1
+    for a in {r.archive for r in rows}:
+        (file,) = (Path(archive.folder) / f"archive={a}").glob("*.txt")
+        raw, at = file.read_bytes(), 0
+        for r in sorted((r for r in rows if r.archive == a), key=lambda r: r.offset):
+            assert r.offset == at
+            fields, payload = parse_record(raw[at : at + r.length])
+            assert fields["WARC-Type"] == r.record_type and fields["WARC-Payload-Digest"] == f"sha256:{r.digest}"
+            at += r.length + len(END)
+        assert at == len(raw)
+
+
+def test_repeated_payloads_are_stored_once(pages):
+    stored = [r.payload for r in records(pages.select("page_id", "url", "html")).collect()]
+    assert stored.count(LONG) == 1
+
+
+def test_reads_are_joined():
+    assert plan_reads([(0, 10), (14, 10), (10_000_000, 5), (10_000_005, 5)]) == [(0, 24, [0, 1]), (10_000_000, 10_000_010, [2, 3])]
+    assert plan_reads([]) == []
+
+
+def test_broken_records_are_told():
+    with pytest.raises(ValueError):
+        parse_record(b"nothing")
+    with pytest.raises(ValueError):
+        parse_record(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")
