@@ -13,6 +13,7 @@ from ballast.operators.levelling import (
     pending_pages,
     pick_to_move,
     rebalance,
+    slot_results,
     split_moved,
 )
 from ballast.operators.search import SearchResult, select_best_subset
@@ -35,6 +36,7 @@ __all__ = [
     "rebalance",
     "seed_frontier",
     "select_best_subset",
+    "slot_results",
     "solution_report",
     "split_moved",
     "status_rank",

@@ -8,11 +8,37 @@ single item, so the bound of a partial choice that keeps to the greedy order fro
 is its own value plus the price of the room it has left. No node looks at the items below.
 
 All arithmetic is on integers: products are DECIMAL(38, 0), so a bound is never rounded
-below the true optimum.
+below the true optimum. The total weight and value of an instance must fit a BIGINT; a larger
+one is an overflow error, never a wrong result.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+
+def check_whole(df: DataFrame, *columns: str) -> None:
+    """Refuse columns whose type can hold fractions: they would be cut off without a word."""
+    for c in columns:
+        kind = df.schema[c].dataType
+        whole = isinstance(kind, T.IntegralType) or isinstance(kind, T.DecimalType) and kind.scale == 0
+        if not whole:
+            raise TypeError(f"{c} is {kind.simpleString()}; scale it to a whole number, such as cents")
+
+
+def exact_ratio() -> str:
+    """``value / weight`` as (whole part, first and second 63 bits after the point).
+
+    Two different ratios of positive BIGINTs differ by more than 2^-126, so the three
+    numbers, compared in turn, order items exactly.
+    """
+    wide = "cast({} as decimal(19, 0))"
+    shifted = lambda rest: f"({wide.format(rest)} * {wide.format('9223372036854775808')})"
+    weight, first = wide.format("weight"), shifted("(value % weight)")
+    second = shifted(f"({first} % {weight})")
+    return f"struct(value div weight as whole, {first} div {weight} as bits1, {second} div {weight} as bits2)"
+
 
 def product(a: str, b: str) -> str:
     """Product of two BIGINT expressions, wide enough not to overflow."""

@@ -7,12 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.plans.firsts import first_k
+from ballast.operators.iterate import iterate_until_empty
+from ballast.plans.blocks import BLOCK, block_totals, range_blocks, running_totals
+from ballast.plans.scratch import materialize
 
 # Seconds for an easy and for a hard open node.
 EASY_SECONDS = 6
 HARD_SECONDS = 60
 
+# Trees of a group that are served in one row; the list of their shares is never longer.
+CHUNK = 1000
+
 
 def apportion_budget(trees: DataFrame, total: float, easy: float = EASY_SECONDS, hard: float = HARD_SECONDS) -> DataFrame:
     """Share of every tree, as (group_id, seq, share).
@@ -23,22 +28,51 @@ def apportion_budget(trees: DataFrame, total: float, easy: float = EASY_SECONDS,
     surplus, otherwise its proportional part, but never less than ``easy``. When nothing
     is left, and for trees without open nodes, the share is 0.
 
-    What one tree gets depends on all before it, but a tree that gets anything gets at
-    least ``min(easy, hard)``. So after ``total / min(easy, hard)`` trees with open nodes
-    the budget is spent, and only that many have to be gone through in order, in any group.
+    Where the budget exceeds the need of the whole group, what is left after the first tree is the need
+    of the others, so each gets its own: that case is a projection. Else what one tree gets depends
+    on all before it. The trees of such groups are served in chunks, all groups at once, and
+    what is left and still to come goes from chunk to chunk.
     """
     if easy <= 0 or hard <= 0:
         raise ValueError("seconds per node must be positive")
-    funded_at_most = max(0, math.ceil(total / min(easy, hard)))
     need = (F.col("n_easy") * F.lit(float(easy)) + F.col("n_hard") * F.lit(float(hard))).alias("need")
     wanting = trees.select("group_id", "seq", need).where(F.col("need") > 0)
-    whole = wanting.groupBy("group_id").agg(F.sum("need").alias("whole"))
-    first = first_k(wanting, ["group_id"], ["seq"], funded_at_most)
-    lists = first.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("seq", "need"))).alias("first"))
+    groups = wanting.groupBy("group_id").agg(F.sum("need").alias("whole"), F.min("seq").alias("first"))
+    groups = materialize(groups, "groups")
+    offer = math.floor(total)
+    # With whole needs, none below the least share, the offer is exactly what is still to come from the second tree on.
+    plain = float(easy).is_integer() and float(hard).is_integer() and easy <= hard
+    rich = F.col("whole") < offer if plain else F.lit(False)
+
+    amply = wanting.join(groups.where(rich), "group_id")
+    amply = amply.select("group_id", "seq", (F.col("need") + F.when(F.col("seq") == F.col("first"), offer - F.col("whole")).otherwise(0)).alias("share"))
+    short = groups.where(~rich)
+    served = amply.unionByName(_in_chunks(wanting, short, float(total), float(easy), float(hard)))
+    return trees.select("group_id", "seq").join(served, ["group_id", "seq"], "left").select(
+        "group_id", "seq", F.coalesce("share", F.lit(0.0)).alias("share")
+    )
 
-    seq_type = trees.schema["seq"].dataType.simpleString()
-    nothing = F.array().cast(f"array<struct<seq:{seq_type},share:double>>")
-    state = F.struct(F.lit(float(total)).alias("left"), F.col("whole").alias("to_come"), nothing.alias("shares"))
+
+def _in_chunks(wanting: DataFrame, groups: DataFrame, total: float, easy: float, hard: float) -> DataFrame:
+    """(group_id, seq, share) of the trees of ``groups`` (group_id, whole) that get anything."""
+    spark = wanting.sparkSession
+    funded_at_most = max(0, math.ceil(total / min(easy, hard)))
+    seq_type = wanting.schema["seq"].dataType.simpleString()
+    shares = f"array<struct<seq:{seq_type},share:double>>"
+    if total < 1 or groups.isEmpty():
+        return spark.createDataFrame([], f"group_id {wanting.schema['group_id'].dataType.simpleString()}, seq {seq_type}, share double")
+
+    # A tree that gets anything gets at least min(easy, hard): chunks behind the last one that can be funded aren't listed.
+    order = [F.col("seq")]
+    blocked = range_blocks(wanting.join(groups.select("group_id"), "group_id", "left_semi"), ["group_id"], order, "trees")
+    context = block_totals(blocked, ["group_id"], {"place": F.expr("1L")}).select("group_id", BLOCK, "place_before")
+    context = context.where(F.col("place_before") < funded_at_most)
+    ranked = running_totals(blocked, ["group_id"], order, {"place": F.expr("1L")}, context).where(F.col("place_before") < funded_at_most)
+    chunk = F.floor(F.col("place_before") / CHUNK).cast("int").alias("chunk")
+    lists = materialize(
+        ranked.groupBy("group_id", chunk).agg(F.sort_array(F.collect_list(F.struct("seq", "need"))).alias("list")), "chunks"
+    )
+    seed = groups.select("group_id", F.lit(total).alias("left"), F.col("whole").alias("to_come"), F.array().cast(shares).alias("shares"))
 
     def serve(state: Column, tree: Column) -> Column:
         offer = F.floor(state["left"]).cast("double")
@@ -46,7 +80,7 @@ def apportion_budget(trees: DataFrame, total: float, easy: float = EASY_SECONDS,
         share = (
             F.when(offer <= 0, F.lit(0.0))
             .when(surplus > 0, surplus + tree["need"])
-            .otherwise(F.greatest(F.lit(float(easy)), offer * tree["need"] / state["to_come"]))
+            .otherwise(F.greatest(F.lit(easy), offer * tree["need"] / state["to_come"]))
         )
         return F.struct(
             (state["left"] - share).alias("left"),
@@ -54,8 +88,15 @@ def apportion_budget(trees: DataFrame, total: float, easy: float = EASY_SECONDS,
             F.array_append(state["shares"], F.struct(tree["seq"].alias("seq"), share.alias("share"))).alias("shares"),
         )
 
-    served = lists.join(whole, "group_id").select("group_id", F.aggregate("first", state, serve)["shares"].alias("shares"))
-    served = served.select("group_id", F.inline("shares"))
-    return trees.select("group_id", "seq").join(served, ["group_id", "seq"], "left").select(
-        "group_id", "seq", F.coalesce("share", F.lit(0.0)).alias("share")
-    )
+    def step(rows: DataFrame, number: int, n_open: int) -> DataFrame:
+        state = F.struct("left", "to_come", "shares")
+        rows = rows.join(lists.where(F.col("chunk") == number), "group_id")
+        after = rows.select("group_id", F.aggregate("list", state, serve).alias("s"), (F.size("list") == CHUNK).alias("more"))
+        done = after.select("group_id", "s.left", "s.to_come", "s.shares", F.lit(False).alias("open"))
+        rest = after.where(F.col("more") & (F.col("s.left") >= 1)).select(
+            "group_id", "s.left", "s.to_come", F.array().cast(shares).alias("shares"), F.lit(True).alias("open")
+        )
+        return done.unionByName(rest)
+
+    emitted = iterate_until_empty(seed, step, max_rounds=None, label="budget").emitted
+    return emitted.select("group_id", F.inline("shares"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ballast.plans.scratch import drop_folder, new_folder
 
+# Fixed value: the loop that this one stands for ends after so many rounds.
 MAX_ROUNDS = 1000
 
 # Open rows per task: with fewer than the first number another task is not worth it, with
@@ -37,7 +38,7 @@ class Iteration:
 def iterate_until_empty(
     seed: DataFrame,
     step: Callable[[DataFrame, int, int], DataFrame],
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = MAX_ROUNDS,
     halt: Column | None = None,
     label: str = "frontier",
 ) -> Iteration:
@@ -46,6 +47,7 @@ def iterate_until_empty(
     ``step(open_rows, round, n_open)`` returns the columns of ``seed`` and a boolean
     ``open``; rows with ``open = false`` are emitted, the others enter the next round.
     ``halt`` is a condition on those rows that ends the loop when it holds for any of them.
+    ``max_rounds=None`` sets no limit.
 
     Each round is one job. Its rows are written to the shared scratch folder, which ends
     the lineage, and the open rows of the round before are dropped. Open rows that are few
@@ -71,9 +73,9 @@ def iterate_until_empty(
         )
         return seen.get
 
-    parallelism = spark.sparkContext.defaultParallelism
-
     def open_rows(number: int) -> DataFrame:
+        # The tasks that a shuffle has; executors may come and go between rounds.
+        parallelism = int(spark.conf.get("spark.sql.shuffle.partitions"))
         path = f"{run}/round={number}"
         rows = spark.read.schema(stored).parquet(path).where("is_open = 1").drop("is_open")
         n_open = counts["n_open"]

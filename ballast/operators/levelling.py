@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballast.operators.incumbent import merge_incumbent
 from ballast.plans.blocks import BLOCK, block_totals, range_blocks, running_totals
 from ballast.plans.scratch import materialize
 from ballast.plans.skew import HOT_ROWS, MAX_HOT_KEYS, join_by_key
@@ -18,6 +19,8 @@ from ballast.plans.skew import HOT_ROWS, MAX_HOT_KEYS, join_by_key
 CAP = 10
 SEED = 1
 CHUNK = 1000
+# Letters of the MD5 that tell the parts of a slot: 4,096 parts, so that a slot of any size is cut up.
+PREFIX = 3
 
 NODE = ("slot", "tree_id", "node_id")
 
@@ -57,6 +60,21 @@ def pending_pages(nodes: DataFrame, slots: DataFrame, page_size: int = CHUNK) ->
     return pages.unionByName(empty)
 
 
+def slot_results(
+    solutions: DataFrame, nodes: DataFrame, slots: DataFrame, sense: str = "max", tie: str = "tie_id", page_size: int = CHUNK
+) -> DataFrame:
+    """What each slot reports: its best solution with the counts and the pages of its open nodes.
+
+    ``solutions`` has slot, status, objective and the tie column. One row per slot and page;
+    a slot without a solution has nulls in its columns.
+    """
+    best = merge_incumbent(solutions, "slot", sense, tie)
+    heads = pending_by_slot(nodes, slots).join(best, "slot", "left")
+    pages = pending_pages(nodes, slots, page_size)
+    hot = _hot_slots(heads, "n", HOT_ROWS * page_size)
+    return join_by_key(pages, heads, "slot", hot)
+
+
 def levelling_threshold(counts: DataFrame, cap: int = CAP) -> DataFrame:
     """One row: (n_slots, n_open, threshold)."""
     n_open = F.coalesce(F.sum("n"), F.lit(0).cast("bigint"))
@@ -143,39 +161,32 @@ def _hot_slots(plan: DataFrame, size: str, hot_rows: int) -> DataFrame | None:
     return plan.where(f"{size} > {limit}").select("slot") if total > limit else None
 
 
-def pick_to_move(nodes: DataFrame, plan: DataFrame, seed: int = SEED, hot_rows: int = HOT_ROWS) -> DataFrame:
+def pick_to_move(nodes: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     """Exactly ``-delta`` nodes of every giving slot: (slot, tree_id, node_id, rank).
 
-    The order is pseudo-random but fixed by the seed: by MD5 of seed, tree and node. Only
-    the nodes of giving slots are put in order.
+    The order is pseudo-random but fixed by the seed: by MD5 of seed, tree and node. Counts
+    per slot and MD5 prefix tell which prefixes lie before the last node to give; only nodes with
+    these are read again, and each prefix of a slot is put in order by itself.
     """
-    plan = plan.where("delta < 0").selectExpr("slot", "n", "-delta as gives")
-    hot = _hot_slots(plan, "n", hot_rows)
-    lot = F.md5(F.concat_ws("|", F.lit(str(seed)), "tree_id", "node_id")).alias("lot")
-    giving = join_by_key(nodes.select(*NODE, lot), plan.select("slot"), "slot", hot)
-    order = [F.col("lot"), F.col("tree_id"), F.col("node_id")]
-    blocked = range_blocks(giving, ["slot"], order, "lots")
-    one = {"rank": F.expr("1L")}
-    # Blocks that start behind the last node to give are never read in order.
-    context = block_totals(blocked, ["slot"], one).join(plan, "slot").where("rank_before < gives")
-    ranked = running_totals(blocked, ["slot"], order, one, context.select("slot", BLOCK, "rank_before", "gives"))
-    return ranked.withColumn("rank", F.col("rank_before") + 1).where("rank <= gives").select(*NODE, "rank")
-
-
-def _same_node(left: str, right: str):
-    """Nodes match on slot and node, and on the tree without regard to case."""
-    return (
-        (F.col(f"{left}.slot") == F.col(f"{right}.slot"))
-        & (F.col(f"{left}.node_id") == F.col(f"{right}.node_id"))
-        & (F.lower(f"{left}.tree_id") == F.lower(f"{right}.tree_id"))
-    )
+    lot = F.md5(F.concat_ws("|", F.lit(str(seed)), "tree_id", "node_id"))
+    lots = nodes.select(*NODE, lot.alias("lot")).withColumn("prefix", F.substring("lot", 1, PREFIX))
+    givers = plan.where("delta < 0").selectExpr("slot", "-delta as gives")
+    counts = lots.groupBy("slot", "prefix").agg(F.count("*").alias("c")).join(givers, "slot")
+    earlier = Window.partitionBy("slot").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    context = counts.select("slot", "prefix", "gives", F.coalesce(F.sum("c").over(earlier), F.lit(0).cast("bigint")).alias("before"))
+    inside = Window.partitionBy("slot", "prefix").orderBy("lot", "tree_id", "node_id")
+    ranked = lots.join(context.where("before < gives"), ["slot", "prefix"])
+    ranked = ranked.withColumn("rank", (F.col("before") + F.row_number().over(inside)).cast("bigint"))
+    return ranked.where("rank <= gives").select(*NODE, "rank")
 
 
 def split_moved(nodes: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(moved, kept): the nodes that are among the picked ones, and the others."""
-    match = _same_node("nodes", "picked")
-    nodes, picked = nodes.alias("nodes"), picked.select(*NODE).alias("picked")
-    return nodes.join(picked, match, "left_semi"), nodes.join(picked, match, "left_anti")
+    """(moved, kept): the nodes that are among the picked ones, and the others.
+
+    Here as everywhere a node is told by its slot, tree and node id, letter for letter.
+    """
+    picked = picked.select(*NODE)
+    return nodes.join(picked, list(NODE), "left_semi"), nodes.join(picked, list(NODE), "left_anti")
 
 
 def assign_destinations(picked: DataFrame, plan: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -204,19 +215,18 @@ def assign_destinations(picked: DataFrame, plan: DataFrame, hot_rows: int = HOT_
     return moving.join(places, "place").drop("place")
 
 
-def rebalance(
-    nodes: DataFrame, slots: DataFrame, cap: int = CAP, seed: int = SEED, place: int | None = None
-) -> DataFrame:
+def rebalance(nodes: DataFrame, slots: DataFrame, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """The nodes after one levelling: their columns, and ``old_slot``.
 
     A moved node is the root of a new tree named after its old tree and its own id. Kept
-    and moved nodes come from one join of all nodes with the moves. With ``place`` the rows
-    are put on that many partitions, slot s on partition s modulo ``place``.
+    and moved nodes come from one join of all nodes with the moves. (slot, tree_id, node_id)
+    must be unique.
     """
     plan = materialize(levelling_plan(pending_by_slot(nodes, slots), cap), "plan")
     picked = pick_to_move(nodes, plan, seed)
     moves = assign_destinations(picked, plan).alias("moves")
-    rows = nodes.alias("nodes").join(moves, _same_node("nodes", "moves"), "left")
+    same = [F.col(f"nodes.{c}") == F.col(f"moves.{c}") for c in NODE]
+    rows = nodes.alias("nodes").join(moves, same, "left")
     new_slot = F.col("moves.new_slot")
     changed = {
         "slot": F.coalesce(new_slot, F.col("nodes.slot")),
@@ -224,9 +234,6 @@ def rebalance(
             F.concat_ws("/", "nodes.tree_id", "nodes.node_id")
         ),
     }
-    result = rows.select(
+    return rows.select(
         *[changed.get(c, F.col(f"nodes.{c}")).alias(c) for c in nodes.columns], F.col("nodes.slot").alias("old_slot")
     )
-    if place is not None:
-        result = result.repartitionById(place, F.col("slot").cast("int"))
-    return result

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.functions.bounds import flip_can_win
+from ballast.functions.bounds import check_whole, exact_ratio, flip_can_win
 from ballast.functions.status import check_sense
 from ballast.plans.blocks import BLOCK, block_totals, range_blocks, running_totals
 from ballast.plans.scratch import materialize, new_folder, release
@@ -55,17 +55,16 @@ class Ranked:
 def rank_items(items: DataFrame, instances: DataFrame, sense: str = "max") -> Ranked:
     """Order the items of every instance and find the greedy choice.
 
-    For ``max`` the budget is the capacity. For ``min`` the search chooses what to leave
+    Weights, values and capacities are whole numbers, and (instance, item) is unique; other types
+    are refused. For ``max`` the budget is the capacity. For ``min`` the search chooses what to leave
     out, so the budget is what the total weight exceeds the demand by.
     """
     check_sense(sense)
-    usable = items.selectExpr(
-        INSTANCE,
-        "item_id",
-        "cast(weight as bigint) as weight",
-        "cast(value as bigint) as value",
-        "coalesce(weight > 0 and value >= 0, false) as good",
-    ).selectExpr("*", "if(good, value / weight, null) as ratio")
+    check_whole(items, "weight", "value")
+    check_whole(instances, "capacity")
+    usable = items.selectExpr(INSTANCE, "item_id", "cast(weight as bigint) as weight", "cast(value as bigint) as value")
+    usable = usable.selectExpr("*", "coalesce(weight > 0 and value >= 0, false) as good")
+    usable = usable.selectExpr("*", f"if(good, {exact_ratio()}, null) as ratio")
     ordered = range_blocks(usable, [INSTANCE], _order(), "items")
     totals = {
         "n_items": F.expr("1L"),

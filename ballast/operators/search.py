@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ballast.operators.frontier import INSTANCE, NODE_COLUMNS, expand_frontier, keep_dominant, seed_frontier
 from ballast.operators.incumbent import is_halted, merge_incumbent, solution_report
-from ballast.operators.iterate import MAX_ROUNDS, iterate_until_empty
+from ballast.operators.iterate import iterate_until_empty
 from ballast.operators.ranking import GREEDY, rank_items, search_space
 from ballast.plans.skew import hot_keys
 
@@ -42,7 +42,7 @@ def select_best_subset(
     items: DataFrame,
     instances: DataFrame,
     sense: str = "max",
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = None,
     levels_per_round: int = LEVELS_PER_ROUND,
     dominance: bool = True,
     halt_all: bool = False,
@@ -58,8 +58,8 @@ def select_best_subset(
     other items gets status error and is not searched. With ``halt_all`` one such instance
     stops the whole search.
 
-    When ``max_rounds`` ends the search early, instances with open nodes are reported as
-    feasible with the best choice found so far.
+    The search goes on until every instance is solved. When ``max_rounds`` ends it early, instances
+    with open nodes are reported as feasible with the best choice found so far.
     """
     if not 1 <= levels_per_round <= MOST_LEVELS:
         raise ValueError(f"levels_per_round must be between 1 and {MOST_LEVELS}")

@@ -5,11 +5,12 @@ from __future__ import annotations
 CUSTOMER_ITEMS = """
 items AS (
     SELECT o_custkey AS instance_id, o_orderkey AS item_id,
-           CAST(q AS BIGINT) AS weight, CAST(round(o_totalprice * 100) AS BIGINT) AS value
-    FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+           greatest(1, CAST(coalesce(q, 0) AS BIGINT)) AS weight, CAST(round(o_totalprice * 100) AS BIGINT) AS value
+    FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
 ),
 instances AS (
-    SELECT instance_id, CAST(floor(sum(weight) / 2) AS BIGINT) AS capacity FROM items GROUP BY 1
+    SELECT c_custkey AS instance_id, CAST(coalesce(floor(sum(weight) / 2), 0) AS BIGINT) AS capacity
+    FROM customer LEFT JOIN items ON instance_id = c_custkey GROUP BY 1
 )"""
 
 BRAND_ITEMS = """
@@ -42,7 +43,10 @@ dp(instance_id, pos, w, v) AS (
         WHERE {fits}
     ) GROUP BY 1, 2, 3
 ),
-last AS (SELECT instance_id, count(*) AS n, any_value(capacity) AS capacity FROM numbered GROUP BY 1),
+last AS (
+    SELECT instance_id, count(pos) AS n, any_value(i.capacity) AS capacity
+    FROM instances i LEFT JOIN numbered USING (instance_id) GROUP BY 1
+),
 best AS (
     SELECT instance_id, {better}(v) AS objective FROM dp JOIN last USING (instance_id)
     WHERE pos = n AND {done} GROUP BY 1
@@ -100,18 +104,31 @@ shown AS (
 )"""
 
 
-def merge(sense: str) -> str:
+AFTER_ONE = f"""{TWO_LEVELS},
+after AS (
+    SELECT b.instance_id, n_items, greatest(b.bv, coalesce(max(nv), 0))::BIGINT AS objective,
+           count(nv) FILTER (n_items > 1) AS n_open, count(nv) FILTER (n_items = 1) AS n_done,
+           CASE WHEN count(nv) FILTER (n_items > 1) > 0 THEN 'feasible' ELSE 'optimal' END AS status
+    FROM (SELECT instance_id, coalesce(n_items, 0) AS n_items, coalesce(bv, 0) AS bv FROM instances LEFT JOIN base USING (instance_id)) b
+    LEFT JOIN (SELECT instance_id, nv FROM nodes WHERE depth = 1 AND bound > bv) c USING (instance_id)
+    GROUP BY b.instance_id, n_items, b.bv
+)"""
+
+
+def merge(sense: str, otherwise: str = "infeasible", key: str = "key,") -> str:
+    """Best order per customer, or of all; partial orders have the status ``otherwise``."""
     sign = "-" if sense == "max" else ""
+    part = "PARTITION BY key" if key else ""
     return f"""
 WITH s AS (
     SELECT o_custkey AS key, o_orderkey AS tie_id,
-           CASE o_orderstatus WHEN 'F' THEN 'optimal' WHEN 'O' THEN 'feasible' ELSE 'infeasible' END AS status,
+           CASE o_orderstatus WHEN 'F' THEN 'optimal' WHEN 'O' THEN 'feasible' ELSE '{otherwise}' END AS status,
            CAST(round(o_totalprice * 100) AS BIGINT) AS objective
     FROM orders
-)
-SELECT key, tie_id, status, objective, false AS halted FROM (
-    SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE status WHEN 'infeasible' THEN 1 ELSE 0 END,
-        CASE status WHEN 'infeasible' THEN 0 ELSE {sign}objective END, tie_id) AS place FROM s
+),
+r AS (SELECT *, CASE WHEN status IN ('error', 'unbounded') THEN 0 WHEN status = 'infeasible' THEN 2 ELSE 1 END AS class FROM s)
+SELECT {key} tie_id, status, objective, class = 0 AS halted FROM (
+    SELECT *, row_number() OVER ({part} ORDER BY class, CASE class WHEN 1 THEN {sign}objective ELSE 0 END, tie_id) AS place FROM r
 ) WHERE place = 1"""
 
 
@@ -120,17 +137,25 @@ WORK = {
 nodes AS (
     SELECT l_suppkey AS slot, CAST(l_orderkey AS VARCHAR) AS tree_id, l_linenumber || '-' || l_partkey AS node_id,
            l_discount < 0.05 AS is_easy
-    FROM lineitem WHERE l_quantity = 50
+    FROM lineitem
 ),
 slots AS (SELECT s_suppkey AS slot FROM supplier)""",
     "customer": """
 nodes AS (
     SELECT o_custkey AS slot, CAST(o_orderkey AS VARCHAR) AS tree_id, CAST(o_orderkey AS VARCHAR) AS node_id,
            o_totalprice < 100000 AS is_easy
-    FROM orders WHERE o_orderpriority = '1-URGENT'
+    FROM orders
+),
+slots AS (SELECT c_custkey AS slot FROM customer)""",
+    "cased": """
+nodes AS (
+    SELECT o_custkey AS slot, CASE o_orderkey % 2 WHEN 0 THEN 't' ELSE 'T' END || (o_orderkey // 2) AS tree_id, '0' AS node_id,
+           o_totalprice < 100000 AS is_easy
+    FROM orders
 ),
 slots AS (SELECT c_custkey AS slot FROM customer)""",
 }
+CAPS = {"supplier": 1_000_000_000, "customer": 10, "cased": 10}
 
 COUNTS = """
 counts AS (
@@ -142,7 +167,7 @@ counts AS (
 THRESHOLD = """
 limits AS (
     SELECT count(*) AS n_slots, CAST(sum(n) AS BIGINT) AS n_open,
-           least(10, CAST(ceil(sum(n) / count(*)) AS BIGINT) - 1) AS threshold FROM counts
+           least({cap}, CAST(ceil(sum(n) / count(*)) AS BIGINT) - 1) AS threshold FROM counts
 )"""
 
 # Every open node above the threshold is one unit at the height it sits at; units are taken
@@ -183,7 +208,8 @@ assigned AS (SELECT slot, tree_id, node_id, new_slot FROM numbered JOIN places U
 def work(owner: str) -> dict[str, str]:
     head = f"WITH {WORK[owner]}"
     counts = f"{head}, {COUNTS}"
-    plan = f"{counts}, {THRESHOLD}, {PLAN}"
+    threshold = THRESHOLD.format(cap=CAPS[owner])
+    plan = f"{counts}, {threshold}, {PLAN}"
     picked = f"{plan}, {PICKED}"
     assigned = f"{picked}, {ASSIGNED}"
     return {
@@ -198,11 +224,11 @@ def work(owner: str) -> dict[str, str]:
                 UNION ALL
                 SELECT slot, NULL, 1, 0 FROM slots WHERE slot NOT IN (SELECT slot FROM nodes)
             ) GROUP BY 1, 2""",
-        "levelling_threshold": f"{counts}, {THRESHOLD} SELECT * FROM limits",
+        "levelling_threshold": f"{counts}, {threshold} SELECT * FROM limits",
         "levelling_plan": f"{plan} SELECT * FROM plan",
         "pick_to_move": f"{picked} SELECT * FROM picked",
         "split_moved": f"""{picked}
-            SELECT nodes.slot, 't' || nodes.tree_id AS tree_id, nodes.node_id, is_easy, rank IS NOT NULL AS moved
+            SELECT nodes.slot, nodes.tree_id, nodes.node_id, is_easy, rank IS NOT NULL AS moved
             FROM nodes LEFT JOIN picked USING (slot, tree_id, node_id)""",
         "assign_destinations": f"{assigned} SELECT * FROM assigned",
         "rebalance": f"""{assigned}
@@ -210,9 +236,6 @@ def work(owner: str) -> dict[str, str]:
                    CASE WHEN new_slot IS NULL THEN tree_id ELSE tree_id || '/' || node_id END AS tree_id,
                    node_id, is_easy, slot AS old_slot
             FROM nodes LEFT JOIN assigned USING (slot, tree_id, node_id)""",
-        "rebalance_placed": f"""{assigned}
-            SELECT DISTINCT coalesce(new_slot, slot) AS slot, CAST(coalesce(new_slot, slot) % 39 AS INTEGER) AS partition
-            FROM nodes LEFT JOIN assigned USING (slot, tree_id, node_id)""",
     }
 
 
@@ -221,7 +244,7 @@ def budget(total: int) -> str:
 WITH RECURSIVE trees AS (
     SELECT o_custkey AS group_id, o_orderkey AS seq, count(*) FILTER (l_quantity < 25) AS e,
            count(*) FILTER (l_quantity >= 25) AS h
-    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2
 ),
 lined AS (
     SELECT group_id, seq, e, h, row_number() OVER w AS pos,
@@ -245,7 +268,7 @@ SELECT group_id, seq, round(share, 4) AS share FROM served WHERE pos > 0"""
 
 PARTS = """
 WITH RECURSIVE parts(o_orderkey, quantity, round) AS (
-    SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT), 0 FROM lineitem GROUP BY 1
+    SELECT o_orderkey, CAST(coalesce(sum(l_quantity), 0) AS BIGINT), 0 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1
     UNION ALL
     SELECT o_orderkey, CASE WHEN half = 0 THEN quantity // 2 ELSE quantity - quantity // 2 END, round + 1
     FROM parts, (VALUES (0), (1)) h(half) WHERE quantity > 10
@@ -256,6 +279,7 @@ def oracle_sql() -> dict[str, str]:
     customers = {s: best_of_all(CUSTOMER_ITEMS, s) for s in ("max", "min")}
     brands = {s: best_of_all(BRAND_ITEMS, s) for s in ("max", "min")}
     nodes = "SELECT instance_id, depth, weight, value, bound, flips FROM shown"
+    slots = work("customer")
     found = {
         "seed_frontier": """
             SELECT c_custkey AS instance_id, CAST(c_custkey AS VARCHAR) AS tree_id, '' AS node_id,
@@ -278,6 +302,25 @@ def oracle_sql() -> dict[str, str]:
             FROM instances LEFT JOIN best USING (instance_id)""",
         "apportion_budget_600": budget(600),
         "apportion_budget_60": budget(60),
+        "apportion_budget_5000": budget(5000),
+        "merge_incumbent_errors": merge("max", "error"),
+        "merge_incumbent_all": merge("max", key=""),
+        "merge_incumbent_all_errors": merge("min", "unbounded", key=""),
+        "is_halted": "SELECT coalesce(bool_or(o_orderstatus NOT IN ('F', 'O')), false) AS halted FROM orders",
+        "solution_report_after_one_round": f"{AFTER_ONE} SELECT instance_id, status, objective, n_open, false AS halted FROM after",
+        "search_history": f"""{AFTER_ONE}
+            SELECT 0 AS round, count(*) FILTER (n_items > 0) AS n_open, CAST(0 AS BIGINT) AS n_closed, CAST(NULL AS VARCHAR) AS stop_reason FROM after
+            UNION ALL
+            SELECT 1, CAST(sum(n_open) AS BIGINT), CAST(sum(n_done) AS BIGINT), CASE WHEN sum(n_open) = 0 THEN 'empty' ELSE 'max_rounds' END FROM after""",
+        "best_subset_halted": f"""{TWO_LEVELS}
+            SELECT instance_id, CASE WHEN instance_id = 7 THEN 'error' WHEN n_items > 0 THEN 'feasible' ELSE 'optimal' END AS status,
+                   CASE WHEN instance_id <> 7 THEN CAST(coalesce(bv, 0) AS BIGINT) END AS objective,
+                   CAST(CASE WHEN instance_id <> 7 AND n_items > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_open, true AS halted
+            FROM instances LEFT JOIN base USING (instance_id)""",
+        "slot_results_customer": f"""
+            WITH pages AS ({slots["pending_pages"]}), counted AS ({slots["pending_by_slot"]}), best AS ({merge("max")})
+            SELECT slot, page, pending, n, n_easy, n_hard, tie_id, status, objective, halted
+            FROM pages JOIN counted USING (slot) LEFT JOIN best ON key = slot""",
         "iterate_halving": f"""{PARTS}
             SELECT o_orderkey, count(*) AS leaves, CAST(sum(quantity) AS BIGINT) AS quantity
             FROM parts WHERE quantity <= 10 GROUP BY 1""",

@@ -17,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Fixed value: the cluster that the levelling rule was made for has this many work slots.
 N_SLOTS = 39
 BRAND_CAPACITY = 100
+# Suppliers have hundreds of lines each; a cap above the mean lets them level.
+NO_CAP = 1_000_000_000
 
 
 def _flip_list(flips: str) -> str:
@@ -25,7 +27,7 @@ def _flip_list(flips: str) -> str:
 
 def _customers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     items = materialize(views.customer_items(spark, folder), "orders")
-    return items, views.half_capacity(items)
+    return items, views.half_capacity(spark, folder, items)
 
 
 def _brands(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -71,6 +73,24 @@ def _merge(sense: str) -> Query:
     return query
 
 
+def merge_incumbent_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """With partial orders as errors, which halt their customer's search."""
+    return incumbent.merge_incumbent(views.order_solutions(spark, folder, "error"), "key", "max")
+
+
+def merge_incumbent_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The best of all solutions, without a key."""
+    return incumbent.merge_incumbent(views.order_solutions(spark, folder).drop("key"), [], "max")
+
+
+def merge_incumbent_all_errors(spark: SparkSession, folder: str) -> DataFrame:
+    return incumbent.merge_incumbent(views.order_solutions(spark, folder, "unbounded").drop("key"), [], "min")
+
+
+def is_halted(spark: SparkSession, folder: str) -> DataFrame:
+    return incumbent.is_halted(views.order_solutions(spark, folder, "error"))
+
+
 def _best_subset(instances: Callable, sense: str, **options) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         result = search.select_best_subset(*instances(spark, folder), sense, **options)
@@ -94,7 +114,9 @@ def best_subset_choices(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _limited(spark: SparkSession, folder: str) -> search.SearchResult:
-    return search.select_best_subset(*_customers(spark, folder), max_rounds=1, levels_per_round=2)
+    return search.select_best_subset(
+        *_customers(spark, folder), max_rounds=1, levels_per_round=1, dominance=False, reduce=False
+    )
 
 
 def solution_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +131,25 @@ def search_history(spark: SparkSession, folder: str) -> DataFrame:
     return _limited(spark, folder).history
 
 
-def _work(view: Callable) -> dict[str, Query]:
+def best_subset_halted(spark: SparkSession, folder: str) -> DataFrame:
+    """A capacity that is missing is an error and ends the whole search."""
+    items, instances = _customers(spark, folder)
+    instances = instances.selectExpr("instance_id", "if(instance_id = 7, null, capacity) as capacity")
+    return search.select_best_subset(items, instances, halt_all=True, reduce=False).report
+
+
+def slot_results_customer(spark: SparkSession, folder: str) -> DataFrame:
+    """What every customer's slot reports: best order, counts and pages of open orders."""
+    solutions = views.order_solutions(spark, folder).withColumnRenamed("key", "slot")
+    rows = levelling.slot_results(solutions, *views.customer_work(spark, folder), page_size=4)
+    entry = "concat_ws(':', x.tree_id, x.node_id, cast(x.is_easy as int))"
+    return rows.selectExpr(
+        "slot", "page", f"array_join(transform(pending, x -> {entry}), ',') as pending",
+        "n", "n_easy", "n_hard", "tie_id", "status", "objective", "halted",
+    )
+
+
+def _work(view: Callable, cap: int) -> dict[str, Query]:
     def pending(spark: SparkSession, folder: str) -> DataFrame:
         return levelling.pending_by_slot(*view(spark, folder))
 
@@ -122,14 +162,14 @@ def _work(view: Callable) -> dict[str, Query]:
         return lists.selectExpr("slot", "page", f"array_join(transform(pending, x -> {entry}), ',') as pending")
 
     def threshold(spark: SparkSession, folder: str) -> DataFrame:
-        return levelling.levelling_threshold(pending(spark, folder))
+        return levelling.levelling_threshold(pending(spark, folder), cap)
 
     def plan(spark: SparkSession, folder: str) -> DataFrame:
-        return levelling.levelling_plan(pending(spark, folder))
+        return levelling.levelling_plan(pending(spark, folder), cap)
 
     def planned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         nodes, slots = view(spark, folder)
-        made = materialize(levelling.levelling_plan(levelling.pending_by_slot(nodes, slots)), "plan")
+        made = materialize(levelling.levelling_plan(levelling.pending_by_slot(nodes, slots), cap), "plan")
         return nodes, made, levelling.pick_to_move(nodes, made)
 
     def picked(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,8 +177,7 @@ def _work(view: Callable) -> dict[str, Query]:
 
     def split(spark: SparkSession, folder: str) -> DataFrame:
         nodes, _, chosen = planned(spark, folder)
-        loud = materialize(chosen.withColumn("tree_id", F.upper(F.concat(F.lit("t"), "tree_id"))), "picked")
-        moved, kept = levelling.split_moved(nodes.withColumn("tree_id", F.concat(F.lit("t"), "tree_id")), loud)
+        moved, kept = levelling.split_moved(nodes, materialize(chosen, "picked"))
         return moved.withColumn("moved", F.lit(True)).unionByName(kept.withColumn("moved", F.lit(False)))
 
     def assigned(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,11 +185,7 @@ def _work(view: Callable) -> dict[str, Query]:
         return levelling.assign_destinations(chosen, made)
 
     def balanced(spark: SparkSession, folder: str) -> DataFrame:
-        return levelling.rebalance(*view(spark, folder))
-
-    def placed(spark: SparkSession, folder: str) -> DataFrame:
-        rows = levelling.rebalance(*view(spark, folder), place=N_SLOTS)
-        return rows.select("slot", F.spark_partition_id().alias("partition")).distinct()
+        return levelling.rebalance(*view(spark, folder), cap)
 
     return {
         "pending_by_slot": pending,
@@ -162,7 +197,6 @@ def _work(view: Callable) -> dict[str, Query]:
         "split_moved": split,
         "assign_destinations": assigned,
         "rebalance": balanced,
-        "rebalance_placed": placed,
     }
 
 
@@ -212,11 +246,23 @@ def queries() -> dict[str, Query]:
         "solution_report": solution_report,
         "solution_report_after_one_round": solution_report_after_one_round,
         "search_history": search_history,
+        "merge_incumbent_errors": merge_incumbent_errors,
+        "merge_incumbent_all": merge_incumbent_all,
+        "merge_incumbent_all_errors": merge_incumbent_all_errors,
+        "is_halted": is_halted,
+        "best_subset_halted": best_subset_halted,
+        "slot_results_customer": slot_results_customer,
         "apportion_budget_600": _budget(600),
         "apportion_budget_60": _budget(60),
+        "apportion_budget_5000": _budget(5000),
         "iterate_halving": iterate_halving,
         "iterate_history": iterate_history,
     }
-    for owner, view in (("supplier", views.supplier_work), ("customer", views.customer_work)):
-        found.update({f"{name}_{owner}": query for name, query in _work(view).items()})
+    work = {
+        "supplier": (views.supplier_work, NO_CAP),
+        "customer": (views.customer_work, levelling.CAP),
+        "cased": (views.customer_cased_work, levelling.CAP),
+    }
+    for owner, (view, cap) in work.items():
+        found.update({f"{name}_{owner}": query for name, query in _work(view, cap).items()})
     return found

@@ -28,8 +28,7 @@ def as_set(names, rows):
 
 
 def test_every_statement_belongs_to_a_query():
-    assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"solution_report_after_one_round", "search_history"}
+    assert set(SQL) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -50,9 +49,3 @@ def test_round_limit_leaves_feasible_choices(spark, data, tables):
         assert (row.n_open > 0) == (row.status == "feasible")
         if row.status == "optimal":
             assert row.objective == full[row.instance_id]
-
-
-def test_history_tells_why_the_search_ended(spark, data):
-    rows = QUERIES["search_history"](spark, data).orderBy("round").collect()
-    assert [r.round for r in rows] == [0, 1]
-    assert [r.stop_reason for r in rows] == [None, "max_rounds"]

@@ -48,3 +48,12 @@ def test_follows_the_trees_in_order(spark, total, seconds):
 def test_large_budget_over_many_trees(spark):
     groups = {1: [(1, 0)] * 1500 + [(0, 1)] * 500}
     assert shares(spark, groups, 7000)[1] == pytest.approx(in_order(groups[1], 7000))
+
+
+@pytest.mark.parametrize("total", [200_000, 1_000_000])
+def test_tens_of_thousands_of_funded_trees_in_one_group(spark, total):
+    """Short by a lot and ample; both take seconds."""
+    groups = {1: [(1, i % 2) for i in range(20_000)], 2: [(1, 0)] * 30_000, 3: [(0, 0), (2, 0)]}
+    found = shares(spark, groups, total)
+    for g, trees in groups.items():
+        assert found[g] == pytest.approx(in_order(trees, total)), g

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ballast import select_best_subset
+from ballast.operators.frontier import expand_frontier, seed_frontier
 from ballast.operators.ranking import rank_items, search_space
 
 ITEMS = "instance_id BIGINT, item_id BIGINT, weight BIGINT, value BIGINT"
@@ -163,3 +164,76 @@ def test_large_numbers_stay_exact(spark):
         if sum(w for k, (w, _) in enumerate(rows) if mask >> k & 1) <= made[1][0]
     )
     assert select_best_subset(*tables(spark, made)).report.first().objective == expected
+
+
+def test_order_of_items_is_exact_for_any_bigint(spark):
+    """Ratios that agree as DOUBLE: the better item is found, and chosen."""
+    big = 2**53
+    made = {
+        1: (10, [(10, big), (10, big + 1)]),
+        2: (10, [(10, big + 1), (10, big)]),
+        3: (2**62, [(2**61 + 1, 2**62 + 1), (2**61 - 1, 2**62 - 3), (2, 4)]),
+        4: (7, [(3, 9 * 10**17 // 3), (7, 7 * 10**17 + 1), (4, 4 * 10**17)]),
+    }
+    check(select_best_subset(*tables(spark, made)), made, "max")
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "decimal(10, 2)", "string"])
+def test_fractions_are_refused(spark, kind):
+    items, instances = tables(spark, {1: (5, [(2, 10), (2, 10)])})
+    for column in ("weight", "value"):
+        with pytest.raises(TypeError):
+            select_best_subset(items.withColumn(column, F.col(column).cast(kind)), instances)
+    with pytest.raises(TypeError):
+        select_best_subset(items, instances.withColumn("capacity", F.col("capacity").cast(kind)))
+
+
+def test_whole_decimals_are_fine(spark):
+    items, instances = tables(spark, {1: (5, [(2, 10), (2, 10), (3, 11)])})
+    items = items.withColumn("weight", F.col("weight").cast("decimal(12, 0)"))
+    assert select_best_subset(items, instances).report.first().objective == 21
+
+
+def test_bounds_are_never_below_the_best_completion(spark):
+    from itertools import combinations
+
+    draw = random.Random(19)
+    made = {i: (draw.randint(1, 25), [(draw.randint(1, 9), draw.randint(0, 30)) for _ in range(draw.randint(1, 8))]) for i in range(60)}
+    items, instances = tables(spark, made)
+    space = search_space(rank_items(items, instances), page_size=2, reduce=False)
+    roots = space.roots().withColumnsRenamed({"base_weight": "weight", "base_value": "value"})
+    roots = seed_frontier(roots, 1, carry=["weight", "value"]).withColumn("bound", F.lit(None).cast("bigint"))
+    first = expand_frontier(roots, space.page(0)).drop("best", "complete")
+    seen = 0
+    for node in first.unionByName(expand_frontier(first, space.page(1)).drop("best", "complete")).collect():
+        capacity, rows = made[node.instance_id]
+        order = sorted(range(len(rows)), key=lambda n: (-rows[n][1] / rows[n][0], n))
+        greedy, room = set(), capacity
+        for n in order:
+            if rows[n][0] > room:
+                break
+            greedy.add(n)
+            room -= rows[n][0]
+        decided, flips = set(order[: node.depth]), set(node.flips)
+        fixed = {n for n in decided if (n in greedy) != (n in flips)}
+        free = order[node.depth :]
+        best = max(
+            (
+                sum(rows[n][1] for n in fixed.union(more))
+                for k in range(len(free) + 1)
+                for more in combinations(free, k)
+                if sum(rows[n][0] for n in fixed.union(more)) <= capacity
+            ),
+            default=None,
+        )
+        if best is not None:
+            seen += 1
+            assert node.bound >= best, (node, best)
+    assert seen > 100
+
+
+def test_a_search_of_many_rounds_needs_no_limit(spark):
+    made = {1: (60, [(w, w) for w in (7, 11, 13, 17, 19, 23, 29, 31)])}
+    result = select_best_subset(*tables(spark, made), levels_per_round=1, reduce=False, dominance=False)
+    assert result.stop_reason == "empty"
+    check(result, made, "max")
