@@ -167,10 +167,12 @@ class Template:
                 seen = Counter(words[k] for k in group if words[k] in self.once)
                 word = max(seen, key=lambda w: (seen[w], w)) if seen else None
                 hubs = [k for k in group if words[k] == word] or [group[0]]
-                for n, hub in enumerate(hubs):
-                    low = max(hub - reach, (hubs[n - 1] + hub) // 2 + 1 if n else 0, 0)
-                    high = min(hub + reach, (hub + hubs[n + 1]) // 2 + 1 if n + 1 < len(hubs) else len(words), len(words))
-                    yield low, high
+                before = self.words.index(word) if word else 0
+                after = len(self.words) - before
+                # Between two occurrences the border is half way from where one should end to where the other should begin.
+                borders = [min(max((a + after + b - before) // 2, a + 1), b) for a, b in zip(hubs, hubs[1:], strict=False)]
+                for hub, low, high in zip(hubs, [0, *borders], [*borders, len(words)], strict=True):
+                    yield max(low, hub - reach), min(high, hub + reach)
                 group = []
             if i is not None:
                 group.append(i)

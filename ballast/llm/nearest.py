@@ -38,11 +38,16 @@ EPSILON = 2.5
 
 
 @dataclass
-class Index:
-    chunks: DataFrame
+class Geometry:
     centre: np.ndarray
     rotation: np.ndarray
 
+
+@dataclass
+class Index:
+    chunks: DataFrame
+    geometry: Geometry
+
     def release(self) -> None:
         release(self.chunks)
 
@@ -103,17 +108,17 @@ def build_index(rows: DataFrame, seed: int = 11) -> Index | None:
                 })
 
     chunks = rows.mapInPandas(encode, "ids binary, codes binary, scalars binary, vectors binary")
-    return Index(materialize(chunks, "index"), centre, rotation)
+    return Index(materialize(chunks, "index"), Geometry(centre, rotation))
 
 
-def bounds(chunk, queries: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bounds(chunk, queries: np.ndarray, geometry: Geometry) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of a chunk, estimates (queries, vectors) of the inner products, and how far off they can be."""
-    d = len(index.centre)
+    d = len(geometry.centre)
     ids = np.frombuffer(chunk.ids, np.int64)
     signs = np.unpackbits(np.frombuffer(chunk.codes, np.uint8).reshape(len(ids), -1), axis=1)[:, :d]
     norm, fit = np.frombuffer(chunk.scalars).reshape(2, -1)
     code = (signs.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
-    estimate = ((queries @ index.rotation).astype(np.float32) @ code.T) * (norm / fit) + (queries @ index.centre)[:, None]
+    estimate = ((queries @ geometry.rotation).astype(np.float32) @ code.T) * (norm / fit) + (queries @ geometry.centre)[:, None]
     spread = norm * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * EPSILON / np.sqrt(max(d - 1, 1))
     return ids, estimate, np.linalg.norm(queries, axis=1)[:, None] * spread + 1e-5 * (1 + np.abs(estimate))
 
@@ -123,7 +128,7 @@ def search(index: Index | None, queries: DataFrame, k: int = 20, block: int = QU
     spark = queries.sparkSession
     found = None
     if index is not None:
-        d = len(index.centre)
+        d = len(index.geometry.centre)
         rows = usable(queries).where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
         blocks = max(1, -(-rows.count() // block))
         rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
@@ -138,7 +143,8 @@ def search(index: Index | None, queries: DataFrame, k: int = 20, block: int = QU
 
 def search_block(index: Index, block: DataFrame, k: int) -> DataFrame:
     """Candidates (query_id, vec_id, score) of one block of queries from all chunks."""
-    spark, d = block.sparkSession, len(index.centre)
+    spark, geometry = block.sparkSession, index.geometry
+    d = len(geometry.centre)
     asked = block.collect()
     ids, vectors = np.array([r.id for r in asked], np.int64), np.array([r.v for r in asked]).reshape(-1, d)
     shared = spark.sparkContext.broadcast((ids, vectors))
@@ -148,7 +154,7 @@ def search_block(index: Index, block: DataFrame, k: int) -> DataFrame:
         best = np.full((len(own), k), -np.inf)
         for batch in batches:
             for chunk in batch.itertuples():
-                found, estimate, spread = bounds(chunk, q, index)
+                found, estimate, spread = bounds(chunk, q, geometry)
                 low = np.where(own[:, None] == found[None, :], -np.inf, estimate - spread)
                 best = np.partition(np.concatenate([best, low], axis=1), -k, axis=1)[:, -k:]
         yield pd.DataFrame({"best": [best.tobytes()]})
@@ -163,7 +169,7 @@ def search_block(index: Index, block: DataFrame, k: int) -> DataFrame:
         own, q = shared.value
         for batch in batches:
             for chunk in batch.itertuples():
-                found, estimate, spread = bounds(chunk, q, index)
+                found, estimate, spread = bounds(chunk, q, geometry)
                 v = np.frombuffer(chunk.vectors).reshape(-1, d)
                 hit = (estimate + spread >= limits.value[:, None]) & (own[:, None] != found[None, :])
                 rows, columns = np.nonzero(hit)
