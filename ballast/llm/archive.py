@@ -128,7 +128,8 @@ def read_records(archive: Archive, selected: DataFrame) -> DataFrame:
     system that holds the folder, one task for each range of an archive.
     """
     spark, folder = selected.sparkSession, archive.folder
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", F.col("archive").cast("int").alias("archive"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+    files = files.select("path", F.regexp_extract("path", r"/archive=(\d+)/[^/]*$", 1).cast("int").alias("archive"))
     kind = selected.schema["page_id"].dataType.simpleString()
     wanted = selected.select("archive", "offset", "length", "page_id", "url", "refers_to").join(at_most(files), "archive")
     wanted = wanted.withColumn("slice", F.floor(F.col("offset") / READ_BYTES))

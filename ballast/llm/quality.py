@@ -185,9 +185,12 @@ def score_block(grams: list[str], p: dict[str, float], gamma: dict[str, float])
 def perplexities(blocks: DataFrame, model: DataFrame) -> DataFrame:
     """(id, lang, role, n_symbols, perplexity) of the texts of ``blocks``, a table bucketed by block."""
     blocks = blocks.where("role <> 'blank'")
-    parts = [F.transform("grams", lambda g, n=n: F.substring(g, ORDER + 1 - n, n)) for n in range(1, ORDER)]
-    heads = [F.transform("grams", lambda g, n=n: F.substring(g, 1, n)) for n in range(ORDER)]
-    asked = blocks.select("block", "lang", F.explode(F.array_distinct(F.flatten(F.array("grams", *parts, *heads)))).alias("gram"))
+    def cut(begin: int, length: int):
+        return F.transform("grams", lambda g: F.substring(g, begin, length))
+
+    tails = [cut(ORDER + 1 - n, n) for n in range(1, ORDER)]
+    heads = [cut(1, n) for n in range(ORDER)]
+    asked = blocks.select("block", "lang", F.explode(F.array_distinct(F.flatten(F.array("grams", *tails, *heads)))).alias("gram"))
     answers = asked.join(model, ["lang", "gram"])
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("gram", "p", "gamma")).alias("answers"))
     joined = blocks.select("block", "lang", "role", "ids", "texts").join(answers, "block", "left")

@@ -86,8 +86,8 @@ def test_patterns_of_seeds_find_unseen_identifiers(spark):
 
 
 def test_masked_text():
-    assert masked("mail a@b.c now", [(5, 10, 0)]) == "mail [EMAIL] now"
-    assert masked("0123456789", [(2, 6, 2), (4, 8, 3)]) == "01[CARD]89"
+    assert masked("mail a@b.c now", [(0, 5, 10)]) == "mail [EMAIL] now"
+    assert masked("0123456789", [(2, 2, 6), (3, 4, 8)]) == "01[CARD]89"
 
 
 def test_masking_leaves_clean_rows_alone(spark):
