@@ -135,7 +135,7 @@ SELECT {key} tie_id, status, objective, class = 0 AS halted FROM (
 WORK = {
     "supplier": """
 nodes AS (
-    SELECT l_suppkey AS slot, CAST(l_orderkey AS VARCHAR) AS tree_id, l_linenumber || '-' || l_partkey AS node_id,
+    SELECT l_suppkey AS slot, CAST(l_orderkey AS VARCHAR) AS tree_id, l_linenumber || '-' || l_partkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS node_id,
            l_discount < 0.05 AS is_easy
     FROM lineitem
 ),

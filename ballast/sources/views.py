@@ -68,7 +68,7 @@ def supplier_work(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     nodes = lines.select(
         F.col("l_suppkey").alias("slot"),
         F.col("l_orderkey").cast("string").alias("tree_id"),
-        F.concat_ws("-", "l_linenumber", "l_partkey").alias("node_id"),
+        F.concat_ws("-", "l_linenumber", "l_partkey", cents("l_extendedprice")).alias("node_id"),
         (F.col("l_discount") < 0.05).alias("is_easy"),
     )
     return nodes, table(spark, folder, "supplier").select(F.col("s_suppkey").alias("slot"))

@@ -18,11 +18,15 @@ HEADLINE = [
     "best_subset_max",
     "best_subset_min",
     "best_subset_brand_max",
+    "best_subset_choices",
     "merge_incumbent_max",
     "expand_frontier",
     "rebalance_supplier",
     "rebalance_customer",
+    "pick_to_move_supplier",
+    "split_moved_supplier",
     "apportion_budget_600",
+    "apportion_budget_5000",
     "iterate_halving",
 ]
 
