@@ -11,8 +11,9 @@ How groups of any size stay cheap, without a limit on candidates:
 2. Star pass. In every bucket the class that shares most with others is the hub, and the others are compared
    with it alone. In a group of copies of one text that is the text itself, so the group becomes one
    component after as many comparisons as it has members.
-3. Rest pass. Classes that share a bucket and are still in different components are compared with
-   each other, all of them. After it every candidate pair is in one component or was compared.
+3. Rest pass. Of classes that met the same hub and are still in different components, those pairs are compared that can be linked by what
+   is known of both from the hub (see :func:`open_pairs`). After it every candidate pair is in one component, was compared, or
+   provably isn't linked.
 
 Defined results: a text without words has an empty set and is linked with nothing; with fewer words than a
 shingle has, the whole sequence is its only shingle. Null ids have no part in the choice of the smallest id. Rows that
@@ -29,6 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ballast.llm.common import LOWER, ROW_KEY, UPPER, at_most, packed, row_key, unpacked
 from ballast.llm.graph import components
@@ -133,14 +135,53 @@ def shingle_sets(rows: DataFrame, words_per_shingle: int) -> DataFrame:
     return rows.select("text").mapInPandas(run, "key binary, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets share at least ``percent`` hundredths of their union."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with the sizes na, nb and the number of shared shingles, ``rest`` (those of a that b lacks) and
+    ``linked``: do they share ``percent`` hundredths of their union?"""
     side = lambda n: sets.select(F.col("key").alias(n), F.col("shingles").alias(f"s{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    near = both.where(small * 100 >= large * percent).where(shared * 100 >= (small + large - shared) * percent)
-    return near.select("a", "b")
+    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sa", "sb").alias("rest"))
+    both = both.withColumn("shared", F.col("na") - F.size("rest"))
+    return both.withColumn("linked", F.col("shared") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+
+
+def open_pairs(star: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that were compared with the same hub, are in different components, and can still be linked.
+
+    ``star`` has the comparisons of a with its hub b. With i shingles shared with the hub and a rest r each, two classes share at most
+    min(i) + |common part of the rests|. So either min(i) alone is enough for a link, which limits the size of the partner,
+    or the rests have a shingle in common, and then even one of their first ones, in order of frequency: a class must share at least
+    ``k`` of its rest, whatever its partner, and of two sets that share k shingles the first |r| - k + 1 of each already meet.
+    At least one of the two is outside the hub's own component, so members of a large component are never paired with each other.
+    """
+    named = lambda k, n: label.select(F.col("node").alias(k), F.col("label").alias(n))
+    hubs = star.select("b", F.col("nb")).distinct()
+    spokes = star.select(F.col("b").alias("hub"), F.col("a").alias("key"), F.col("na").alias("size"), F.col("shared").alias("i"), "rest")
+    itself = hubs.select(F.col("b").alias("hub"), F.col("b").alias("key"), F.col("nb").alias("size"), F.col("nb").alias("i"), F.array().cast("array<long>").alias("rest"))
+    rows = spokes.unionByName(itself).join(named("key", "own"), "key", "left").join(named("hub", "centre"), "hub", "left")
+    rows = rows.withColumn("own", F.coalesce("own", "key")).withColumn("centre", F.coalesce("centre", "hub"))
+    rows = rows.withColumn("outside", F.col("own") != F.col("centre"))
+    open_hubs = rows.where("outside").select("hub").distinct()
+    # The most that a partner's size can be if the hub's shingles are to do, and the least that it can be at all.
+    rows = rows.withColumn("cap", F.expr(f"i * {100 + percent} div {percent} - size")).withColumn("least", F.expr(f"(size * {percent} + 99) div 100"))
+    rows = materialize(rows.join(open_hubs, "hub", "left_semi"), "spokes")
+
+    right = lambda *c: rows.select("hub", F.col("key").alias("b"), F.col("own").alias("other"), *c)
+    left = rows.where("outside").select("hub", F.col("key").alias("a"), "own", "size", "cap", "least")
+    fits = left.where("least <= cap").withColumn("partner", F.explode(F.sequence("least", F.least("cap", F.expr(f"size * 100 div {percent}")))))
+    by_size = fits.join(right(F.col("size").alias("partner"), F.col("cap").alias("room")), ["hub", "partner"]).where("own <> other and size <= room")
+
+    needed = F.greatest(F.lit(1), F.expr(f"((size + least) * {percent} + {99 + percent}) div {100 + percent} - i"))
+    tokens = rows.select("hub", "key", "own", "outside", (F.size("rest") - needed + 1).alias("first"), F.explode("rest").alias("token"))
+    seen = tokens.groupBy("hub", "token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("hub", "key").orderBy("df", "token"))
+    heads = tokens.join(seen, ["hub", "token"]).withColumn("place", place).where("place <= first and df > 1")
+    heads = materialize(heads.select("hub", "key", "own", "outside", "token"), "heads")
+    by_token = heads.where("outside").withColumnRenamed("key", "a").join(
+        heads.select("hub", "token", F.col("key").alias("b"), F.col("own").alias("other")), ["hub", "token"]
+    ).where("own <> other")
+    found = by_size.select("a", "b").unionByName(by_token.select("a", "b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicate_classes(rows: DataFrame, words_per_shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -168,17 +209,11 @@ def near_duplicate_classes(rows: DataFrame, words_per_shingle: int = 5, percent:
     hubs = members.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("w", "key")).alias("h"))
     star = members.join(hubs, "bucket").select(F.col("key").alias("a"), F.col("h.key").alias("b")).where("a <> b").distinct()
     star = materialize(star, "pairs")
-    links = materialize(confirmed(star, sets, percent), "star")
+    star = materialize(compared(star, sets, percent), "star")
+    links = star.where("linked").select("a", "b")
     first = components(links)
-
-    labelled = members.join(first.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
-    open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rest = materialize(labelled.join(open_buckets, "bucket"), "rest")
-    other = rest.select("bucket", F.col("key").alias("b"), F.col("label").alias("other"))
-    pairs = rest.withColumnRenamed("key", "a").join(other, "bucket").where("a < b and label <> other").select("a", "b").distinct()
-    pairs = pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(materialize(confirmed(pairs, sets, percent), "late"))
-    label = components(links)
+    late = compared(open_pairs(star, first, percent), sets, percent).where("linked").select("a", "b")
+    label = components(links.unionByName(materialize(late, "late")))
 
     named = classes.select("key", "least_id").join(label.withColumnRenamed("node", "key"), "key", "left")
     named = named.select("key", "least_id", F.coalesce("label", "key").alias("label"))
