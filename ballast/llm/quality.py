@@ -33,7 +33,7 @@ from ballast.plans.scratch import materialize
 
 ORDER = 4
 #: Characters of a block, about. Blocks are cut between texts.
-BLOCK = 6_000_000
+BLOCK = 4_000_000
 QUANTILE = 0.99
 MARGIN = 1.25
 #: Stands before the first character of a text and for nothing else.
@@ -51,20 +51,21 @@ def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     and where each text ends among the characters. Texts must not be empty."""
     lead = START * (ORDER - 1)
     codes = np.frombuffer("".join(lead + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    alphabet, small = np.unique(codes, return_inverse=True)
-    small = small.astype(np.uint64)
-    width = np.uint64(len(alphabet))
     sizes = np.array([len(t) for t in texts])
     begins = np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1)
-    if len(alphabet) ** ORDER >= 2**64:
-        raise ValueError(f"{len(alphabet)} different characters in a block are too many")
-    key = small[: len(small) - ORDER + 1].copy()
-    for i in range(1, ORDER):
-        key = key * width + small[i : len(small) - ORDER + 1 + i]
-    inside = np.ones(len(key), bool)
+    inside = np.ones(len(codes) - ORDER + 1, bool)
     for i in range(ORDER - 1):  # windows that begin in the last characters of a text reach into the next one
         over = begins[1:] - 1 - i
         inside[over[over >= 0]] = False
+    alphabet = np.unique(codes)
+    if len(alphabet) ** ORDER >= 2**64:  # n-grams of so many characters don't fit a number
+        grams, number = np.unique(np.lib.stride_tricks.sliding_window_view(codes, ORDER)[inside], axis=0, return_inverse=True)
+        return grams, number.reshape(-1), np.cumsum(sizes)
+    small = np.searchsorted(alphabet, codes).astype(np.uint16)
+    width = np.uint64(len(alphabet))
+    key = small[: len(inside)].astype(np.uint64)
+    for i in range(1, ORDER):
+        key = key * width + small[i : len(inside) + i]
     distinct, number = np.unique(key[inside], return_inverse=True)
     grams = np.empty((len(distinct), ORDER), np.uint32)
     for i in range(ORDER - 1, -1, -1):

@@ -14,7 +14,7 @@ from ballast.llm.language import drop_unknown_language
 from ballast.llm.near_duplicates import drop_near_duplicates
 from ballast.llm.packing import pack_documents
 from ballast.llm.personal_data import mask_personal_data
-from ballast.plans.scratch import materialize
+from ballast.plans.scratch import materialize, scratch_scope
 from ballast.sources.tables import table
 
 
@@ -58,5 +58,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch_scope() as scratch:
+            made = stage(spark, docs, sf_dir)
+        docs = materialize(made, name)
+        scratch.release()
     return docs

@@ -64,6 +64,14 @@ def test_windows_stay_inside_texts():
         at = end
 
 
+def test_windows_of_very_many_characters():
+    texts = ["".join(map(chr, range(0x3000, 0xD7FF))), "".join(map(chr, range(0x10000, 0x10000 + 30_000))), "ab"]
+    grams, number, ends = windows(texts)
+    strings = as_strings(grams)
+    assert [strings[k] for k in number[ends[1] :]] == [START * 3 + "a", START * 2 + "ab"]
+    assert strings[number[5]] == texts[0][2:6]
+
+
 def test_model_is_that_of_a_plain_version(spark):
     grams, number, _ = windows(TEXTS)
     top = Counter(as_strings(grams)[k] for k in number)
