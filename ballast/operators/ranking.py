@@ -24,10 +24,15 @@ from ballast.plans.scratch import materialize, new_folder, release
 
 INSTANCE = "instance_id"
 
-# Pages are stored in this many folders by number; the last one holds all later pages.
+# The first pages, which most instances have, are stored in a folder each; later ones share folders of as many.
 PAGE_FOLDERS = 64
 
 
+def page_folder(page: str) -> str:
+    """The folder of a page, as an SQL expression."""
+    return f"cast(if({page} < {PAGE_FOLDERS}, {page}, {PAGE_FOLDERS - 1} + {page} div {PAGE_FOLDERS}) as int)"
+
+
 def _order() -> list[Column]:
     return [F.col("ratio").desc(), F.col("item_id")]
 
@@ -154,11 +159,8 @@ class SearchSpace:
 
     def page(self, number: int) -> DataFrame:
         """The given page of all instances; reads only the folder that holds it."""
-        last = PAGE_FOLDERS - 1
-        page = self.pages.where(F.col("page_folder") == min(number, last))
-        if number >= last:
-            page = page.where(F.col("page") == number)
-        return page.drop("page", "page_folder")
+        folder = F.col("page_folder") == F.expr(page_folder(str(number)))
+        return self.pages.where(folder & (F.col("page") == number)).drop("page", "page_folder")
 
 
 def search_space(ranked: Ranked, page_size: int, reduce: bool = True) -> SearchSpace:
@@ -190,7 +192,7 @@ def search_space(ranked: Ranked, page_size: int, reduce: bool = True) -> SearchS
         rows.selectExpr("*", f"cast(position_before div {page_size} as int) as page", f"{item} as item")
         .groupBy(INSTANCE, "page", *shared)
         .agg(F.expr("sort_array(collect_list(item)) as items"), F.expr("max(position_before + 1 = position_whole) as last"))
-        .selectExpr("*", f"least(page, {PAGE_FOLDERS - 1}) as page_folder")
+        .selectExpr("*", f"{page_folder('page')} as page_folder")
     )
     spark = pages.sparkSession
     path = new_folder(spark, "pages")

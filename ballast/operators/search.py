@@ -11,6 +11,7 @@ from ballast.operators.frontier import INSTANCE, NODE_COLUMNS, expand_frontier,
 from ballast.operators.incumbent import is_halted, merge_incumbent, solution_report
 from ballast.operators.iterate import iterate_until_empty
 from ballast.operators.ranking import GREEDY, rank_items, search_space
+from ballast.plans.scratch import Scratch, scratch_scope
 from ballast.plans.skew import hot_keys
 
 LEVELS_PER_ROUND = 8
@@ -36,6 +37,11 @@ class SearchResult:
     history: DataFrame
     stop_reason: str
     rounds: int
+    scratch: Scratch
+
+    def release(self) -> None:
+        """Delete the tables behind the results, once they have been used."""
+        self.scratch.release()
 
 
 def select_best_subset(
@@ -63,6 +69,25 @@ def select_best_subset(
     """
     if not 1 <= levels_per_round <= MOST_LEVELS:
         raise ValueError(f"levels_per_round must be between 1 and {MOST_LEVELS}")
+    with scratch_scope() as scratch:
+        return _search(
+            items, instances, sense, max_rounds, levels_per_round, dominance, halt_all, reduce, hot_nodes, small_frontier, scratch
+        )
+
+
+def _search(
+    items: DataFrame,
+    instances: DataFrame,
+    sense: str,
+    max_rounds: int | None,
+    levels_per_round: int,
+    dominance: bool,
+    halt_all: bool,
+    reduce: bool,
+    hot_nodes: int,
+    small_frontier: int,
+    scratch: Scratch,
+) -> SearchResult:
     ranked = rank_items(items, instances, sense)
     space = search_space(ranked, levels_per_round, reduce)
     halted = halt_all and is_halted(ranked.heads).first()["halted"]
@@ -121,4 +146,4 @@ def select_best_subset(
     solved = ranked.heads.join(best, INSTANCE).select(INSTANCE, "crit_ratio", "crit_item", "flips")
     taken = f"({GREEDY}) <> array_contains(flips, item_id)"
     choices = ranked.lines(solved).where(taken if sense == "max" else f"not ({taken})").select(INSTANCE, "item_id")
-    return SearchResult(report, choices, loop.history, stop_reason, loop.rounds)
+    return SearchResult(report, choices, loop.history, stop_reason, loop.rounds, scratch)

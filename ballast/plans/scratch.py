@@ -9,14 +9,45 @@ tasks.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
 
+_OPEN: ContextVar[tuple[Scratch, ...]] = ContextVar("open scratch scopes", default=())
+
+
+@dataclass
+class Scratch:
+    """The folders made while a :func:`scratch_scope` was open."""
+
+    folders: list[tuple[SparkSession, str]] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Delete them. DataFrames that read them can't be used any more."""
+        for spark, path in self.folders:
+            drop_folder(spark, path)
+        self.folders.clear()
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[Scratch]:
+    """Collect the folders of all tables written inside, so that they can be deleted when
+    the results that read them have been used."""
+    scope = Scratch()
+    token = _OPEN.set((*_OPEN.get(), scope))
+    try:
+        yield scope
+    finally:
+        _OPEN.reset(token)
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the session. A local folder is made only in local mode."""
@@ -32,7 +63,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for scope in _OPEN.get():
+        scope.folders.append((spark, path))
+    return path
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -237,3 +237,25 @@ def test_a_search_of_many_rounds_needs_no_limit(spark):
     result = select_best_subset(*tables(spark, made), levels_per_round=1, reduce=False, dominance=False)
     assert result.stop_reason == "empty"
     check(result, made, "max")
+
+
+def test_release_deletes_what_the_search_wrote(spark):
+    from pathlib import Path
+
+    from ballast.plans.scratch import scratch_root
+
+    made = {1: (10, [(3, 4), (5, 6), (7, 8), (2, 3)])}
+    before = set(Path(scratch_root(spark).removeprefix("file:")).iterdir())
+    result = select_best_subset(*tables(spark, made))
+    check(result, made, "max")
+    assert set(Path(scratch_root(spark).removeprefix("file:")).iterdir()) > before
+    result.release()
+    assert set(Path(scratch_root(spark).removeprefix("file:")).iterdir()) == before
+
+
+def test_pages_have_folders_of_their_own_kind(spark):
+    from ballast.operators.ranking import page_folder
+
+    rows = spark.range(400).selectExpr("cast(id as int) as page").selectExpr("page", f"{page_folder('page')} as f").collect()
+    assert [r.f for r in rows[:64]] == list(range(64))
+    assert all(r.f == 63 + r.page // 64 for r in rows[64:])
