@@ -89,6 +89,11 @@ def attributes(raw: str) -> tuple[str, frozenset[str]]:
     return classes, frozenset(parts)
 
 
+def decoded(text: str) -> str:
+    """Character references end with the piece of text that they begin in."""
+    return entities.unescape(text) if "&" in text else text
+
+
 def parse(page: str) -> Page:
     """Read a page in one pass. Only block elements make nodes; inline markup disappears from the text."""
     stack: list[tuple[str, str, int]] = [("", "", -1)]  # tag, path, decided
@@ -99,7 +104,7 @@ def parse(page: str) -> Page:
 
     def flush() -> None:
         if text:
-            joined = " ".join(entities.unescape("".join(text)).split())
+            joined = " ".join("".join(text).split())
             if joined:
                 blocks.append(Block(stack[-1][1], stack[-1][2], joined))
             text.clear()
@@ -112,10 +117,10 @@ def parse(page: str) -> Page:
     while at < size:
         m = TOKEN.search(page, at)
         if m is None:
-            text.append(page[at:])
+            text.append(decoded(page[at:]))
             break
         if m.start() > at:
-            text.append(page[at : m.start()])
+            text.append(decoded(page[at : m.start()]))
         at = m.end()
         tag = m[2]
         if tag is None:

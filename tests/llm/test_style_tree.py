@@ -31,6 +31,7 @@ def text(html):
         ("<head><title>t</title><p>body without a tag", "body without a tag"),
         ("<textarea>no</textarea><select><option>a<option>b</select><button>go</button>yes", "yes"),
         ("<ARTICLE><P>Up</P></ARTICLE>", "Up"),
+        ("a&am<b>p;</b> &lt<i>b</i>", "a&amp; <b"),
         ("</div></p>x</b><p", "x"),
     ],
 )
