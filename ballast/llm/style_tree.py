@@ -5,7 +5,7 @@ which child sequences (presentation styles) and which texts it has on how many p
 counts: a node that looks and reads alike on every page is template, one that varies is content. Branches of low importance are removed from
 each page.
 
-The tree is never built in one place: its counts are groups (host, path, style or text), summed on Spark, and a page needs
+The tree is never built in one place: its counts are groups (host, node, style or text), summed on Spark, and a page needs
 only the importance of its own paths. Markup that names itself (navigation, footers, adverts, comments, by tag, role or class) has importance 0
 whatever its entropy, as adverts vary too; inside an ``article`` or ``main`` element everything else has importance 1, so a text that
 many pages quote is kept; and on a page with such an element what stands outside of it is 0.
@@ -58,6 +58,8 @@ NAMED = frozenset(
     "related recommended widget widgets pagination pager skip complementary contentinfo search searchbox alert dialog form".split()
 )
 HEADER = frozenset(("header", "topbar"))
+#: First letters of nodes that names decide on.
+NAMED_OUT, NAMED_IN = "-", "+"
 
 
 @dataclass
@@ -68,6 +70,10 @@ class Block:
     decided: int
     text: str
 
+    @property
+    def node(self) -> str:
+        return f"{(NAMED_OUT, NAMED_IN, '?')[self.decided]}{self.path}"
+
 
 @dataclass
 class Page:
@@ -193,9 +199,10 @@ def short(text: str) -> int:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, value, n): on how many pages a node has a presentation style (kind 0) or a text (kind 1).
+    """(host, node, kind, value, n): on how many pages a node has a presentation style (kind 0) or a text (kind 1).
 
-    Summed within each batch before they leave the task, and over all batches by Spark.
+    A node is a path with what names decide on it. Summed within each batch before they leave the task, and over all
+    batches by Spark.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,49 +214,42 @@ def style_counts(pages: DataFrame) -> DataFrame:
                 host, read = host_of(url), parse(page)
                 texts: dict[str, list[str]] = {}
                 for b in read.blocks:
-                    if b.decided < 0 and not read.has_main:
-                        texts.setdefault(b.path, []).append(b.text)
-                open_paths = {p[:i] for p in texts for i in [j for j, c in enumerate(p) if c == "/"] + [len(p)]}
-                for path in open_paths:
-                    if path in read.styles:
-                        key = (host, path, 0, short(" ".join(read.styles[path])))
-                        counts[key] = counts.get(key, 0) + 1
-                for path, found in texts.items():
-                    key = (host, path, 1, short("\n".join(found)))
+                    texts.setdefault(b.node, []).append(b.text)
+                    if b.path in read.styles:
+                        texts.setdefault(f"{b.node}\0", read.styles[b.path])
+                for node, found in texts.items():
+                    key = (host, node.rstrip("\0"), int(node[-1] != "\0"), short("\n".join(found)))
                     counts[key] = counts.get(key, 0) + 1
-            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["host", "path", "kind", "value", "n"])
+            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["host", "node", "kind", "value", "n"])
 
-    made = pages.select("url", "html").mapInPandas(run, "host string, path string, kind int, value long, n long")
-    return made.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    made = pages.select("url", "html").mapInPandas(run, "host string, node string, kind int, value long, n long")
+    return made.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"))
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """(host, path, kind, importance): entropy of a node's styles or texts, over the log of its number of pages.
-
-    1 for a node on one page only, and for all nodes of hosts with too few pages.
-    """
-    total = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("nlog"))
+    """(host, node, importance): 0 and 1 where names decide, else the mean of the entropies of a node's texts and styles, each over
+    the log of the number of pages that have the node. 1 for a node on too few pages."""
+    total = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("nlog"))
     # - sum p log p with p = n / m is log m - (sum n log n) / m.
     entropy = (F.log2("m") - F.col("nlog") / F.col("m")) / F.log2("m")
-    return total.select("host", "path", "kind", F.when(F.col("m") < FEW_PAGES, 1.0).otherwise(entropy).alias("importance"))
+    each = total.select("host", "node", "kind", F.when(F.col("m") < FEW_PAGES, 1.0).otherwise(entropy).alias("h"))
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("h")))
+    nodes = each.groupBy("host", "node").agg(pick(0).alias("style"), pick(1).alias("content"))
+    mixed = F.coalesce((1 - DAMPING) * F.col("content") + DAMPING * F.col("style"), "content")
+    named = F.substring("node", 1, 1)
+    return nodes.select("host", "node", F.when(named == NAMED_OUT, 0.0).when(named == NAMED_IN, 1.0).otherwise(mixed).alias("importance"))
 
 
 def low_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, low): the paths of each host whose own text is unimportant, sorted."""
-    found = importance(style_counts(pages))
-    own = found.groupBy("host", "path").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("importance"))).alias("style"), F.max(F.when(F.col("kind") == 1, F.col("importance"))).alias("content")
-    )
-    composite = F.coalesce((1 - DAMPING) * F.col("content") + DAMPING * F.col("style"), "content")
-    low = own.where(composite < least)
-    return low.groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low"))
+    """(host, low): the nodes of each host that are not important enough, sorted."""
+    low = importance(style_counts(pages)).where(F.col("importance") < least)
+    return low.groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("low"))
 
 
 def text_of(page: str, low: frozenset[str]) -> str:
+    """The text of the branches that are left; next to a main element others count as low."""
     read = parse(page)
-    if read.has_main:
-        return " ".join(b.text for b in read.blocks if b.decided == 1)
-    return " ".join(b.text for b in read.blocks if b.decided < 0 and b.path not in low)
+    return " ".join(b.text for b in read.blocks if b.node not in low and (b.decided == 1 or not read.has_main))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 from ballast.llm.style_tree import host_of, main_text, parse, text_of
 from ballast.sources.tables import table
 
-NONE = frozenset()
-
-
 def text(html):
-    return text_of(html, NONE)
+    """Of a page whose host has no others: only names decide."""
+    return text_of(html, frozenset(b.node for b in parse(html).blocks if b.decided == 0))
 
 
 @pytest.mark.parametrize(
