@@ -172,7 +172,7 @@ def test_order_of_items_is_exact_for_any_bigint(spark):
     made = {
         1: (10, [(10, big), (10, big + 1)]),
         2: (10, [(10, big + 1), (10, big)]),
-        3: (2**62, [(2**61 + 1, 2**62 + 1), (2**61 - 1, 2**62 - 3), (2, 4)]),
+        3: (2**60, [(2**59 + 1, 2**60 + 1), (2**59 - 1, 2**60 - 3), (2, 4)]),
         4: (7, [(3, 9 * 10**17 // 3), (7, 7 * 10**17 + 1), (4, 4 * 10**17)]),
     }
     check(select_best_subset(*tables(spark, made)), made, "max")
