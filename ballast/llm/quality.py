@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -90,40 +91,42 @@ def unpack_texts(data: bytes) -> list[str]:
 
 
 def cut_blocks(rows: DataFrame) -> DataFrame:
-    """(id, lang, role, text) -> (block, lang, role, ids, texts, grams, counts): one row per block, by language and role.
+    """(id, lang, role, text) -> (block, lang, ids, roles, texts, grams, counts): one row per block of a language.
 
-    ``ids`` are the ids as text, ``role`` is train, held or other.
+    ``ids`` are the ids as text; ``counts`` are those of the texts whose role is train. Texts without a character
+    are in blocks of their own, of which only the ids are kept.
     """
 
-    def block(lang: str, role: str, ids: list, texts: list[str]) -> pd.DataFrame:
-        if role == "blank":
-            return pd.DataFrame({"block": [0], "lang": [lang], "role": [role], "ids": [ids], "texts": [None], "grams": [None], "counts": [None]})
+    def block(lang: str, ids: list, roles: list[str], texts: list[str]) -> pd.DataFrame:
+        found = {"lang": [lang], "ids": [ids], "roles": [roles]}
+        if not texts:
+            return pd.DataFrame({"block": [0], **found, "texts": [None], "grams": [None], "counts": [None]})
         grams, number, _ = windows(texts)
+        train = np.repeat([r == "train" for r in roles], [len(t) for t in texts])
         data = pack_texts(texts)
-        name = xxhash.xxh3_64_intdigest(data + "\0".join(map(str, ids)).encode() + f"{lang} {role}".encode()) - (1 << 63)
-        return pd.DataFrame({
-            "block": [name], "lang": [lang], "role": [role], "ids": [ids], "texts": [data],
-            "grams": [as_strings(grams)], "counts": [np.bincount(number, minlength=len(grams)) if role == "train" else None],
-        })
+        name = xxhash.xxh3_64_intdigest(data + "\0".join(map(str, ids)).encode() + lang.encode()) - (1 << 63)
+        counts = np.bincount(number[train], minlength=len(grams))
+        return pd.DataFrame({"block": [name], **found, "texts": [data], "grams": [as_strings(grams)], "counts": [counts]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: dict[tuple[str, str], tuple[list, list[str], list[int]]] = {}
+        waiting: dict[tuple[str, bool], tuple[list, list[str], list[str], list[int]]] = {}
         for batch in batches:
             for i, lang, role, text in zip(batch["id"], batch["lang"], batch["role"], batch["text"], strict=True):
                 plain = symbols(text) if isinstance(text, str) else ""
-                role = role if plain else "blank"
-                ids, texts, size = waiting.setdefault((lang, role), ([], [], [0]))
+                ids, roles, texts, size = waiting.setdefault((lang, bool(plain)), ([], [], [], [0]))
                 ids.append(i)
-                texts.append(plain)
+                roles.append(role)
+                if plain:
+                    texts.append(plain)
                 size[0] += len(plain) + 50
                 if size[0] >= BLOCK:
-                    yield block(lang, role, ids, texts)
-                    del waiting[lang, role]
-        for (lang, role), (ids, texts, _) in waiting.items():
-            yield block(lang, role, ids, texts)
+                    yield block(lang, ids, roles, texts)
+                    del waiting[lang, bool(plain)]
+        for (lang, _), (ids, roles, texts, _) in waiting.items():
+            yield block(lang, ids, roles, texts)
 
     return rows.select("id", "lang", "role", "text").mapInPandas(
-        run, "block long, lang string, role string, ids array<string>, texts binary, grams array<string>, counts array<long>"
+        run, "block long, lang string, ids array<string>, roles array<string>, texts binary, grams array<string>, counts array<long>"
     )
 
 
@@ -185,35 +188,44 @@ def score_block(grams: list[str], p: dict[str, float], gamma: dict[str, float])
 
 def perplexities(blocks: DataFrame, model: DataFrame) -> DataFrame:
     """(id, lang, role, n_symbols, perplexity) of the texts of ``blocks``, a table bucketed by block."""
-    blocks = blocks.where("role <> 'blank'")
+
     def cut(begin: int, length: int):
         return F.transform("grams", lambda g: F.substring(g, begin, length))
 
+    blocks = blocks.where("texts is not null")
     tails = [cut(ORDER + 1 - n, n) for n in range(1, ORDER)]
     heads = [cut(1, n) for n in range(ORDER)]
     asked = blocks.select("block", "lang", F.explode(F.array_distinct(F.flatten(F.array("grams", *tails, *heads)))).alias("gram"))
-    answers = asked.join(model, ["lang", "gram"])
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("gram", "p", "gamma")).alias("answers"))
-    joined = blocks.select("block", "lang", "role", "ids", "texts").join(answers, "block", "left")
+    found = asked.join(model, ["lang", "gram"]).select("block", F.struct("gram", F.col("p").cast("float").alias("p"), F.col("gamma").cast("float").alias("gamma")).alias("a"))
+    answers = found.groupBy("block").agg(F.collect_list("a").alias("a")).select("block", "a.gram", "a.p", "a.gamma")
+    joined = blocks.select("block", "lang", "ids", "roles", "texts").join(answers, "block", "left")
+    names = ["id", "lang", "role", "n_symbols", "perplexity"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples():
-                if row.answers is None:
-                    yield pd.DataFrame({"id": row.ids, "lang": row.lang, "role": row.role, "n_symbols": [len(t) for t in unpack_texts(row.texts)], "perplexity": None})
-                    continue
-                p = {a["gram"]: a["p"] for a in row.answers if a["p"] is not None and a["p"] == a["p"]}
-                gamma = {a["gram"]: a["gamma"] for a in row.answers if a["gamma"] is not None and a["gamma"] == a["gamma"]}
-                texts = unpack_texts(row.texts)
-                grams, number, ends = windows(texts)
-                total = np.concatenate([[0.0], np.cumsum(score_block(as_strings(grams), p, gamma)[number])])
-                sizes = np.diff(np.concatenate([[0], ends]))
-                yield pd.DataFrame({
-                    "id": row.ids, "lang": row.lang, "role": row.role, "n_symbols": sizes,
-                    "perplexity": np.exp(-(total[ends] - total[ends - sizes]) / sizes),
-                })
-
-    return joined.mapInPandas(run, "id string, lang string, role string, n_symbols long, perplexity double")
+            for i in range(batch.num_rows):  # only one block at a time becomes Python objects
+                row = {name: batch.column(name)[i].as_py() for name in ("lang", "ids", "roles", "texts", "gram", "p", "gamma")}
+                texts = unpack_texts(row["texts"])
+                sizes = np.array([len(t) for t in texts])
+                values = pa.nulls(len(texts), pa.float64())
+                if row["gram"] is not None:
+                    values = pa.array(block_perplexities(texts, row["gram"], row["p"], row["gamma"]))
+                same = pa.array([row["lang"]] * len(texts), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["ids"], pa.string()), same, pa.array(row["roles"], pa.string()), pa.array(sizes, pa.int64()), values], names
+                )
+
+    return joined.mapInArrow(run, "id string, lang string, role string, n_symbols long, perplexity double")
+
+
+def block_perplexities(texts: list[str], found: list[str], p: list[float | None], gamma: list[float | None]) -> np.ndarray:
+    """Perplexity of each text by what the model has for the n-grams ``found``."""
+    known = {g: x for g, x in zip(found, p, strict=True) if x is not None}
+    weights = {g: x for g, x in zip(found, gamma, strict=True) if x is not None}
+    grams, number, ends = windows(texts)
+    total = np.concatenate([[0.0], np.cumsum(score_block(as_strings(grams), known, weights)[number])])
+    sizes = np.array([len(t) for t in texts])
+    return np.exp(-(total[ends] - total[ends - sizes]) / sizes)
 
 
 def document_quality(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -228,10 +240,10 @@ def document_quality(documents: DataFrame, labels: DataFrame, quantile: float =
     name = f"blocks_{uuid.uuid4().hex}"
     cut.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
     blocks = spark.table(name)
-    pairs = blocks.where("role = 'train'").select("lang", F.explode(F.arrays_zip("grams", "counts")).alias("g"))
+    pairs = blocks.select("lang", F.explode(F.arrays_zip("grams", "counts")).alias("g")).where("g.counts > 0")
     top = pairs.groupBy("lang", F.col("g.grams").alias("gram")).agg(F.sum("g.counts").alias("c"))
     scored = materialize(perplexities(blocks, kneser_ney(top)), "perplexity")
-    blank = materialize(blocks.where("role = 'blank'").select(F.explode("ids").alias("id"), "lang"), "blank")
+    blank = materialize(blocks.where("texts is null").select(F.explode("ids").alias("id"), "lang"), "blank")
     spark.sql(f"DROP TABLE {name}")
     held = scored.where("role = 'held'").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("h"))
     all_trusted = scored.where("role <> 'other'").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("t"))
