@@ -151,7 +151,8 @@ def open_pairs(star: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     ``star`` has the comparisons of a with its hub b. With i shingles shared with the hub and a rest r each, two classes share at most
     min(i) + |common part of the rests|. So either min(i) alone is enough for a link, which limits the size of the partner,
     or the rests have a shingle in common, and then even one of their first ones, in order of frequency: a class must share at least
-    ``k`` of its rest, whatever its partner, and of two sets that share k shingles the first |r| - k + 1 of each already meet.
+    ``k`` of its rest, whatever its partner, and of two sets that share k shingles the first |r| - k + 1 of each already meet. As the
+    rare ones come first, common shingles stand near the end, where too little follows for a link.
     At least one of the two is outside the hub's own component, so members of a large component are never paired with each other.
     """
     named = lambda k, n: label.select(F.col("node").alias(k), F.col("label").alias(n))
@@ -172,14 +173,15 @@ def open_pairs(star: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     by_size = fits.join(right(F.col("size").alias("partner"), F.col("cap").alias("room")), ["hub", "partner"]).where("own <> other and size <= room")
 
     needed = F.greatest(F.lit(1), F.expr(f"((size + least) * {percent} + {99 + percent}) div {100 + percent} - i"))
-    tokens = rows.select("hub", "key", "own", "outside", (F.size("rest") - needed + 1).alias("first"), F.explode("rest").alias("token"))
+    tokens = rows.select("hub", "key", "own", "outside", "size", "i", F.size("rest").alias("r"), (F.size("rest") - needed + 1).alias("first"), F.explode("rest").alias("token"))
     seen = tokens.groupBy("hub", "token").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("hub", "key").orderBy("df", "token"))
     heads = tokens.join(seen, ["hub", "token"]).withColumn("place", place).where("place <= first and df > 1")
-    heads = materialize(heads.select("hub", "key", "own", "outside", "token"), "heads")
-    by_token = heads.where("outside").withColumnRenamed("key", "a").join(
-        heads.select("hub", "token", F.col("key").alias("b"), F.col("own").alias("other")), ["hub", "token"]
-    ).where("own <> other")
+    # What two rests share from their first common shingle on is no more than what comes behind it in either of them.
+    heads = materialize(heads.select("hub", "token", "key", "own", "outside", "size", "i", (F.col("r") - F.col("place") + 1).alias("on")), "heads")
+    partners = heads.select("hub", "token", F.col("key").alias("b"), F.col("own").alias("other"), F.col("size").alias("size2"), F.col("i").alias("i2"), F.col("on").alias("on2"))
+    enough = f"own <> other and (least(i, i2) + least(on, on2)) * {100 + percent} >= (size + size2) * {percent}"
+    by_token = heads.where("outside").withColumnRenamed("key", "a").join(partners, ["hub", "token"]).where(enough)
     found = by_size.select("a", "b").unionByName(by_token.select("a", "b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
