@@ -167,19 +167,23 @@ def search_block(index: Index, block: DataFrame, k: int) -> DataFrame:
 
     def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, q = shared.value
+        limit = limits.value.copy()
+        rows, near, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
             for chunk in batch.itertuples():
                 found, estimate, spread = bounds(chunk, q, geometry)
                 v = np.frombuffer(chunk.vectors).reshape(-1, d)
-                hit = (estimate + spread >= limits.value[:, None]) & (own[:, None] != found[None, :])
-                rows, columns = np.nonzero(hit)
-                exact = np.concatenate([np.einsum("ij,ij->i", q[rows[i : i + 65536]], v[columns[i : i + 65536]]) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
-                order = np.lexsort((found[columns], -exact, rows))
-                rows, columns, exact = rows[order], columns[order], exact[order]
+                at, columns = np.nonzero((estimate + spread >= limit[:, None]) & (own[:, None] != found[None, :]))
+                parts = [np.einsum("ij,ij->i", q[at[i : i + 65536]], v[columns[i : i + 65536]]) for i in range(0, len(at), 65536)]
+                rows, near, scores = np.concatenate([rows, at]), np.concatenate([near, found[columns]]), np.concatenate([scores, *parts])
+                order = np.lexsort((near, -scores, rows))
+                rows, near, scores = rows[order], near[order], scores[order]
                 place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                # Whatever is not among a chunk's k best can't be among the k best of all, nor can what lies below the threshold.
-                near = (place < k) & (exact >= limits.value[rows])
-                yield pd.DataFrame({"query_id": own[rows[near]], "vec_id": found[columns[near]], "score": exact[near]})
+                # What is not among the k best of a task can't be among the k best of all, and its k-th best is a limit for later chunks.
+                rows, near, scores, place = (x[place < k] for x in (rows, near, scores, place))
+                last = place == k - 1
+                limit[rows[last]] = np.maximum(limit[rows[last]], scores[last])
+        yield pd.DataFrame({"query_id": own[rows], "vec_id": near, "score": scores})
 
     return index.chunks.mapInPandas(rerank, "query_id long, vec_id long, score double")
 
