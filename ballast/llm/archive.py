@@ -17,7 +17,9 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,6 +72,24 @@ def records(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", "digest", "payload_bytes", "record_type", "refers_to", header.alias("header"), F.when(again, "").otherwise(F.col("payload")).alias("payload"))
 
 
+def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The records of each archive in a batch as one compressed row."""
+    for batch in batches:
+        for archive, rows in batch.groupby("archive", sort=True):
+            yield pd.DataFrame({
+                "archive": [archive], "tie": [rows["tie"].to_numpy()], "tie2": [rows["tie2"].to_numpy()],
+                "sizes": [[len(v) for v in rows["value"]]], "data": [zstandard.compress(b"".join(rows["value"]), 3)],
+            })
+
+
+def unbundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples():
+            data, ends = zstandard.decompress(row.data), np.cumsum(row.sizes)
+            values = [bytes(data[e - n : e]) for n, e in zip(row.sizes, ends, strict=True)]
+            yield pd.DataFrame({"archive": row.archive, "tie": row.tie, "tie2": row.tie2, "value": values})
+
+
 def write_archive(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Archive:
     """Write the index of ``pages`` (page_id, url, html), then the archives."""
     spark = pages.sparkSession
@@ -78,10 +98,10 @@ def write_archive(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Archi
     made = made.withColumn("size", F.octet_length("header") + stored + len(END))
     total = pages.agg(F.sum(F.octet_length("html") + 600)).first()[0] or 0
     archives = max(1, -(-int(total) // archive_bytes))
-    # A record's place in its archive is the order by hash and id; equal rows are equal records, so their order is all the same.
-    spread = F.xxhash64("page_id", "url", "digest")
-    made = made.withColumn("tie", spread).withColumn("archive", F.pmod("tie", F.lit(archives)).cast("int"))
-    order = ["tie", "page_id", "url", "digest", "record_type"]
+    # A record's place in its archive is the order by two hashes; equal rows are equal records, so their order is all the same.
+    made = made.withColumn("tie", F.xxhash64("page_id", "url", "digest")).withColumn("tie2", F.hash("page_id", "url", "digest"))
+    made = made.withColumn("archive", F.pmod("tie", F.lit(archives)).cast("int"))
+    order = ["tie", "tie2"]
     running = F.sum("size").over(Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     index = made.select(
         "archive", (running - F.col("size")).cast("long").alias("offset"), (F.col("size") - len(END)).cast("long").alias("length"),
@@ -89,8 +109,11 @@ def write_archive(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Archi
     )
     index = materialize(index, "warc-index")
     folder = new_folder(spark, "warc")
-    rows = made.repartition(archives, "archive").sortWithinPartitions("archive", *order)
-    text = rows.select("archive", F.concat("header", "payload").alias("value"))
+    # Records travel in compressed bundles, which are less than half as large as single records.
+    raw = made.select("archive", *order, F.concat("header", "payload").cast("binary").alias("value"))
+    bundles = raw.mapInPandas(bundle, "archive int, tie array<long>, tie2 array<int>, sizes array<int>, data binary")
+    rows = bundles.repartition(archives, "archive").mapInPandas(unbundle, "archive int, tie long, tie2 int, value binary")
+    text = rows.sortWithinPartitions("archive", *order).select("archive", F.col("value").cast("string").alias("value"))
     text.write.partitionBy("archive").option("lineSep", END).option("maxRecordsPerFile", 0).text(folder)
     return Archive(index, folder)
 
