@@ -7,12 +7,13 @@ the model is met by joins that carry each n-gram once per block instead of once
 1. Blocks of texts of one language are cut from the input, with their distinct n-grams and counts, and written as a table bucketed by block.
 2. Counts of the training blocks are summed; discounts, back-off weights and probabilities follow from grouped sums and joins over n-grams.
 3. Sharded join: the n-grams of all blocks meet the model by language and n-gram, and the answers go back to their blocks.
-4. Each block scores its texts. Texts pass if their perplexity is at most a quantile, by language, of that of the
-   trusted texts kept back, times a margin.
+4. Each block scores its texts. Texts pass if their perplexity is at most a quantile of that of the trusted texts kept
+   back. Which one is chosen by language on all labelled rows that are kept back: it rejects most of the toxic and of
+   the low ones (quality 0) for the share of trusted ones lost.
 
 Defined results: a null language is ``und``; a null, empty or blank text has no perplexity and does not pass; texts of a language without
 trusted text have no perplexity and pass, as nothing speaks against them. A doc_id with several labels is trusted only if all
-say so. Rows that repeat are scored each.
+say so, else toxic if one says so, else low if one says so. Languages without toxic or low rows kept back get the highest quantile. Rows that repeat are scored each.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from ballast.plans.scratch import materialize
 ORDER = 4
 #: Characters of a block, about. Blocks are cut between texts.
 BLOCK = 4_000_000
-QUANTILE = 0.99
-MARGIN = 1.25
+#: Rising; at most a twentieth of the trusted texts kept back may be lost.
+QUANTILES = (0.95, 0.96, 0.965, 0.97, 0.975, 0.98, 0.985, 0.99, 0.995)
 #: Stands before the first character of a text and for nothing else.
 START = "\x02"
 PLAIN = str.maketrans("123456789\0" + START, "000000000  ")
@@ -228,14 +229,39 @@ def block_perplexities(texts: list[str], found: list[str], p: list[float | None]
     return np.exp(-(total[ends] - total[ends - sizes]) / sizes)
 
 
-def document_quality(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def chosen_limits(scored: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """(lang, quantile, threshold) from (lang, role, perplexity).
+
+    The quantiles are those of the trusted texts kept back (role held), or of all trusted ones (train) if a language has none. Chosen is
+    the one with the highest mean share of rejected toxic and low rows less the share of lost held ones, the higher one of equals.
+    """
+    values = F.percentile_approx("perplexity", list(quantiles), 10_000)
+    held = scored.where("role = 'held'").groupBy("lang").agg(values.alias("h"))
+    all_trusted = scored.where("role IN ('train', 'held')").groupBy("lang").agg(values.alias("t"))
+    limits = materialize(all_trusted.join(held, "lang", "left").select("lang", F.coalesce("h", "t").alias("limits")), "limits")
+    tried = scored.where("role IN ('held', 'toxic', 'low')").join(at_most(limits), "lang")
+    over = lambda role, i: F.avg(F.when(F.col("role") == role, (F.col("perplexity") > F.col("limits")[i]).cast("double")))
+    shares = tried.groupBy("lang").agg(*[over(role, i).alias(f"{role}{i}") for role in ("held", "toxic", "low") for i in range(len(quantiles))])
+
+    def choice(i: int, q: float):
+        caught = (F.coalesce(f"toxic{i}", f"low{i}", F.lit(0.0)) + F.coalesce(f"low{i}", f"toxic{i}", F.lit(0.0))) / 2
+        gain = caught - F.coalesce(f"held{i}", F.lit(0.0))
+        return F.struct(gain.alias("gain"), F.lit(q).alias("quantile"), F.col("limits")[i].alias("threshold"))
+
+    best = F.array_max(F.array(*[choice(i, q) for i, q in enumerate(quantiles)])).alias("best")
+    return limits.join(shares, "lang", "left").select("lang", best).select("lang", "best.quantile", "best.threshold")
+
+
+def document_quality(documents: DataFrame, labels: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, threshold, passed) for every row of ``documents``."""
     spark = documents.sparkSession
     sure = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce(sure, F.lit(False))).alias("_ok")).where("_ok").select("doc_id", "_ok")
+    mark = F.when(F.min(F.coalesce(sure, F.lit(False))), "trusted").when(F.max(F.col("toxic") == 1), "toxic").when(F.max(F.col("quality") == 0), "low")
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(mark.alias("_mark")).where("_mark is not null")
     kind = documents.schema["doc_id"].dataType
-    rows = documents.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text").join(at_most(trusted), "doc_id", "left")
-    role = F.when(F.col("_ok").isNull(), "other").when(held_out(F.col("doc_id")), "held").otherwise("train")
+    rows = documents.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text").join(at_most(known), "doc_id", "left")
+    good, back = F.col("_mark") == "trusted", held_out(F.col("doc_id"))
+    role = F.when(good & back, "held").when(good, "train").when(F.col("_mark").isNotNull() & back, F.col("_mark")).otherwise("other")
     cut = cut_blocks(rows.select(F.col("doc_id").cast("string").alias("id"), "lang", role.alias("role"), "text"))
     name = f"blocks_{uuid.uuid4().hex}"
     cut.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
@@ -245,9 +271,7 @@ def document_quality(documents: DataFrame, labels: DataFrame, quantile: float =
     scored = materialize(perplexities(blocks, kneser_ney(top)), "perplexity")
     blank = materialize(blocks.where("texts is null").select(F.explode("ids").alias("id"), "lang"), "blank")
     spark.sql(f"DROP TABLE {name}")
-    held = scored.where("role = 'held'").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("h"))
-    all_trusted = scored.where("role <> 'other'").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("t"))
-    limits = all_trusted.join(held, "lang", "left").select("lang", (F.coalesce("h", "t") * margin).alias("threshold"))
+    limits = chosen_limits(scored, quantiles).drop("quantile")
     judged = scored.join(at_most(limits), "lang", "left")
     passed = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     judged = judged.select("id", "lang", "n_symbols", "perplexity", "threshold", passed.alias("passed"))

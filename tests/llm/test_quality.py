@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ballast.llm.quality import ORDER, START, as_strings, document_quality, kneser_ney, symbols, windows
+from ballast.llm.quality import ORDER, START, as_strings, chosen_limits, document_quality, kneser_ney, symbols, windows
 from ballast.sources.tables import table
 from tests.llm.cases import documents, no_documents
 
@@ -133,3 +133,21 @@ def test_trusted_texts_pass_and_odd_ones_do_not(spark, data):
     strange = [r.passed for r in rows if r.doc_id >= 10**9 and r.n_symbols > 100]
     assert sum(good) >= 0.98 * len(good)
     assert sum(strange) <= 0.05 * len(strange)
+
+
+def test_limits_are_chosen_by_what_they_reject(spark):
+    held = [("a", "held", float(i)) for i in range(1000)] + [("b", "held", float(i)) for i in range(1000)] + [("c", "train", 5.0)]
+    rows = held + [("a", "toxic", 972.0), ("a", "low", 5000.0), ("b", "toxic", 1.0), ("b", "low", 5000.0)]
+    got = {r.lang: (r.quantile, r.threshold) for r in chosen_limits(spark.createDataFrame(rows, "lang string, role string, perplexity double")).collect()}
+    assert got["a"][0] == 0.97 and got["a"][1] < 972  # the highest one that rejects both
+    assert got["b"][0] == 0.995 and got["c"] == (0.995, 5.0)  # nothing to gain by a lower one
+
+
+def test_labelled_rows_that_are_rejected(spark, data):
+    folder = data.replace("0.001", "0.1")
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rows = document_quality(docs, labels).join(labels, "doc_id").where("n_symbols > 0 AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 <> 0").collect()
+    share = lambda found: sum(not r.passed for r in found) / len(found)
+    assert share([r for r in rows if r.toxic == 1]) >= 0.6  # 0.12 at the 0.99 quantile times 1.25
+    assert share([r for r in rows if r.toxic == 0 and r.quality == 0]) >= 0.8
+    assert share([r for r in rows if r.toxic == 0 and r.quality == 1]) <= 0.03
