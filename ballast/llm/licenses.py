@@ -8,6 +8,10 @@ A template that is covered must have most of its words in the text, so of any mo
 passes over texts, and loses none. In what is left, places are cut out where words that only the template has stand
 close together, so that a license that occurs several times is found each time.
 
+Coverage does not tell a license from its neighbours, which differ in a word or two. So each template has the words that must be there
+(``MUST``): the name with its version and clauses, right behind what introduces it, so that no other word can stand in
+between ("Lesser", "Educational Community"). A place without them is no match.
+
 Defined results: null and empty texts have no matches. Of matches that overlap in a text the one that covers more words counts, then the better
 covered one, then the first by name. Rows that repeat are scanned each.
 """
@@ -66,6 +70,33 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
+#: Words between "under" and a name that belong to no name.
+FILL = r"(?:(?:the|a|an|terms|conditions|provisions|of|and|same|standard|permissive) )*"
+UNDER = rf"\b(?:under|to) {FILL}"
+LICENSE = r"licen[cs]e"
+VERSION = r"(?:version |v )?v?"
+# Patterns over a template's words joined by blanks. The first begins the name at "under" (or "to"), or is
+# empty where the text itself is the license; the others must be among the aligned words.
+GPL = rf"{UNDER}gnu general public {LICENSE}\b"
+APACHE = rf"{UNDER}apache (?:software )?{LICENSE} {VERSION}2(?:\.0)?(?!\S)"
+MUST = {
+    "Apache-2.0": (APACHE,),
+    "Apache-2.0-header": (APACHE,),
+    "BSD-2-Clause": ("", r"\bsource code\b", r"\bbinary form\b"),
+    "CC-BY-4.0": (rf"{UNDER}creative commons attribution (?:cc[ -]by )?(?:international )?{VERSION}4\.0(?!\S)",),
+    "CC-BY-NC-4.0": (rf"{UNDER}cc[ -]by[ -]nc[ -]{VERSION}4\.0(?!\S)",),
+    "CC-BY-SA-4.0": (rf"{UNDER}creative commons attribution[ -]share[ -]?alike (?:cc[ -]by[ -]sa )?(?:international )?{VERSION}4\.0(?!\S)",),
+    "GPL-3.0": (rf"{GPL} (?:gpl )?{VERSION}3(?:\.0)?(?!\S)",),
+    "GPL-3.0-header": (GPL, rf"\b(?:version |v )v?3(?:\.0)?(?!\S)|\bv3(?:\.0)?(?!\S)"),
+    "ISC": ("", r"\bwithout fee\b", r"\bcopyright notice\b"),
+    "MIT": (rf"{UNDER}mit {LICENSE}\b",),
+    "MIT-text": ("", r"\bfree of charge\b", r"\bcopyright notice\b"),
+    "MPL-2.0": (rf"{UNDER}mozilla public {LICENSE} {VERSION}2(?:\.0)?(?!\S)",),
+}
+#: Words shortly behind a template that make it another license: the third clause of BSD-3-Clause, the fourth of the old one.
+NOT_BEHIND = {"BSD-2-Clause": frozenset(("endorse", "advertising"))}
+BEHIND = 60
+
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
@@ -144,6 +175,11 @@ class Template:
         count = Counter(self.words)
         self.once = {w for w, n in count.items() if n == 1}
         missing = len(self.words) - self.needed(coverage)
+        own = TEMPLATES.get(name) == text
+        first, *others = MUST.get(name, ("",)) if own else ("",)
+        self.title = re.compile(first) if first else None
+        self.must = [re.compile(x) for x in others]
+        self.not_behind = NOT_BEHIND.get(name, frozenset()) if own else frozenset()
         # The longest words are the rarest ones, as a rule; any words would do.
         order = sorted(count, key=lambda w: (-len(w), w))
         self.signs, covered = set(), 0
@@ -177,6 +213,24 @@ class Template:
             if i is not None:
                 group.append(i)
 
+    def titled(self, words: list[str], first: int, last: int) -> Iterator[tuple[int, int, int, int]]:
+        """The parts of a range around each occurrence of the template's name, and the place of the name; all of it without one."""
+        if self.title is None:
+            yield first, last, last, first
+            return
+        text = " ".join(words[first:last])
+        names = [(first + text.count(" ", 0, m.start()), first + text.count(" ", 0, m.end())) for m in self.title.finditer(text)]
+        lead = next(i for i, w in enumerate(self.words) if w in ("under", "to"))
+        lead += int(lead * (SPREAD - 1)) + 1
+        ends = [begin for begin, _ in names[1:]] + [last + lead]
+        for (begin, end), then in zip(names, ends, strict=False):
+            yield max(first, begin - lead), max(min(last, then - lead), end + 1), begin, end
+
+    def holds(self, words: list[str], begin: int, end: int) -> bool:
+        """Whether what must be among the words is there, and nothing behind them makes them another license."""
+        text = " ".join(words[begin : end + 1])
+        return all(x.search(text) for x in self.must) and self.not_behind.isdisjoint(words[end + 1 : end + 1 + BEHIND])
+
 
 def find_licenses(text: str, templates: list[Template], coverage: float) -> list[tuple[str, int, int, float]]:
     """(name, begin, end, coverage) of the licenses in a text; offsets count code points."""
@@ -191,12 +245,12 @@ def find_licenses(text: str, templates: list[Template], coverage: float) -> list
     words = [low[b:e] for b, e in spans]
     found = []
     for t in possible:
-        for first, last in t.places(words):
+        for first, last, named, name_end in (x for place in t.places(words) for x in t.titled(words, *place)):
             pairs = align(t.words, words[first:last])
             if len(pairs) < t.needed(coverage):
                 continue
-            begin, end = first + pairs[0][1], first + pairs[-1][1]
-            if end - begin + 1 <= SPREAD * len(pairs) + 2:
+            begin, end = min(first + pairs[0][1], named), max(first + pairs[-1][1], name_end)
+            if end - begin + 1 <= SPREAD * len(pairs) + 2 and t.holds(words, begin, end):
                 found.append((len(pairs), len(pairs) / len(t.words), t.name, begin, end))
     kept: list[tuple] = []
     for m in sorted(found, key=lambda m: (-m[0], -m[1], m[2], m[3])):

@@ -82,3 +82,48 @@ def test_defined_results(spark):
     df = spark.createDataFrame(rows, "id long, text string").withColumn("license", F.lit("mine"))
     got = sorted(((r.id, r.license, r.begin) for r in scan_licenses(df).collect()), key=repr)
     assert got == sorted([(None, "MIT", 0), (1, "MIT", 0), (1, "MIT", 0), (2, "GPL-3.0", 1_000_000)], key=repr)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Released under the BSD License.",
+        "Released under the MIT-0 License.",
+        "Licensed under CC BY 4.0.",
+        "Licensed under CC BY-NC-SA 4.0.",
+        "Licensed under CC BY-NC 3.0.",
+        "Licensed under the Educational Community License, Version 2.0.",
+        "Licensed under the Apache License, Version 1.1.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+        TEMPLATES["Apache-2.0-header"].replace("Apache License", "Educational Community License"),
+        TEMPLATES["GPL-3.0-header"].replace("GNU General", "GNU Lesser General"),
+        TEMPLATES["GPL-3.0-header"].replace("version 3", "version 2"),
+        TEMPLATES["MPL-2.0"].replace("Mozilla Public License, v. 2.0", "Common Public License, v. 2.0"),
+        TEMPLATES["BSD-2-Clause"] + " Neither the name of the holder nor the names of its contributors may be used to endorse or promote products.",
+    ],
+)
+def test_neighbours_of_a_license_are_not_it(text):
+    assert found(text) == [] and found(f"One two. {text} Three four.") == []
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Released under the terms of the MIT License", ["MIT"]),
+        ("Licensed under the Apache License 2.0", ["Apache-2.0"]),
+        ("This work is licensed under the GNU General Public License v3.", ["GPL-3.0"]),
+        ("This work is licensed under the GNU General Public License, version 3.0.", ["GPL-3.0"]),
+        ("Licensed under CC BY NC 4.0", ["CC-BY-NC-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+        ("Released under the BSD License. Released under the MIT License.", ["MIT"]),
+        ("Released under the BSD License. Here are more words. Released under the MIT License.", ["MIT"]),
+    ],
+)
+def test_usual_forms_of_a_name(text, want):
+    assert [n for n, _, _ in found(text)] == want
+    assert all(words_of(span)[0] in ("released", "licensed", "this") and span.lower().count("released") <= 1 for _, span, _ in found(text))
