@@ -7,8 +7,10 @@ each page.
 
 The tree is never built in one place: its counts are groups (host, node, style or text), summed on Spark, and a page needs
 only the importance of its own paths. Markup that names itself (navigation, footers, adverts, comments, by tag, role or class) has importance 0
-whatever its entropy, as adverts vary too; inside an ``article`` or ``main`` element everything else has importance 1, so a text that
-many pages quote is kept; and on a page with such an element what stands outside of it is 0.
+whatever its entropy, as adverts vary too. An ``article`` or ``main`` element is a prior: everything else inside of it starts at importance 1, and
+what stands outside of it on the same page at 0. The prior weighs as much as ``PRIOR_PAGES`` pages against the entropy over the differing pages that have the
+node. So a branch inside goes if many differing pages repeat it, one outside stays if it varies over many of them, and
+a text that copies of one page repeat is kept.
 
 Defined results: a null html is an empty page with an empty text; pages without a usable URL share the empty host. Hosts with fewer than
 ``FEW_PAGES`` pages have too little to compare, and their unnamed branches are all kept. Broken markup is read as far as it goes:
@@ -32,6 +34,9 @@ from ballast.plans.scratch import materialize
 
 FEW_PAGES = 4
 LEAST_IMPORTANCE = 0.3
+#: What a branch beside a main element needs to stay.
+BESIDE_IMPORTANCE = 0.7
+PRIOR_PAGES = 5
 #: Weight of a node's presentation against that of its text.
 DAMPING = 0.5
 
@@ -60,6 +65,8 @@ NAMED = frozenset(
 HEADER = frozenset(("header", "topbar"))
 #: First letters of nodes that names decide on.
 NAMED_OUT, NAMED_IN = "-", "+"
+#: And of undecided nodes on a page with a main element.
+BESIDE = "~"
 
 
 @dataclass
@@ -81,6 +88,10 @@ class Page:
     styles: dict[str, list[str]]  # path -> child tags of its elements on this page, in order
     has_main: bool
 
+    def node(self, b: Block) -> str:
+        """The node of a block, which is another one beside a main element."""
+        return f"{BESIDE}{b.path}" if self.has_main and b.decided < 0 else b.node
+
 
 def attributes(raw: str) -> tuple[str, frozenset[str]]:
     """The classes as they enter a path, and the words in class, id and role."""
@@ -199,7 +210,8 @@ def short(text: str) -> int:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, value, n): on how many pages a node has a presentation style (kind 0) or a text (kind 1).
+    """(host, node, kind, value, n): on how many pages a node has a presentation style (kind 0) or a text (kind 1), and, where
+    there is a prior, on how many with the same text as a whole it stands (kind 2).
 
     A node is a path with what names decide on it. Summed within each batch before they leave the task, and over all
     batches by Spark.
@@ -213,10 +225,16 @@ def style_counts(pages: DataFrame) -> DataFrame:
                     continue
                 host, read = host_of(url), parse(page)
                 texts: dict[str, list[str]] = {}
+                whole = short("\n".join(b.text for b in read.blocks if b.decided)) if read.has_main else 0
                 for b in read.blocks:
-                    texts.setdefault(b.node, []).append(b.text)
+                    name = read.node(b)
+                    texts.setdefault(name, []).append(b.text)
                     if b.path in read.styles:
-                        texts.setdefault(f"{b.node}\0", read.styles[b.path])
+                        texts.setdefault(f"{name}\0", read.styles[b.path])
+                for name in texts:
+                    if name[0] in (NAMED_IN, BESIDE) and name[-1] != "\0":
+                        key = (host, name, 2, whole)
+                        counts[key] = counts.get(key, 0) + 1
                 for node, found in texts.items():
                     key = (host, node.rstrip("\0"), int(node[-1] != "\0"), short("\n".join(found)))
                     counts[key] = counts.get(key, 0) + 1
@@ -227,29 +245,34 @@ def style_counts(pages: DataFrame) -> DataFrame:
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """(host, node, importance): 0 and 1 where names decide, else the mean of the entropies of a node's texts and styles, each over
-    the log of the number of pages that have the node. 1 for a node on too few pages."""
-    total = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("nlog"))
+    """(host, node, importance): 0 where names decide, else the mean of the entropies of a node's texts and styles, each over
+    the log of the number of pages that have the node, and weighed with the prior, if it has one. The prior or else 1 for a node on
+    too few pages, which must differ if there is a prior."""
+    total = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("nlog"), F.count("*").alias("values"))
     # - sum p log p with p = n / m is log m - (sum n log n) / m.
     entropy = (F.log2("m") - F.col("nlog") / F.col("m")) / F.log2("m")
-    each = total.select("host", "node", "kind", F.when(F.col("m") < FEW_PAGES, 1.0).otherwise(entropy).alias("h"))
+    each = total.select("host", "node", "kind", F.when(F.col("kind") == 2, F.col("values").cast("double")).when(F.col("m") < FEW_PAGES, 1.0).otherwise(entropy).alias("h"))
     pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("h")))
-    nodes = each.groupBy("host", "node").agg(pick(0).alias("style"), pick(1).alias("content"))
+    nodes = each.groupBy("host", "node").agg(pick(0).alias("style"), pick(1).alias("content"), pick(2).alias("pages"))
     mixed = F.coalesce((1 - DAMPING) * F.col("content") + DAMPING * F.col("style"), "content")
     named = F.substring("node", 1, 1)
-    return nodes.select("host", "node", F.when(named == NAMED_OUT, 0.0).when(named == NAMED_IN, 1.0).otherwise(mixed).alias("importance"))
+    prior = F.when(named == NAMED_IN, 1.0).when(named == BESIDE, 0.0)
+    weighed = F.when(F.col("pages") < FEW_PAGES, prior).otherwise((PRIOR_PAGES * prior + F.col("pages") * mixed) / (PRIOR_PAGES + F.col("pages")))
+    return nodes.select("host", "node", F.when(named == NAMED_OUT, 0.0).when(prior.isNotNull(), weighed).otherwise(mixed).alias("importance"))
 
 
 def low_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, low): the nodes of each host that are not important enough, sorted."""
-    low = importance(style_counts(pages)).where(F.col("importance") < least)
+    """(host, low): the nodes of each host that are not important enough, and those beside main elements that are, sorted."""
+    beside = F.substring("node", 1, 1) == BESIDE
+    low = importance(style_counts(pages)).where(F.when(beside, F.col("importance") >= BESIDE_IMPORTANCE).otherwise(F.col("importance") < least))
     return low.groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("low"))
 
 
 def text_of(page: str, low: frozenset[str]) -> str:
-    """The text of the branches that are left; next to a main element others count as low."""
+    """The text of the branches that are left; beside a main element those that ``low`` lists stay."""
     read = parse(page)
-    return " ".join(b.text for b in read.blocks if b.node not in low and (b.decided == 1 or not read.has_main))
+    named = ((b, read.node(b)) for b in read.blocks)
+    return " ".join(b.text for b, node in named if (node in low) == (node[0] == BESIDE))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

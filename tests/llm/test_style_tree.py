@@ -90,3 +90,16 @@ def test_blocks_know_their_place():
     page = parse('<body><div class="B a"><p>x</p></div></body>')
     assert [(b.path, b.text) for b in page.blocks] == [("/body/div.a.b/p", "x")]
     assert page.styles["/body"] == ["div"]
+
+
+def test_main_elements_are_a_prior(spark):
+    note = "<section><p>Read our terms before you go on.</p></section>"
+    teaser = "<article><p>Subscribers read more.</p></article>"
+    story = lambda i: f"<p>Story {i} tells of {i * i} things.</p>"
+    inside = [(i, f"http://in.example/{i}", f"<body><article>{story(i)}{note}</article></body>") for i in range(40)]
+    beside = [(100 + i, f"http://by.example/{i}", f"<body><div>{story(i)}</div><div class='x'><p>All rights reserved.</p></div>{teaser}</body>") for i in range(40)]
+    few = [(200 + i, f"http://few.example/{i}", f"<body><div>{story(i)}</div><article>{story(i + 1)}{note}</article></body>") for i in range(5)]
+    df = spark.createDataFrame(inside + beside + few, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert all(got[i] == got[100 + i] == f"Story {i} tells of {i * i} things." for i in range(40))
+    assert got[201] == "Story 2 tells of 4 things. Read our terms before you go on."
