@@ -38,8 +38,10 @@ NUMBER = re.compile(r"(?<![0-9+])\(?[0-9][0-9() .-]{5,}[0-9]")
 HEX_GROUPS = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 NO_ADDRESS = frozenset(" \t\n\r\f\v<>()[]{}\"',;:@")
 
-#: A pattern is used if its instances add up to this much trust, and to this share of all of them.
+#: A pattern is used if its instances add up to this much trust, and to this share of it and what speaks against the pattern.
 SUPPORT, PURITY = 5.0, 0.9
+#: What an unlabelled instance that nothing contradicts counts against a pattern, before the rounds trust it.
+UNLABELLED = 0.1
 #: An instance is accepted from this trust on.
 ACCEPT = 0.9
 ROUNDS = 3
@@ -160,22 +162,36 @@ def scan(rows: DataFrame) -> DataFrame:
 def score_patterns(mentions: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Trust of patterns (pattern, kind, trust) and of instances (value, looks, kind, trust).
 
-    ``mentions`` has (seed, looks, value, contexts). A pattern's trust in a kind is the mean trust of its distinct instances,
-    times log2(1 + s) / log2(1 + s) of twice the needed support s at most, and 0 below the limits; an instance's trust is
+    ``mentions`` has (seed, looks, value, contexts). A pattern's trust in a kind is the sum s of the trust of its distinct instances over
+    s and what speaks against it, times log2(1 + s) / log2(1 + s) of twice the needed support s at most, and 0 below the limits; an instance's trust is
     1 - the product of (1 - trust) of the patterns around it (noisy or). Seeds stay at 1 for their kind.
+
+    Against a pattern speak seeds of other kinds, and unlabelled instances that could be of the kind, by what they lack in trust: in full if
+    the word on their other side is one that only unlabelled instances have, ``SUPPORT`` of them or more, else times ``UNLABELLED``.
     """
     edges = mentions.select("seed", "looks", "value", F.explode("contexts").alias("pattern")).distinct()
     edges = materialize(edges, "edges")
     kinds = F.explode(F.array(*[F.lit(k) for k in range(len(KINDS))]))
     seeds = edges.where("seed >= 0").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").cast("double").alias("s"))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    all_seeds = seeds.groupBy("pattern").agg(F.sum("s").alias("all_seeds"))
     open_edges = edges.where("seed < 0").select("pattern", "value", "looks")
     possible = open_edges.withColumn("kind", kinds).where(F.expr("looks & shiftleft(1, kind) > 0"))
+    side = F.substring_index("pattern", " ", 1)
+    strange = possible.where(side.isin("L", "R")).groupBy("pattern", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    strange = strange.join(all_seeds, "pattern", "left_anti").select("pattern", "kind")
+    contradicted = possible.join(strange, ["pattern", "kind"]).groupBy("value", "looks", "kind")
+    contradicted = contradicted.agg(F.max(side == "L").alias("left"), F.max(side == "R").alias("right"))
+    other = F.when(side.isin("L", "LL"), F.col("right")).when(side == "R", F.col("left"))
+    weight = F.when(other, F.lit(1.0)).otherwise(F.lit(UNLABELLED)).alias("weight")
+    possible = materialize(possible.join(contradicted, ["value", "looks", "kind"], "left").select("pattern", "value", "looks", "kind", weight), "possible")
+    against = possible.groupBy("pattern", "kind").agg(F.sum("weight").alias("against"))
 
     def trusted(sums: DataFrame) -> DataFrame:
-        share = F.col("s") / F.col("n")
+        """Of (pattern, kind, s, own, gained): s with the trust of unlabelled ones, own without, gained what that takes from against."""
+        hard = F.col("all_seeds") - F.col("own")
+        share = F.col("s") / (F.col("s") + F.coalesce(hard, F.lit(0.0)) + F.greatest(F.coalesce("against", F.lit(0.0)) - F.col("gained"), F.lit(0.0)))
         backed = F.least(F.lit(1.0), F.log2(1 + F.col("s")) / F.log2(F.lit(1 + SUPPORT)))
-        found = sums.join(size, "pattern").withColumn("trust", share * backed)
+        found = sums.join(all_seeds, "pattern", "left").join(against, ["pattern", "kind"], "left").withColumn("trust", share * backed)
         return found.where((F.col("s") >= SUPPORT) & (share >= PURITY)).select("pattern", "kind", "trust")
 
     def believed(patterns: DataFrame) -> DataFrame:
@@ -183,11 +199,14 @@ def score_patterns(mentions: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame
         met = possible.join(patterns, ["pattern", "kind"]).groupBy("value", "looks", "kind")
         return met.agg((1 - F.exp(F.sum(F.log(doubt)))).alias("trust"))
 
-    patterns = trusted(seeds)
+    labelled = seeds.select("pattern", "kind", "s", F.col("s").alias("own"), F.lit(0.0).alias("gained"))
+    patterns = trusted(labelled)
     instances = believed(patterns)
     for _ in range(rounds - 1):
-        gained = possible.join(instances, ["value", "looks", "kind"]).groupBy("pattern", "kind").agg(F.sum("trust").alias("s"))
-        patterns = trusted(seeds.unionByName(gained).groupBy("pattern", "kind").agg(F.sum("s").alias("s")))
+        gained = possible.join(instances, ["value", "looks", "kind"]).groupBy("pattern", "kind")
+        gained = gained.agg(F.sum("trust").alias("s"), F.lit(0.0).alias("own"), F.sum(F.col("trust") * F.col("weight")).alias("gained"))
+        sums = labelled.unionByName(gained).groupBy("pattern", "kind")
+        patterns = trusted(sums.agg(*[F.sum(c).alias(c) for c in ("s", "own", "gained")]))
         patterns = materialize(patterns, "patterns")
         instances = believed(patterns)
     return patterns, materialize(instances, "instances")

@@ -85,6 +85,15 @@ def test_patterns_of_seeds_find_unseen_identifiers(spark):
     assert all(not r.more for i, r in got.items() if i not in (100, 101))
 
 
+def test_as_many_unseen_identifiers_as_seeds(spark):
+    rows = bootstrapped()
+    rows += [(400 + i, t.replace("tel: +1 ", "tel: ")) for i, t in rows[:30]]
+    got = {r.doc_id: r.more for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    unseen = {100, 101, *range(400, 430)}
+    assert {i for i, more in got.items() if more} == unseen
+    assert all(len(got[i]) == 1 and got[i][0].kind == 3 for i in unseen)
+
+
 def test_masked_text():
     assert masked("mail a@b.c now", [(0, 5, 10)]) == "mail [EMAIL] now"
     assert masked("0123456789", [(2, 2, 6), (3, 4, 8)]) == "01[CARD]89"
