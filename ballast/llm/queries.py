@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ballast.llm.archive import page_records
+from ballast.llm.conversations import conversation_prefixes
 from ballast.llm.decontamination import document_contamination
+from ballast.llm.exact_duplicates import document_copies
+from ballast.llm.fill_in_middle import document_rewrites
 from ballast.llm.language import document_languages
 from ballast.llm.licenses import document_licenses
 from ballast.llm.near_duplicates import document_duplicates
@@ -62,10 +65,23 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return document_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return document_rewrites(table(spark, folder, "documents"))
+
+
+def op12_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return document_copies(table(spark, folder, "documents"))
+
+
+def op13_conversation_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_prefixes(table(spark, folder, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_personal_data, op2_licenses, op3_warc, op4_language_id, op5_packing,
         op6_decontamination, op7_main_text, op8_near_duplicates, op9_nearest, op10_quality,
+        op11_fill_in_middle, op12_exact_duplicates, op13_conversation_prefixes,
     )
     return {f.__name__: f for f in found}
 
@@ -128,5 +144,71 @@ SELECT doc_id, 0, doc_id, true FROM s WHERE len(s) = 0
 """
 
 
+FILL_IN_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+n AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+EXACT_DUPLICATES = """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY t)
+"""
+
+CONVERSATION_PREFIXES = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST,
+                       sha256(CAST(octet_length(encode(role)) AS VARCHAR) || ':' || role || text)) AS turns FROM t GROUP BY 1),
+h AS (
+  SELECT conv_id, turns, conv_id - conv_id % 100 AS base, CAST(xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END))) AS BIGINT) % 6 AS h FROM o),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN o b ON b.conv_id = h.base),
+p AS (
+  SELECT conv_id, len(turns) AS n, d, turns[1:d] AS key, turns[1:d - 1] AS up, d = len(turns) AS ends
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+g AS (
+  SELECT key, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends,
+         (count(*) - 1) * coalesce(length(key[-1].text), 0) AS own FROM p GROUP BY key, d),
+c AS (SELECT up AS key, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+a AS (SELECT key[1:i] AS key, own, key IN (SELECT key FROM c) AS inner_node FROM (SELECT key, own, unnest(range(0, d + 1)) AS i FROM g)),
+s AS (SELECT key, sum(own) AS saved_tokens, count(*) FILTER (NOT inner_node) AS n_leaves FROM a GROUP BY 1)
+SELECT g.conv_id, CAST(g.d AS BIGINT) AS depth, CASE WHEN g.d > 0 THEN u.conv_id END AS parent_conv_id, CAST(g.n_convs AS BIGINT) AS n_convs,
+       CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(g.ends) AS ends_sha256
+FROM g JOIN s ON s.key = g.key LEFT JOIN c ON c.key = g.key LEFT JOIN g u ON u.key = g.up AND u.d = g.d - 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": WARC, "op6_decontamination": CONTAMINATION, "op8_near_duplicates": NEAR_DUPLICATES}
+    return {
+        "op3_warc": WARC,
+        "op6_decontamination": CONTAMINATION,
+        "op8_near_duplicates": NEAR_DUPLICATES,
+        "op11_fill_in_middle": FILL_IN_MIDDLE,
+        "op12_exact_duplicates": EXACT_DUPLICATES,
+        "op13_conversation_prefixes": CONVERSATION_PREFIXES,
+    }
