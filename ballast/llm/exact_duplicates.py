@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ RUN_ROWS = 50_000
 RUN_BYTES = 32 << 20
 #: Least entries of an overflow page, so that pages of very long texts still get fewer from step to step.
 PAGE_ENTRIES = 16
+#: Texts travel and are stored compressed, each by itself.
+LEVEL = 3
 #: What an entry takes besides its text.
 ENTRY_BYTES = 64
 HASH_BITS = 64
@@ -69,7 +72,7 @@ def scan(documents: DataFrame, hash_bits: int = HASH_BITS, run_rows: int = RUN_R
                     entry = seq
                     chain.append((seq, body))
                     held += len(body)
-                for column, value in zip(out, (seq, entry, key, digest.hexdigest(), body if new else None), strict=True):
+                for column, value in zip(out, (seq, entry, key, digest.hexdigest(), zstandard.compress(body, LEVEL) if new else None), strict=True):
                     column.append(value)
                 seq, rows = seq + 1, rows + 1
                 if rows >= run_rows or held >= run_bytes:
@@ -144,12 +147,13 @@ def resolve(routed: DataFrame) -> DataFrame:
             for i, (*key, entry) in enumerate(keys):
                 if key != at:
                     at, chain = key, []
-                body = bodies[i].as_py()
+                packed_body = bodies[i].as_py()
+                body = zstandard.decompress(packed_body)
                 place = next((p for p, (_, b) in enumerate(chain) if b == body), len(chain))
                 new = place == len(chain)
                 if new:
                     chain.append((entry, body))
-                for column, value in zip(out, (place, chain[place][0], body if new else None), strict=True):
+                for column, value in zip(out, (place, chain[place][0], packed_body if new else None), strict=True):
                     column.append(value)
             low, page, hashed, entry = (batch.column(c) for c in ("low", "page", "hash", "entry"))
             made = [low, page, hashed, pa.array(out[0], pa.int32()), entry, pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())]
