@@ -31,43 +31,44 @@ def apportion_budget(trees: DataFrame, total: float, easy: float = EASY_SECONDS,
     Where the budget exceeds the need of the whole group, what is left after the first tree is the need
     of the others, so each gets its own: that case is a projection. Else what one tree gets depends
     on all before it. The trees of such groups are served in chunks, all groups at once, and
-    what is left and still to come goes from chunk to chunk.
+    what is left and still to come goes from chunk to chunk. Trees learn of their group by (group, block), so
+    a group of any size is spread over as many tasks as it has blocks.
     """
     if easy <= 0 or hard <= 0:
         raise ValueError("seconds per node must be positive")
     need = (F.col("n_easy") * F.lit(float(easy)) + F.col("n_hard") * F.lit(float(hard))).alias("need")
-    wanting = trees.select("group_id", "seq", need).where(F.col("need") > 0)
-    groups = wanting.groupBy("group_id").agg(F.sum("need").alias("whole"), F.min("seq").alias("first"))
-    groups = materialize(groups, "groups")
+    order = [F.col("seq")]
+    blocked = range_blocks(trees.select("group_id", "seq", need).where(F.col("need") > 0), ["group_id"], order, "trees")
+    totals = {"need": F.col("need"), "place": F.expr("1L")}
+    blocks = materialize(block_totals(blocked, ["group_id"], totals, whole=["need"]), "budget-blocks")
     offer = math.floor(total)
     # With whole needs, none below the least share, the offer is exactly what is still to come from the second tree on.
     plain = float(easy).is_integer() and float(hard).is_integer() and easy <= hard
-    rich = F.col("whole") < offer if plain else F.lit(False)
+    rich = F.col("need_whole") < offer if plain else F.lit(False)
 
-    amply = wanting.join(groups.where(rich), "group_id")
-    amply = amply.select("group_id", "seq", (F.col("need") + F.when(F.col("seq") == F.col("first"), offer - F.col("whole")).otherwise(0)).alias("share"))
-    short = groups.where(~rich)
-    served = amply.unionByName(_in_chunks(wanting, short, float(total), float(easy), float(hard)))
+    # A tree that gets anything gets at least min(easy, hard): those behind the last one that can be funded are left out.
+    funded_at_most = max(0, math.ceil(total / min(easy, hard)))
+    context = blocks.where(rich | (F.col("place_before") < funded_at_most)).select("group_id", BLOCK, "place_before", F.col("need_whole").alias("whole"))
+    ranked = running_totals(blocked, ["group_id"], order, {"place": F.expr("1L")}, context)
+    is_rich = F.col("whole") < offer if plain else F.lit(False)
+    surplus = F.when(F.col("place_before") == 0, offer - F.col("whole")).otherwise(0)
+    amply = ranked.where(is_rich).select("group_id", "seq", (F.col("need") + surplus).alias("share"))
+    short = ranked.where(~is_rich & (F.col("place_before") < funded_at_most))
+    groups = blocks.where(~rich).groupBy("group_id").agg(F.max("need_whole").alias("whole"))
+    served = amply.unionByName(_in_chunks(short, groups, float(total), float(easy)))
     return trees.select("group_id", "seq").join(served, ["group_id", "seq"], "left").select(
         "group_id", "seq", F.coalesce("share", F.lit(0.0)).alias("share")
     )
 
 
-def _in_chunks(wanting: DataFrame, groups: DataFrame, total: float, easy: float, hard: float) -> DataFrame:
-    """(group_id, seq, share) of the trees of ``groups`` (group_id, whole) that get anything."""
-    spark = wanting.sparkSession
-    funded_at_most = max(0, math.ceil(total / min(easy, hard)))
-    seq_type = wanting.schema["seq"].dataType.simpleString()
+def _in_chunks(ranked: DataFrame, groups: DataFrame, total: float, easy: float) -> DataFrame:
+    """(group_id, seq, share) of the trees of ``groups`` (group_id, whole) that get anything, given by place in ``ranked``."""
+    spark = ranked.sparkSession
+    seq_type = ranked.schema["seq"].dataType.simpleString()
     shares = f"array<struct<seq:{seq_type},share:double>>"
     if total < 1 or groups.isEmpty():
-        return spark.createDataFrame([], f"group_id {wanting.schema['group_id'].dataType.simpleString()}, seq {seq_type}, share double")
+        return spark.createDataFrame([], f"group_id {ranked.schema['group_id'].dataType.simpleString()}, seq {seq_type}, share double")
 
-    # A tree that gets anything gets at least min(easy, hard): chunks behind the last one that can be funded aren't listed.
-    order = [F.col("seq")]
-    blocked = range_blocks(wanting.join(groups.select("group_id"), "group_id", "left_semi"), ["group_id"], order, "trees")
-    context = block_totals(blocked, ["group_id"], {"place": F.expr("1L")}).select("group_id", BLOCK, "place_before")
-    context = context.where(F.col("place_before") < funded_at_most)
-    ranked = running_totals(blocked, ["group_id"], order, {"place": F.expr("1L")}, context).where(F.col("place_before") < funded_at_most)
     chunk = F.floor(F.col("place_before") / CHUNK).cast("int").alias("chunk")
     lists = materialize(
         ranked.groupBy("group_id", chunk).agg(F.sort_array(F.collect_list(F.struct("seq", "need"))).alias("list")), "chunks"

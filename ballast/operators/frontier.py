@@ -1,24 +1,32 @@
 """Open nodes of the search: seed, expand, prune.
 
-A node is a choice that keeps to the greedy order except for its ``flips``, the items
-decided the other way; ``depth`` tells how many core items are decided for good. Greedy
-items come first in the order, so a node is always a choice that fits the budget, and
+A node is a choice that keeps to the greedy order except for some items, the *flips*, that
+are decided the other way; ``page`` tells which page of core items it has to decide next and ``depth`` how many items
+are decided for good. Greedy items come first in the order, so a node is always a choice that fits the budget, and
 ``weight`` and ``value`` are those of that choice.
+
+A node does not carry its flips. It knows the node it comes from, ``parent`` of round ``parent_round``, and in the bits of
+``mask`` what has been flipped since: bit i stands for the i-th item from page ``from_page`` on. The way back to the root is
+walked for the winners only (:mod:`ballast.operators.paths`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballast.functions.bounds import node_bound
+from ballast.plans.blocks import range_blocks, running_best, shuffle_tasks
 from ballast.plans.skew import join_by_key
 
 INSTANCE = "instance_id"
+PAGE_KEY = [INSTANCE, "page"]
 
-NODE_COLUMNS = ("instance_id", "depth", "weight", "value", "bound", "flips")
+PATH_COLUMNS = ("from_page", "parent_round", "parent", "mask")
+# ``tail``: the page at which a node of a large search is completed (``completion.py``), else null.
+NODE_COLUMNS = (INSTANCE, "page", "depth", "weight", "value", "bound", "tail", *PATH_COLUMNS)
 
 
 def seed_frontier(instances: DataFrame, n_slots: int, slot: int = 1, carry: Sequence[str] = ()) -> DataFrame:
@@ -29,30 +37,36 @@ def seed_frontier(instances: DataFrame, n_slots: int, slot: int = 1, carry: Sequ
         F.col(INSTANCE).cast("string").alias("tree_id"),
         F.lit("").alias("node_id"),
         F.lit(slot % n_slots).alias("slot"),
+        F.lit(0).alias("page"),
         F.lit(0).alias("depth"),
         *zero.values(),
-        F.array().cast("array<bigint>").alias("flips"),
+        F.lit(None).cast("bigint").alias("bound"),
+        F.lit(None).cast("int").alias("tail"),
+        F.lit(0).alias("from_page"),
+        F.lit(None).cast("int").alias("parent_round"),
+        F.lit(None).cast("bigint").alias("parent"),
+        F.lit(0).cast("bigint").alias("mask"),
         *carry,
     )
 
 
 # The two children of a node n for one item: as the greedy order has it, and against it.
 _CHILDREN = """array(
-    struct(n.weight as weight, n.value as value, n.flips as flips),
+    struct(n.weight as weight, n.value as value, n.mask as mask),
     if(item.greedy or n.weight + item.weight <= budget,
        struct(if(item.greedy, n.weight - item.weight, n.weight + item.weight) as weight,
               if(item.greedy, n.value - item.value, n.value + item.value) as value,
-              array_append(n.flips, item.item_id) as flips),
+              n.mask | shiftleft(1L, cast(item.position - from_page * page_size as int)) as mask),
        null))"""
 
 # All descendants of a node that survive the items of one page, level by level.
 _DESCENDANTS = f"""aggregate(
     items,
-    array(struct(weight, value, flips, bound)),
+    array(struct(weight, value, mask, bound)),
     (open, item) -> filter(
         transform(
             filter(flatten(transform(open, n -> {_CHILDREN})), c -> c is not null),
-            c -> struct(c.weight as weight, c.value as value, c.flips as flips, {node_bound("c", "item")} as bound)),
+            c -> struct(c.weight as weight, c.value as value, c.mask as mask, {node_bound("c", "item")} as bound)),
         c -> c.bound > best))"""
 
 
@@ -65,25 +79,26 @@ def expand_frontier(
 ) -> DataFrame:
     """Decide the next few items of every node.
 
-    ``pages`` holds one row per instance with a short list of items. Each item gives two
+    ``pages`` holds one row per instance and page with a short list of items. Each item gives two
     children, one with the greedy decision and one against it (an item is only put in if
     it fits); they are bounded, and those that can still beat ``best`` (instance, best) go
-    on to the next item. Nodes that have decided the last item are ``complete``; instances
-    without a page leave the frontier. ``hot`` names instances with very many nodes, see
+    on to the next item. Nodes that have decided the last item are ``complete``; nodes
+    without a page leave the frontier. ``hot`` names (instance, page) with very many nodes, see
     :func:`ballast.plans.skew.hot_keys`. With ``small`` the caller vouches that
     ``best`` has few rows: the nodes stay where they are and meet their pages by broadcast.
 
     One join; the levels are a fold inside the joined row, whose size the page bounds.
     """
-    page = pages.select(INSTANCE, "budget", "crit_weight", "crit_value", "last", "items")
+    page = pages.select(*PAGE_KEY, "budget", "crit_weight", "crit_value", "last", "items", "page_size", "advance")
     page = page.withColumn("best", F.lit(-1).cast("bigint")) if best is None else page.join(best, INSTANCE)
     if small:
-        rows = nodes.join(F.broadcast(page), INSTANCE)
+        rows = nodes.join(F.broadcast(page), PAGE_KEY)
     else:
-        rows = join_by_key(nodes, page, INSTANCE, hot)
+        rows = join_by_key(nodes, page, PAGE_KEY, hot)
     rows = rows.where("bound is null or bound > best")
+    path = ["tail", *[c for c in PATH_COLUMNS if c != "mask"]]
     return rows.selectExpr(
-        INSTANCE, "cast(depth + size(items) as int) as depth", "best", "last as complete", f"inline({_DESCENDANTS})"
+        INSTANCE, "page + advance as page", "cast(depth + size(items) as int) as depth", *path, "best", "last as complete", f"inline({_DESCENDANTS})"
     ).select(*NODE_COLUMNS, "best", "complete")
 
 
@@ -98,18 +113,35 @@ def prune_frontier(nodes: DataFrame, incumbent: DataFrame, hot: DataFrame | None
     return rows.where(wins & (F.col("depth") < F.col("n_items"))).drop("objective")
 
 
-def keep_dominant(nodes: DataFrame) -> DataFrame:
+def keep_best_of_weight(nodes: DataFrame, spread: bool = False) -> DataFrame:
     """Of nodes with the same instance, depth and weight, keep the one with most value.
 
     They face the same remaining items and the same room, so no other can lead to more.
-    The shuffle key includes the weight, so a single instance spreads over all tasks.
+    The shuffle key includes the weight, so a single instance spreads over all tasks. All columns are numbers, so
+    this is a hash aggregation; ties are resolved by the order of the rows, alike for all columns of a row.
+    With ``spread`` the rows go to all tasks of a shuffle, as what follows takes long for each of them.
     """
-    return (
-        nodes.groupBy(INSTANCE, "depth", "weight")
-        .agg(
-            F.expr("max(struct(value, bound, flips)) as kept"),
-            F.expr("max(best) as best"),
-            F.expr("max(complete) as complete"),
-        )
-        .selectExpr(INSTANCE, "depth", "weight", "kept.value", "kept.bound", "kept.flips", "best", "complete")
+    if spread:
+        nodes = nodes.repartition(shuffle_tasks(nodes), INSTANCE, "depth", "weight")
+    told = [F.max_by(c, "value").alias(c) for c in ("page", "tail", *PATH_COLUMNS)]
+    kept = nodes.groupBy(INSTANCE, "depth", "weight").agg(
+        F.max("value").alias("value"), F.max("bound").alias("bound"), *told, F.max("best").alias("best"), F.max("complete").alias("complete")
     )
+    return kept.select(*NODE_COLUMNS, "best", "complete")
+
+
+def keep_dominant(nodes: DataFrame, few: bool = False) -> DataFrame:
+    """Drop nodes that a lighter or equally heavy one of the same instance and depth matches in value.
+
+    Whatever a heavier node can still put in, the lighter one can too, so no dropped node leads to more than the
+    one that drops it. A sweep over rising weight finds them by the most value so far. ``few`` tells that
+    there are so few nodes that one task can sweep all of an instance; else it is swept in range blocks.
+    """
+    by, order = [INSTANCE, "depth"], [F.col("weight"), F.col("value").desc()]
+    if few:
+        lighter = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        swept = nodes.withColumn("_most", F.max("value").over(lighter))
+    else:
+        blocked = range_blocks(keep_best_of_weight(nodes), by, order, "swept", spread=True)
+        swept = running_best(blocked, by, order, F.col("value"), "_most").drop("block")
+    return swept.where("_most is null or value > _most").drop("_most")

@@ -7,6 +7,8 @@ too; neither slots nor nodes of one slot are assumed to fit into one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,15 +163,15 @@ def _hot_slots(plan: DataFrame, size: str, hot_rows: int) -> DataFrame | None:
     return plan.where(f"{size} > {limit}").select("slot") if total > limit else None
 
 
-def pick_to_move(nodes: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
-    """Exactly ``-delta`` nodes of every giving slot: (slot, tree_id, node_id, rank).
+def pick_to_move(nodes: DataFrame, plan: DataFrame, seed: int = SEED, carry: Sequence[str] = ()) -> DataFrame:
+    """Exactly ``-delta`` nodes of every giving slot: (slot, tree_id, node_id, rank), and the columns to carry.
 
     The order is pseudo-random but fixed by the seed: by MD5 of seed, tree and node. Counts
     per slot and MD5 prefix tell which prefixes lie before the last node to give; only nodes with
     these are read again, and each prefix of a slot is put in order by itself.
     """
     lot = F.md5(F.concat_ws("|", F.lit(str(seed)), "tree_id", "node_id"))
-    lots = nodes.select(*NODE, lot.alias("lot")).withColumn("prefix", F.substring("lot", 1, PREFIX))
+    lots = nodes.select(*NODE, *carry, lot.alias("lot")).withColumn("prefix", F.substring("lot", 1, PREFIX))
     givers = plan.where("delta < 0").selectExpr("slot", "-delta as gives")
     counts = lots.groupBy("slot", "prefix").agg(F.count("*").alias("c")).join(givers, "slot")
     earlier = Window.partitionBy("slot").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,7 +179,7 @@ def pick_to_move(nodes: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFra
     inside = Window.partitionBy("slot", "prefix").orderBy("lot", "tree_id", "node_id")
     ranked = lots.join(context.where("before < gives"), ["slot", "prefix"])
     ranked = ranked.withColumn("rank", (F.col("before") + F.row_number().over(inside)).cast("bigint"))
-    return ranked.where("rank <= gives").select(*NODE, "rank")
+    return ranked.where("rank <= gives").select(*NODE, *carry, "rank")
 
 
 def split_moved(nodes: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -223,8 +225,12 @@ def rebalance(nodes: DataFrame, slots: DataFrame, cap: int = CAP, seed: int = SE
     must be unique.
     """
     plan = materialize(levelling_plan(pending_by_slot(nodes, slots), cap), "plan")
-    picked = pick_to_move(nodes, plan, seed)
-    moves = assign_destinations(picked, plan).alias("moves")
+    return move_nodes(nodes, assign_destinations(pick_to_move(nodes, plan, seed), plan))
+
+
+def move_nodes(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """All nodes, those of ``moves`` (slot, tree_id, node_id, new_slot) at their new slots: their columns, and ``old_slot``."""
+    moves = moves.select(*NODE, "new_slot").alias("moves")
     same = [F.col(f"nodes.{c}") == F.col(f"moves.{c}") for c in NODE]
     rows = nodes.alias("nodes").join(moves, same, "left")
     new_slot = F.col("moves.new_slot")
@@ -237,3 +243,43 @@ def rebalance(nodes: DataFrame, slots: DataFrame, cap: int = CAP, seed: int = SE
     return rows.select(
         *[changed.get(c, F.col(f"nodes.{c}")).alias(c) for c in nodes.columns], F.col("nodes.slot").alias("old_slot")
     )
+
+
+def rebalance_counted(nodes: DataFrame, counts: DataFrame, cap: int = CAP, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(nodes, counts) after one levelling of nodes whose counts per slot are known.
+
+    ``counts`` is that of :func:`pending_by_slot` or of an earlier call. The new counts are the old ones and what the moves
+    change in them: their plan reads the moves, never the nodes.
+    """
+    plan = materialize(levelling_plan(counts, cap), "plan")
+    moves = materialize(assign_destinations(pick_to_move(nodes, plan, seed, carry=["is_easy"]), plan), "moves")
+    return move_nodes(nodes, moves), changed_counts(counts, count_changes(moves))
+
+
+def count_changes(moves: DataFrame) -> DataFrame:
+    """What ``moves`` (slot, new_slot, is_easy) add to the counts of slots: (slot, n, n_easy, n_hard), negative for givers.
+
+    A null ``slot`` stands for a node that is new, a null ``new_slot`` for one that is done.
+    """
+    ends = moves.select(
+        F.explode(F.array(F.struct(F.col("slot"), F.lit(-1).alias("by")), F.struct(F.col("new_slot").alias("slot"), F.lit(1).alias("by")))).alias("end"),
+        "is_easy",
+    ).select("end.*", "is_easy")
+    by = F.col("by").cast("bigint")
+    return (
+        ends.where(F.col("slot").isNotNull())
+        .groupBy("slot")
+        .agg(
+            F.sum(by).alias("n"),
+            F.sum(F.when(F.col("is_easy"), by).otherwise(0)).alias("n_easy"),
+            F.sum(F.when(~F.col("is_easy"), by).otherwise(0)).alias("n_hard"),
+        )
+    )
+
+
+def changed_counts(counts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Counts per slot with changes (slot, n, n_easy, n_hard) added; written out, so that the next changes start from a table."""
+    names = ("n", "n_easy", "n_hard")
+    added = changes.select("slot", *[F.col(c).alias(f"_{c}") for c in names])
+    rows = counts.join(added, "slot", "left")
+    return materialize(rows.select("slot", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).cast("bigint").alias(c) for c in names]), "counts")

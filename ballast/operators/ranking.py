@@ -24,10 +24,17 @@ from ballast.plans.scratch import materialize, new_folder, release
 
 INSTANCE = "instance_id"
 
+# So many items at the end of an instance, in whole pages, have their choices listed as a whole (``completion.py``).
+TAIL_ITEMS = 16
+
 # The first pages, which most instances have, are stored in a folder each; later ones share folders of as many.
 PAGE_FOLDERS = 64
 
 
+def page_folder_of(page: int) -> int:
+    return page if page < PAGE_FOLDERS else PAGE_FOLDERS - 1 + page // PAGE_FOLDERS
+
+
 def page_folder(page: str) -> str:
     """The folder of a page, as an SQL expression."""
     return f"cast(if({page} < {PAGE_FOLDERS}, {page}, {PAGE_FOLDERS - 1} + {page} div {PAGE_FOLDERS}) as int)"
@@ -157,10 +164,21 @@ class SearchSpace:
         """Instances with a core: (instance, base_weight, base_value, best)."""
         return self.page(0).select(INSTANCE, "base_weight", "base_value", "best")
 
-    def page(self, number: int) -> DataFrame:
-        """The given page of all instances; reads only the folder that holds it."""
-        folder = F.col("page_folder") == F.expr(page_folder(str(number)))
-        return self.pages.where(folder & (F.col("page") == number)).drop("page", "page_folder")
+    def page(self, *numbers: int, piece: tuple[int, int] | None = None) -> DataFrame:
+        """The given pages of all instances, or of each the items from ``piece[0]`` up to ``piece[1]``; reads only the
+        folders that hold them. ``advance`` tells whether the page is decided with these items."""
+        folders = F.col("page_folder").isin([page_folder_of(n) for n in numbers])
+        rows = self.pages.where(folders & F.col("page").isin(list(numbers))).drop("page_folder").withColumn("advance", F.lit(1))
+        if piece is None:
+            return rows
+        begin, end = piece
+        done = F.size("items") <= end
+        rows = rows.withColumns({"last": F.col("last") & done, "advance": F.when(F.col("page_size") <= end, 1).otherwise(0)})
+        return rows.withColumn("items", F.slice("items", begin + 1, end - begin))
+
+    def tails(self) -> DataFrame:
+        """(instance, tail): the page from which on few enough items are left to list all their choices."""
+        return self.page(0).select(INSTANCE, "tail")
 
 
 def search_space(ranked: Ranked, page_size: int, reduce: bool = True) -> SearchSpace:
@@ -182,6 +200,7 @@ def search_space(ranked: Ranked, page_size: int, reduce: bool = True) -> SearchS
         start = greedy_solutions(ranked)
         core = core.selectExpr("*", "base_value as best")
 
+    tail_pages = max(1, TAIL_ITEMS // page_size)
     totals = {"position": F.expr("1L"), "addable": F.expr("if(greedy, 0L, value)")}
     context = block_totals(core, [INSTANCE], totals, whole=list(totals)).drop(*totals)
     rows = running_totals(core, [INSTANCE], _order(), totals, context)
@@ -191,8 +210,12 @@ def search_space(ranked: Ranked, page_size: int, reduce: bool = True) -> SearchS
     pages = (
         rows.selectExpr("*", f"cast(position_before div {page_size} as int) as page", f"{item} as item")
         .groupBy(INSTANCE, "page", *shared)
-        .agg(F.expr("sort_array(collect_list(item)) as items"), F.expr("max(position_before + 1 = position_whole) as last"))
-        .selectExpr("*", f"{page_folder('page')} as page_folder")
+        .agg(
+            F.expr("sort_array(collect_list(item)) as items"),
+            F.expr("max(position_before + 1 = position_whole) as last"),
+            F.expr(f"cast(max(greatest(0, (position_whole + {page_size - 1}) div {page_size} - {tail_pages})) as int) as tail"),
+        )
+        .selectExpr("*", f"{page_size} as page_size", f"{page_folder('page')} as page_folder")
     )
     spark = pages.sparkSession
     path = new_folder(spark, "pages")

@@ -22,6 +22,16 @@ items AS (
 instances AS (SELECT DISTINCT instance_id, CAST(100 AS BIGINT) AS capacity FROM items)"""
 
 
+def priced_items(premium: int) -> str:
+    return f"""
+items AS (
+    SELECT CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS instance_id, p_partkey AS item_id,
+           CAST(round(p_retailprice) AS BIGINT) AS weight, CAST(round(p_retailprice) AS BIGINT) + {premium} AS value
+    FROM part
+),
+instances AS (SELECT DISTINCT instance_id, CAST(10000 AS BIGINT) AS capacity FROM items)"""
+
+
 def best_of_all(items: str, sense: str) -> str:
     """Dynamic programme over the weight reached, one item at a time."""
     if sense == "max":
@@ -57,6 +67,11 @@ REPORT = """
 SELECT instance_id, CASE WHEN objective IS NULL THEN 'infeasible' ELSE 'optimal' END AS status, objective
 FROM instances LEFT JOIN best USING (instance_id)"""
 
+WHOLE_REPORT = """
+SELECT instance_id, CASE WHEN objective IS NULL THEN 'infeasible' ELSE 'optimal' END AS status, objective,
+       CAST(0 AS BIGINT) AS n_open, false AS halted
+FROM instances LEFT JOIN best USING (instance_id)"""
+
 TWO_LEVELS = f"""
 WITH {CUSTOMER_ITEMS},
 ranked AS (
@@ -236,6 +251,10 @@ def work(owner: str) -> dict[str, str]:
                    CASE WHEN new_slot IS NULL THEN tree_id ELSE tree_id || '/' || node_id END AS tree_id,
                    node_id, is_easy, slot AS old_slot
             FROM nodes LEFT JOIN assigned USING (slot, tree_id, node_id)""",
+        "pending_after_rebalance": f"""{assigned},
+            after AS (SELECT coalesce(new_slot, slot) AS slot, is_easy, tree_id FROM nodes LEFT JOIN assigned USING (slot, tree_id, node_id))
+            SELECT slot, count(tree_id) AS n, count(tree_id) FILTER (is_easy) AS n_easy, count(tree_id) FILTER (NOT is_easy) AS n_hard
+            FROM slots LEFT JOIN after USING (slot) GROUP BY 1""",
     }
 
 
@@ -275,6 +294,15 @@ WITH RECURSIVE parts(o_orderkey, quantity, round) AS (
 )"""
 
 
+SEEN = """
+seen AS (
+    SELECT round, count(*) FILTER (quantity > 10 OR round = 0) AS n_open,
+           count(*) FILTER (quantity <= 10 AND round > 0) AS n_closed
+    FROM (SELECT quantity, round FROM parts
+          UNION ALL SELECT quantity, 1 FROM parts WHERE round = 0 AND quantity <= 10) GROUP BY 1
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     customers = {s: best_of_all(CUSTOMER_ITEMS, s) for s in ("max", "min")}
     brands = {s: best_of_all(BRAND_ITEMS, s) for s in ("max", "min")}
@@ -295,11 +323,12 @@ def oracle_sql() -> dict[str, str]:
         "best_subset_brand_min": brands["min"] + REPORT,
         "best_subset_no_dominance": customers["max"] + REPORT,
         "best_subset_choices": customers["max"] + " SELECT instance_id, objective AS value, true AS fits FROM best",
-        "solution_report": customers["max"]
-        + """
-            SELECT instance_id, CASE WHEN objective IS NULL THEN 'infeasible' ELSE 'optimal' END AS status, objective,
-                   CAST(0 AS BIGINT) AS n_open, false AS halted
-            FROM instances LEFT JOIN best USING (instance_id)""",
+        "solution_report": customers["max"] + WHOLE_REPORT,
+        "report_written": brands["max"] + WHOLE_REPORT,
+        "best_subset_equal": best_of_all(priced_items(0), "max") + REPORT,
+        "best_subset_correlated": best_of_all(priced_items(100), "max") + REPORT,
+        "best_subset_budgeted": brands["max"] + REPORT,
+        "best_subset_resumed": customers["max"] + REPORT,
         "apportion_budget_600": budget(600),
         "apportion_budget_60": budget(60),
         "apportion_budget_5000": budget(5000),
@@ -324,13 +353,11 @@ def oracle_sql() -> dict[str, str]:
         "iterate_halving": f"""{PARTS}
             SELECT o_orderkey, count(*) AS leaves, CAST(sum(quantity) AS BIGINT) AS quantity
             FROM parts WHERE quantity <= 10 GROUP BY 1""",
-        "iterate_history": f"""{PARTS},
-            seen AS (
-                SELECT round, count(*) FILTER (quantity > 10 OR round = 0) AS n_open,
-                       count(*) FILTER (quantity <= 10 AND round > 0) AS n_closed
-                FROM (SELECT quantity, round FROM parts
-                      UNION ALL SELECT quantity, 1 FROM parts WHERE round = 0 AND quantity <= 10) GROUP BY 1
-            )
+        "iterate_halted": f"""{PARTS}, {SEEN},
+            halting AS (SELECT min(round) AS h FROM parts WHERE round >= 2 AND quantity > 40)
+            SELECT round, n_open, n_closed, CASE WHEN round = h THEN 'halted' WHEN round = max(round) OVER () THEN 'empty' END AS stop_reason
+            FROM seen, halting WHERE h IS NULL OR round <= h""",
+        "iterate_history": f"""{PARTS}, {SEEN}
             SELECT round, n_open, n_closed,
                    CASE WHEN round = max(round) OVER () THEN 'empty' END AS stop_reason FROM seen""",
     }

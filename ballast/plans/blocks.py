@@ -24,14 +24,21 @@ from ballast.plans.scratch import materialize
 BLOCK = "block"
 
 
-def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str) -> DataFrame:
+def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str, spread: bool = False) -> DataFrame:
     """Stamp every row with its block. Written out, so that block numbers stay fixed.
 
     The number of ranges is left to ``spark.sql.shuffle.partitions`` and to adaptive
-    coalescing, which joins neighbouring ranges and so keeps the order.
+    coalescing, which joins neighbouring ranges and so keeps the order. With ``spread`` they are
+    not joined: rows that take long stay apart however little room they take.
     """
     by = [F.col(k) for k in keys] + list(order)
-    return materialize(df.repartitionByRange(*by).withColumn(BLOCK, F.spark_partition_id()), label)
+    rows = df.repartitionByRange(shuffle_tasks(df), *by) if spread else df.repartitionByRange(*by)
+    return materialize(rows.withColumn(BLOCK, F.spark_partition_id()), label)
+
+
+def shuffle_tasks(df: DataFrame) -> int:
+    """The tasks that a shuffle has."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def block_totals(
@@ -78,3 +85,16 @@ def running_totals(
         )
         joined = joined.withColumn(f"{n}_before", before.cast(joined.schema[f"{n}_before"].dataType))
     return joined.drop(*[f"_{n}_ahead" for n in totals])
+
+
+def running_best(blocked: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """Add ``name`` to every row: the largest ``value`` over the rows ahead of it in its key, null if there is none.
+
+    ``value`` may be a struct; nulls are left out.
+    """
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    tops = blocked.groupBy(*keys, BLOCK).agg(F.max(value).alias("_top"))
+    tops = tops.select(*keys, BLOCK, F.max("_top").over(earlier).alias("_earlier"))
+    ahead = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = blocked.withColumn("_ahead", F.max(value).over(ahead)).join(tops, [*keys, BLOCK])
+    return rows.withColumn(name, F.greatest("_ahead", "_earlier")).drop("_ahead", "_earlier")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.operators import budget, frontier, incumbent, iterate, levelling, ranking, search
-from ballast.plans.scratch import materialize
+from ballast.operators import budget, frontier, incumbent, iterate, levelling, paths, ranking, search
+from ballast.plans.scratch import materialize, new_folder
 from ballast.sources import views
 from ballast.sources.tables import table
 
@@ -17,14 +17,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Fixed value: the cluster that the levelling rule was made for has this many work slots.
 N_SLOTS = 39
 BRAND_CAPACITY = 100
+PRICE_CAPACITY = 10_000
+PREMIUM = 100
 # Suppliers have hundreds of lines each; a cap above the mean lets them level.
 NO_CAP = 1_000_000_000
 
 
-def _flip_list(flips: str) -> str:
-    return f"array_join(transform({flips}, x -> cast(x as string)), ',')"
-
-
 def _customers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     items = materialize(views.customer_items(spark, folder), "orders")
     return items, views.half_capacity(spark, folder, items)
@@ -35,27 +33,39 @@ def _brands(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return items, views.fixed_capacity(items, BRAND_CAPACITY)
 
 
+def _priced(premium: int) -> Callable:
+    def made(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+        items = views.priced_items(spark, folder, premium)
+        return items, views.fixed_capacity(items, PRICE_CAPACITY)
+
+    return made
+
+
 def seed_frontier(spark: SparkSession, folder: str) -> DataFrame:
     instances = table(spark, folder, "customer").select(F.col("c_custkey").alias("instance_id"))
     return frontier.seed_frontier(instances, N_SLOTS).selectExpr(
-        "instance_id", "tree_id", "node_id", "slot", "depth", "weight", "value", "size(flips) as n_flips"
+        "instance_id", "tree_id", "node_id", "slot", "depth", "weight", "value", "bit_count(mask) as n_flips"
     )
 
 
 def _two_levels(spark: SparkSession, folder: str) -> tuple[DataFrame, ranking.Ranked]:
-    """Nodes of depth 1 and 2 under the greedy choice of every customer, nothing reduced."""
+    """Nodes of depth 1 and 2 under the greedy choice of every customer, nothing reduced, with their flips as text."""
     ranked = ranking.rank_items(*_customers(spark, folder))
     space = ranking.search_space(ranked, page_size=1, reduce=False)
     roots = space.roots().withColumnsRenamed({"base_weight": "weight", "base_value": "value"})
     roots = frontier.seed_frontier(roots, 1, carry=["weight", "value"])
-    first = materialize(frontier.expand_frontier(roots.withColumn("bound", F.lit(None).cast("bigint")), space.page(0)), "first")
+    first = materialize(frontier.expand_frontier(roots, space.page(0)), "first")
     second = frontier.expand_frontier(first.drop("best", "complete"), space.page(1))
-    return first.unionByName(second).drop("best", "complete"), ranked
+    nodes = materialize(first.unionByName(second), "levels")
+    key = ("instance_id", "depth", "mask")
+    flips = paths.flipped_items(nodes.select(*key, "from_page"), space.pages, key).groupBy(*key)
+    flips = flips.agg(F.expr("array_join(transform(array_sort(collect_list(struct(position, item_id))), x -> cast(x.item_id as string)), ',') as flips"))
+    return nodes.join(flips, list(key), "left").withColumn("flips", F.coalesce("flips", F.lit(""))), ranked
 
 
 def expand_frontier(spark: SparkSession, folder: str) -> DataFrame:
     nodes, _ = _two_levels(spark, folder)
-    return nodes.selectExpr("instance_id", "depth", "weight", "value", "bound", f"{_flip_list('flips')} as flips")
+    return nodes.selectExpr("instance_id", "depth", "weight", "value", "bound", "flips")
 
 
 def prune_frontier(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +73,7 @@ def prune_frontier(spark: SparkSession, folder: str) -> DataFrame:
     sizes = ranked.heads.select("instance_id", "n_items")
     best = ranked.heads.selectExpr("instance_id", "base_value as objective")
     kept = frontier.prune_frontier(nodes.join(sizes, "instance_id"), best)
-    return kept.selectExpr("instance_id", "depth", "weight", "value", "bound", f"{_flip_list('flips')} as flips")
+    return kept.selectExpr("instance_id", "depth", "weight", "value", "bound", "flips")
 
 
 def _merge(sense: str) -> Query:
@@ -99,6 +109,19 @@ def _best_subset(instances: Callable, sense: str, **options) -> Query:
     return query
 
 
+def best_subset_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """A search that ends after its first round, taken up again from its folder."""
+    first = search.select_best_subset(*_customers(spark, folder), max_rounds=1, levels_per_round=4, steps_per_round=1)
+    return search.resume_search(first).report.select("instance_id", "status", "objective")
+
+
+def report_written(spark: SparkSession, folder: str) -> DataFrame:
+    """The report, written and read back."""
+    path = new_folder(spark, "report")
+    incumbent.write_report(search.select_best_subset(*_brands(spark, folder)).report, path)
+    return spark.read.parquet(path)
+
+
 def best_subset_choices(spark: SparkSession, folder: str) -> DataFrame:
     """What the chosen items of every customer add up to."""
     items, instances = _customers(spark, folder)
@@ -187,6 +210,11 @@ def _work(view: Callable, cap: int) -> dict[str, Query]:
     def balanced(spark: SparkSession, folder: str) -> DataFrame:
         return levelling.rebalance(*view(spark, folder), cap)
 
+    def counted(spark: SparkSession, folder: str) -> DataFrame:
+        nodes, slots = view(spark, folder)
+        counts = materialize(levelling.pending_by_slot(nodes, slots), "counts")
+        return levelling.rebalance_counted(nodes, counts, cap)[1]
+
     return {
         "pending_by_slot": pending,
         "pending_by_tree": by_tree,
@@ -197,6 +225,7 @@ def _work(view: Callable, cap: int) -> dict[str, Query]:
         "split_moved": split,
         "assign_destinations": assigned,
         "rebalance": balanced,
+        "pending_after_rebalance": counted,
     }
 
 
@@ -230,6 +259,19 @@ def iterate_history(spark: SparkSession, folder: str) -> DataFrame:
     return _halving(spark, folder).history
 
 
+def iterate_halted(spark: SparkSession, folder: str) -> DataFrame:
+    """Halving that halts when a part is still larger than 40 after two rounds or more: its history."""
+    seed = views.order_weights(spark, folder).selectExpr("o_orderkey", "weight as quantity", "0 as level")
+
+    def step(rows: DataFrame, number: int, n_open: int) -> DataFrame:
+        parts = F.expr("if(quantity > 10, array(quantity div 2, quantity - quantity div 2), array(quantity))")
+        split = rows.select("o_orderkey", F.explode(parts).alias("quantity"), (F.col("level") + 1).alias("level"))
+        return split.withColumn("open", F.col("quantity") > 10)
+
+    halt = (F.col("level") >= 2) & (F.col("quantity") > 40)
+    return iterate.iterate_until_empty(seed, step, halt=halt).history
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "seed_frontier": seed_frontier,
@@ -243,6 +285,11 @@ def queries() -> dict[str, Query]:
         "best_subset_brand_min": _best_subset(_brands, "min"),
         "best_subset_no_dominance": _best_subset(_customers, "max", dominance=False, levels_per_round=4),
         "best_subset_choices": best_subset_choices,
+        "best_subset_equal": _best_subset(_priced(0), "max", slab=256),
+        "best_subset_correlated": _best_subset(_priced(PREMIUM), "max", slab=256),
+        "best_subset_budgeted": _best_subset(_brands, "max", round_seconds=600_000),
+        "best_subset_resumed": best_subset_resumed,
+        "report_written": report_written,
         "solution_report": solution_report,
         "solution_report_after_one_round": solution_report_after_one_round,
         "search_history": search_history,
@@ -257,6 +304,7 @@ def queries() -> dict[str, Query]:
         "apportion_budget_5000": _budget(5000),
         "iterate_halving": iterate_halving,
         "iterate_history": iterate_history,
+        "iterate_halted": iterate_halted,
     }
     work = {
         "supplier": (views.supplier_work, NO_CAP),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ballast import select_best_subset
 from ballast.operators.frontier import expand_frontier, seed_frontier
+from ballast.operators.paths import flipped_items
 from ballast.operators.ranking import rank_items, search_space
 
 ITEMS = "instance_id BIGINT, item_id BIGINT, weight BIGINT, value BIGINT"
@@ -202,10 +203,15 @@ def test_bounds_are_never_below_the_best_completion(spark):
     items, instances = tables(spark, made)
     space = search_space(rank_items(items, instances), page_size=2, reduce=False)
     roots = space.roots().withColumnsRenamed({"base_weight": "weight", "base_value": "value"})
-    roots = seed_frontier(roots, 1, carry=["weight", "value"]).withColumn("bound", F.lit(None).cast("bigint"))
+    roots = seed_frontier(roots, 1, carry=["weight", "value"])
     first = expand_frontier(roots, space.page(0)).drop("best", "complete")
     seen = 0
-    for node in first.unionByName(expand_frontier(first, space.page(1)).drop("best", "complete")).collect():
+    nodes = first.unionByName(expand_frontier(first, space.page(1)).drop("best", "complete"))
+    key = ("instance_id", "depth", "mask")
+    flips: dict[tuple, set[int]] = {}
+    for row in flipped_items(nodes.select(*key, "from_page"), space.pages, key).collect():
+        flips.setdefault(tuple(row[c] for c in key), set()).add(row.item_id)
+    for node in nodes.collect():
         capacity, rows = made[node.instance_id]
         order = sorted(range(len(rows)), key=lambda n: (-rows[n][1] / rows[n][0], n))
         greedy, room = set(), capacity
@@ -214,8 +220,8 @@ def test_bounds_are_never_below_the_best_completion(spark):
                 break
             greedy.add(n)
             room -= rows[n][0]
-        decided, flips = set(order[: node.depth]), set(node.flips)
-        fixed = {n for n in decided if (n in greedy) != (n in flips)}
+        decided, flipped = set(order[: node.depth]), flips.get(tuple(node[c] for c in key), set())
+        fixed = {n for n in decided if (n in greedy) != (n in flipped)}
         free = order[node.depth :]
         best = max(
             (
