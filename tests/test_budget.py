@@ -57,3 +57,21 @@ def test_tens_of_thousands_of_funded_trees_in_one_group(spark, total):
     found = shares(spark, groups, total)
     for g, trees in groups.items():
         assert found[g] == pytest.approx(in_order(trees, total)), g
+
+
+def test_a_hot_group_is_spread_over_its_blocks(spark, many_blocks):
+    """One group with nine tenths of the trees: no task reads more than its range, and the shares are those of the fold."""
+    rows = [(0, n, n % 5, n % 3) for n in range(9_000)] + [(1 + n % 50, n, 1, 1) for n in range(1_000)]
+    trees = spark.createDataFrame(rows, "group_id long, seq long, n_easy long, n_hard long")
+    for total in (10_000, 10_000_000):
+        shares = {(r.group_id, r.seq): r.share for r in apportion_budget(trees, total).collect()}
+        for group in (0, 7):
+            mine = sorted((n, 6.0 * e + 60.0 * h) for g, n, e, h in rows if g == group)
+            left, to_come = float(total), sum(x for _, x in mine)
+            for n, need in mine:
+                offer = float(int(left))
+                share = 0.0
+                if need and offer > 0:
+                    share = offer - to_come + need if offer > to_come else max(6.0, offer * need / to_come)
+                assert abs(shares[group, n] - share) < 1e-6
+                left, to_come = left - share, to_come - need

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ballast import iterate_until_empty
+from ballast import iterate_until_empty, resume
 
 
 def countdown(rows, number, n_open):
@@ -50,3 +52,52 @@ def test_works_in_the_folder_of_the_session(spark):
     (folder,) = set(root.iterdir()) - before
     assert folder.name.startswith("kept")
     assert not (folder / "round=0" / "is_open=1").exists()
+
+
+def by_size(rows, n_open):
+    """Rows enter in waves of two, the largest first."""
+    place = F.row_number().over(Window.orderBy(F.col("left").desc(), "id"))
+    return rows.withColumn("wave", F.floor((place - 1) / 2).cast("int"))
+
+
+def test_rows_that_are_held_back_come_up_again(spark):
+    loop = iterate_until_empty(seed(spark, 1, 3, 2, 3, 1), countdown, park=by_size)
+    assert loop.stop_reason == "empty"
+    assert sorted(map(tuple, loop.emitted.collect())) == [(i, 0) for i in range(5)]
+    history = [tuple(r)[1:3] for r in loop.history.orderBy("round").collect()]
+    assert history[0] == (5, 0) and history[-1] == (0, 1)
+    assert sum(n for _, n in history) == 5
+
+
+def test_rows_that_wait_can_be_given_up(spark):
+    def revive(waiting, emitted):
+        return waiting.where("left > 1") if emitted.count() else waiting
+
+    loop = iterate_until_empty(seed(spark, 1, 3, 2, 3, 1), countdown, park=by_size, revive=revive)
+    assert loop.stop_reason == "empty"
+    assert sorted(r.id for r in loop.emitted.collect()) == [1, 2, 3]
+
+
+def test_a_limit_counts_and_returns_rows_that_wait(spark):
+    loop = iterate_until_empty(seed(spark, 1, 3, 2, 3, 1), countdown, max_rounds=1, park=by_size)
+    assert sorted(map(tuple, loop.open.collect())) == [(0, 1), (1, 2), (2, 2), (3, 2), (4, 1)]
+    assert loop.history.where("round = 1").first().n_open == 5
+
+
+def test_a_loop_is_resumed_behind_its_last_round(spark):
+    for park in (None, by_size):
+        whole = iterate_until_empty(seed(spark, 1, 5, 4, 2), countdown, park=park)
+        part = iterate_until_empty(seed(spark, 1, 5, 4, 2), countdown, max_rounds=2, park=park)
+        # An unfinished round has left rows that nobody vouches for.
+        spark.createDataFrame([(9, 9)], "id BIGINT, left BIGINT").write.parquet(f"{part.folder}/rounds/loop_round=3/is_open=1")
+        again = resume(spark, part.folder, countdown, park=park)
+        assert (again.stop_reason, again.rounds) == (whole.stop_reason, whole.rounds)
+        assert sorted(map(tuple, again.emitted.collect())) == sorted(map(tuple, whole.emitted.collect()))
+        assert again.history.orderBy("round").collect() == whole.history.orderBy("round").collect()
+        done = resume(spark, again.folder, countdown, park=park)
+        assert done.rounds == again.rounds and done.stop_reason == "empty"
+
+
+def test_nothing_to_resume(spark, tmp_path):
+    with pytest.raises(ValueError):
+        resume(spark, str(tmp_path), countdown)

@@ -6,6 +6,9 @@ from collections import Counter
 import pytest
 
 from ballast import (
+    changed_counts,
+    count_changes,
+    rebalance_counted,
     assign_destinations,
     levelling_plan,
     levelling_threshold,
@@ -16,6 +19,7 @@ from ballast import (
     slot_results,
     split_moved,
 )
+from ballast.plans.scratch import materialize
 
 NODES = "slot BIGINT, tree_id STRING, node_id STRING, is_easy BOOLEAN"
 COUNTS = "slot BIGINT, n BIGINT"
@@ -165,3 +169,26 @@ def test_pending_counts_and_pages_show_empty_slots(spark, many_blocks):
     assert [(r.slot, r.page, len(r.pending)) for r in pages] == [(0, 0, 0), (1, 0, 4), (1, 1, 4), (1, 2, 3), (2, 0, 1)]
     ids = [p.node_id for r in pages if r.slot == 1 for p in r.pending]
     assert ids == sorted(f"n{k}" for k in range(11))
+
+
+def test_counts_follow_the_moves_without_the_nodes(spark):
+    rows = [(i % 4 if i % 7 else 9, f"t{i}", str(i), i % 3 == 0) for i in range(300)]
+    nodes = spark.createDataFrame(rows, "slot long, tree_id string, node_id string, is_easy boolean")
+    slots = spark.createDataFrame([(i,) for i in range(20)], "slot long")
+    counts = pending_by_slot(nodes, slots)
+    for seed in range(3):
+        nodes, counts = rebalance_counted(nodes.select("slot", "tree_id", "node_id", "is_easy"), counts, cap=15, seed=seed)
+        nodes = materialize(nodes, "nodes")
+        recount = sorted(map(tuple, pending_by_slot(nodes, slots).collect()))
+        assert sorted(map(tuple, counts.select("slot", "n", "n_easy", "n_hard").collect())) == recount
+    assert "tree_id" not in counts._jdf.queryExecution().toString()
+    assert sum(r[1] for r in recount) == 300
+
+
+def test_new_and_finished_nodes_change_the_counts(spark):
+    moves = spark.createDataFrame(
+        [(None, 1, True), (None, 1, False), (2, None, False), (1, 2, True), (None, None, True)], "slot long, new_slot long, is_easy boolean"
+    )
+    counts = spark.createDataFrame([(1, 3, 2, 1), (2, 4, 0, 4), (3, 0, 0, 0)], "slot long, n long, n_easy long, n_hard long")
+    after = {r.slot: (r.n, r.n_easy, r.n_hard) for r in changed_counts(counts, count_changes(moves)).collect()}
+    assert after == {1: (4, 2, 2), 2: (4, 1, 3), 3: (0, 0, 0)}
