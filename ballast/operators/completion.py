@@ -20,32 +20,32 @@ _CHOICES = """aggregate(items, array(struct(0L as weight, 0L as value, 0L as mas
            n.mask | shiftleft(1L, cast(item.position - tail * page_size as int)) as mask)))))"""
 
 
-def tail_choices(pages: DataFrame) -> DataFrame:
-    """(instance, weight, value, mask) of all ways to flip items of the tail; ``pages`` from page ``tail`` on."""
-    whole = pages.where("page >= tail").groupBy(INSTANCE, "tail", "page_size")
+def tail_choices(pages: DataFrame, tails: DataFrame) -> DataFrame:
+    """(instance, tail, weight, value, mask) of all ways to flip the items from page ``tail`` on, for rows (instance, tail)."""
+    whole = pages.drop("tail").join(tails, INSTANCE).where("page >= tail").groupBy(INSTANCE, "tail", "page_size")
     items = whole.agg(F.expr("flatten(transform(array_sort(collect_list(struct(page, items))), p -> p.items)) as items"))
-    return items.selectExpr(INSTANCE, f"inline({_CHOICES})")
+    return items.selectExpr(INSTANCE, "tail", f"inline({_CHOICES})")
 
 
 def complete_tails(nodes: DataFrame, pages: DataFrame, best: DataFrame) -> DataFrame:
     """The best completion of all ``nodes`` of each instance, if it beats ``best``: one closed row per instance.
 
-    ``nodes`` (instance, weight, value, round, node) have decided everything ahead of the tail. Columns of the result:
-    (instance, from_page, value, best, parent_round, parent, mask).
+    ``nodes`` (instance, tail, weight, value, round, node) have decided everything ahead of page ``tail``, behind which there
+    are few items. Columns of the result: (instance, from_page, value, best, parent_round, parent, mask).
     """
-    mine = nodes.select(INSTANCE).distinct()
-    here = pages.join(mine, INSTANCE, "left_semi")
-    budgets = here.where("page = tail").select(INSTANCE, "budget", "tail")
-    choices = tail_choices(here).selectExpr(
-        INSTANCE, "weight as at", "0 as kind", "value", "mask", "cast(null as int) as round", "cast(null as bigint) as node", "cast(null as int) as tail"
+    by = [INSTANCE, "tail"]
+    tails = nodes.select(*by).distinct()
+    budgets = pages.where("page = 0").select(INSTANCE, "budget")
+    choices = tail_choices(pages, tails).selectExpr(
+        *by, "weight as at", "0 as kind", "value", "mask", "cast(null as int) as round", "cast(null as bigint) as node"
     )
-    probes = nodes.select(INSTANCE, "weight", "value", "round", "node").join(budgets, INSTANCE)
-    probes = probes.selectExpr(INSTANCE, "budget - weight as at", "1 as kind", "value", "cast(null as bigint) as mask", "round", "node", "tail")
+    probes = nodes.select(*by, "weight", "value", "round", "node").join(budgets, INSTANCE)
+    probes = probes.selectExpr(*by, "budget - weight as at", "1 as kind", "value", "cast(null as bigint) as mask", "round", "node")
     order = [F.col("at"), F.col("kind")]
-    blocked = range_blocks(choices.unionByName(probes), [INSTANCE], order, "tails", spread=True)
+    blocked = range_blocks(choices.unionByName(probes), by, order, "tails", spread=True)
     listed = F.expr("if(kind = 0, struct(value, mask), null)")
-    reached = running_best(blocked, [INSTANCE], order, listed, "most").where("kind = 1")
-    reached = reached.selectExpr(INSTANCE, "tail", "value + most.value as value", "most.mask as mask", "round", "node")
+    reached = running_best(blocked, by, order, listed, "most").where("kind = 1")
+    reached = reached.selectExpr(*by, "value + most.value as value", "most.mask as mask", "round", "node")
     top = reached.groupBy(INSTANCE).agg(
         F.max("value").alias("value"), *[F.max_by(c, "value").alias(c) for c in ("tail", "mask", "round", "node")]
     )

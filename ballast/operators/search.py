@@ -248,7 +248,7 @@ class Search:
     def park(self, nodes: DataFrame, n_open: int) -> DataFrame | None:
         """Which nodes enter the next round, and which the later ones: by bound, then depth, then by lot.
 
-        By lot, as the fullest of equally promising nodes have little room for anything better. Nodes at their tail
+        By lot, as the fullest of equally promising nodes have little room for anything better. Nodes at their tail, or in it,
         always enter: they are not expanded.
         """
         budgeted = self.round_seconds is not None
@@ -261,16 +261,16 @@ class Search:
         order = [F.col("bound").desc_nulls_first(), F.col("depth").desc(), F.xxhash64("weight", "value"), F.col("round"), F.col("node")]
         tails = self.space.tails().withColumnRenamed("tail", "_tail")
         blocked = range_blocks(nodes.join(tails, INSTANCE), [INSTANCE], order, "slab", spread=True)
-        cost = {"cost": F.expr(f"if(page > _tail, {EASY_SECONDS}L, {HARD_SECONDS}L)" if budgeted else "if(page <=> tail, 0L, 1L)")}
-        context = block_totals(blocked, [INSTANCE], cost, whole=["cost"]).select(INSTANCE, "block", "cost_before", "cost_whole")
+        cost = {"cost": F.expr(f"if(page > _tail, {EASY_SECONDS}L, {HARD_SECONDS}L)" if budgeted else "if(page >= _tail, 0L, 1L)")}
+        context = block_totals(blocked, [INSTANCE], {**cost, "n": F.expr("1L")}, whole=["n"]).select(INSTANCE, "block", "cost_before", "n_whole")
         if budgeted:
             context = context.join(self.quotas(blocked), INSTANCE).withColumn("later", F.greatest(F.col("quota"), F.lit(float(self.round_seconds))))
         else:
             context = context.withColumns({"quota": F.lit(float(self.slab)), "later": F.lit(float(self.slab))})
         placed = running_totals(blocked, [INSTANCE], order, cost, context)
         if not budgeted:
-            placed = placed.withColumn("tail", F.expr("if(cost_whole > quota, coalesce(tail, _tail), tail)"))
-            placed = placed.withColumn("cost_before", F.expr("if(page <=> tail, 0L, cost_before)"))
+            placed = placed.withColumn("tail", F.expr("if(n_whole > quota, greatest(page, _tail), tail)"))
+            placed = placed.withColumn("cost_before", F.expr("if(page >= _tail, 0L, cost_before)"))
         wave = "if(cost_before < quota, 0, cast(1 + floor((cost_before - quota) / later) as int))"
         return placed.withColumn("wave", F.expr(wave))
 
