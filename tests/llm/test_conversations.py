@@ -1,0 +1,121 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import pytest
+
+from ballast.llm.conversations import build_trie, conversation_prefixes
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def digest(role: str, text: str) -> str:
+    return hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()
+
+
+def rebuilt(rows):
+    own: dict[int, list] = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn, role or "", text or ""))
+    for turns in own.values():
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, digest(t[1], t[2])))
+    plain = {c: [t[1:] for t in turns] for c, turns in own.items()}
+    out = {}
+    for c, turns in plain.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = plain.get(c - c % 100, [])[:h] + turns[h:]
+    return out
+
+
+def trie(rows):
+    """All nodes, each by looking at all conversations."""
+    convs = rebuilt(rows)
+    members: dict[tuple, list[int]] = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    children: dict[tuple, list] = {k: [] for k in members}
+    for k in members:
+        if k:
+            children[k[:-1]].append(k)
+    own = {k: (len(m) - 1) * (len(k[-1][1]) if k else 0) for k, m in members.items()}
+
+    def below(k):
+        todo, out = [k], []
+        while todo:
+            out.append(todo.pop())
+            todo += children[out[-1]]
+        return out
+
+    found = []
+    for k, m in members.items():
+        subtree = below(k)
+        ends = ",".join(str(c) for c in sorted(c for c in m if len(convs[c]) == len(k)))
+        found.append((
+            min(m), len(k), min(members[k[:-1]]) if k else None, len(m), len(children[k]),
+            sum(not children[x] for x in subtree), sum(own[x] for x in subtree), hashlib.sha256(ends.encode()).hexdigest(),
+        ))
+    return sorted(map(repr, found))
+
+
+def answer(df):
+    return sorted(map(repr, map(tuple, df.collect())))
+
+
+def made(seed: int, n: int = 60):
+    """Conversations that share first turns, copies, prefixes of others, and one long one."""
+    draw = random.Random(seed)
+    rows = []
+    for c in draw.sample(range(0, 400), n):
+        kind = draw.random()
+        length = draw.randint(1, 7)
+        texts = ["hello" if kind < 0.5 or t == 0 else draw.choice(("yes", "nö", "", "well then")) for t in range(length)]
+        rows += [(c, t, "user" if t % 2 == 0 else "assistant", x) for t, x in enumerate(texts)]
+    rows += [(c, t, "user", f"long {t % 3}") for c in (100, 301) for t in range(60)]
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nodes_are_those_of_all_prefixes(spark, many_blocks, seed):
+    rows = made(seed)
+    assert answer(conversation_prefixes(spark.createDataFrame(rows, SCHEMA).repartition(6))) == trie(rows)
+
+
+def test_hot_nodes_meet_broadcasts(spark, many_blocks):
+    rows = made(3, 40)
+    nodes = build_trie(spark.createDataFrame(rows, SCHEMA), hot_rows=1).nodes
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert answer(nodes.selectExpr(*[f"cast({n} as bigint) as {n}" if n != "ends_sha256" else n for n in names])) == trie(rows)
+
+
+def test_rows_of_all_kinds(spark):
+    rows = [
+        (0, None, None, "null turns come first"), (0, 1, "user", None), (0, 2, "user", "x"), (0, 2, "user", "a tie"), (0, 2, "user", "x"),
+        (5, 9, "a", "\U0001f600é"), (7, 1, "a:", "b"), (7, 2, "a", ":b"), (None, 1, "user", "nobody's"), (None, None, None, None),
+        (301, 1, None, None), (302, 1, "", ""), (1_000_003, 4, "user", "far"), (1_000_003, 3, "user", "off"),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'mine' as block", "1 as pos", "2 as depth", "3 as k1", "4 as place_before")
+    assert answer(conversation_prefixes(docs)) == trie(rows)
+
+
+def test_a_conversation_may_have_no_turns_left(spark):
+    # All of the first h turns come from a first conversation that isn't there.
+    c = next(c for c in range(101, 200) if zlib.crc32(str(c).encode()) % 6 >= 2)
+    rows = [(c, 1, "user", "gone")]
+    got = conversation_prefixes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [tuple(r) for r in got] == [(c, 0, None, 1, 0, 1, 0, hashlib.sha256(str(c).encode()).hexdigest())]
+
+
+def test_long_end_lists_are_hashed_as_streams(spark, many_blocks):
+    rows = [(c, 1, "user", "same") for c in range(0, 40_000, 100)]
+    found = conversation_prefixes(spark.createDataFrame(rows, SCHEMA)).collect()
+    ends = hashlib.sha256(",".join(str(c) for c in range(0, 40_000, 100)).encode()).hexdigest()
+    assert [r.ends_sha256 for r in found if r.depth == 1] == [ends]
+    assert answer(conversation_prefixes(spark.createDataFrame(rows, SCHEMA))) == trie(rows)
+
+
+def test_no_conversations(spark):
+    assert conversation_prefixes(spark.createDataFrame([], SCHEMA)).count() == 0

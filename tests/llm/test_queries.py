@@ -16,7 +16,7 @@ def as_set(names, rows):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_same_rows_as_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     cursor = con.execute(oracle_sql()[name])
     got = queries()[name](spark, data)
@@ -26,7 +26,7 @@ def test_same_rows_as_sql(spark, data, name):
 def test_all_are_registered():
     names = set(registered.queries())
     assert set(queries()) | {"pipeline"} <= names
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(registered.oracle_sql()) <= names
 
 
