@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast.operators.frontier import INSTANCE
+from ballast.operators.ranking import TAIL_ITEMS
 from ballast.plans.blocks import range_blocks, running_best
 
 # A tail has ``TAIL_ITEMS`` items (``ranking.py``): 65,536 choices per instance, in one row before they are listed.
@@ -21,8 +22,9 @@ _CHOICES = """aggregate(items, array(struct(0L as weight, 0L as value, 0L as mas
 
 
 def tail_choices(pages: DataFrame, tails: DataFrame) -> DataFrame:
-    """(instance, tail, weight, value, mask) of all ways to flip the items from page ``tail`` on, for rows (instance, tail)."""
-    whole = pages.drop("tail").join(tails, INSTANCE).where("page >= tail").groupBy(INSTANCE, "tail", "page_size")
+    """(instance, tail, weight, value, mask) of all ways to flip the next ``TAIL_ITEMS`` items from page ``tail`` on, for rows (instance, tail)."""
+    near = f"page >= tail and page < tail + greatest(1, {TAIL_ITEMS} div page_size)"
+    whole = pages.drop("tail").join(tails, INSTANCE).where(near).groupBy(INSTANCE, "tail", "page_size")
     items = whole.agg(F.expr("flatten(transform(array_sort(collect_list(struct(page, items))), p -> p.items)) as items"))
     return items.selectExpr(INSTANCE, "tail", f"inline({_CHOICES})")
 
@@ -30,8 +32,8 @@ def tail_choices(pages: DataFrame, tails: DataFrame) -> DataFrame:
 def complete_tails(nodes: DataFrame, pages: DataFrame, best: DataFrame) -> DataFrame:
     """The best completion of all ``nodes`` of each instance, if it beats ``best``: one closed row per instance.
 
-    ``nodes`` (instance, tail, weight, value, round, node) have decided everything ahead of page ``tail``, behind which there
-    are few items. Columns of the result: (instance, from_page, value, best, parent_round, parent, mask).
+    ``nodes`` (instance, tail, weight, value, round, node) have decided everything ahead of page ``tail``. With no more than
+    ``TAIL_ITEMS`` items behind it the result is the best of all completions, else a good one. Columns of the result: (instance, from_page, value, best, parent_round, parent, mask).
     """
     by = [INSTANCE, "tail"]
     tails = nodes.select(*by).distinct()

@@ -43,6 +43,9 @@ MOST_BITS = 62
 # A frontier counts as small up to this many items on the pages of its nodes, some 50 MB.
 SMALL_FRONTIER = 1_000_000
 
+# An instance with more nodes than this waits for the next round before it decides another page.
+FEW_NODES = 16
+
 # Open nodes of one instance that enter a round; the best do, the others wait.
 SLAB = 1_024
 
@@ -105,7 +108,8 @@ def select_best_subset(
     Of an instance with more than ``slab`` open nodes the best by bound enter a round, ties by depth. The others wait in a written
     table, and come up again when nothing else is open; those that the incumbent has reached by then are gone. What a
     round costs is so bounded by the slab, whatever the instance. Nodes of such instances are completed over their last
-    two pages by one sweep instead of being expanded there.
+    16 items by one sweep instead of being expanded there; the first time, nodes further up are completed over the next 16 items
+    too, for a good incumbent.
 
     ``round_seconds`` is shared among the instances in every round, by their open nodes and in the order of their ids (see
     :func:`ballast.operators.budget.apportion_budget`). What an instance gets is its quota in place of the slab: it is charged
@@ -155,6 +159,8 @@ class Search:
     round_seconds: float | None
     #: Has any instance had more open nodes than enter a round?
     large: bool = False
+    #: Have its nodes been completed over the next items once?
+    dived: bool = False
     #: The pages that open nodes may have to decide next.
     pages: set[int] = field(default_factory=lambda: {0})
     #: What instances have left of their shares: (instance, unspent).
@@ -183,9 +189,14 @@ class Search:
         closed = self.closed(known.where("value > before").selectExpr("*", "0 as from_page", "0L as mask"))
 
         if self.large:
-            ends = nodes.where("page = tail")
+            # The first time all nodes look how far the next items take them: a good incumbent spares most of the rest.
+            ends = nodes.where("page = tail") if self.dived else nodes.withColumn("tail", F.col("page"))
+            self.dived = True
             if not ends.isEmpty():
-                closed = closed.unionByName(self.closed(complete_tails(ends, self.space.pages, best)))
+                found = materialize(complete_tails(ends, self.space.pages, best), "completed")
+                closed = closed.unionByName(self.closed(found))
+                better = found.select(INSTANCE, F.col("value").alias("_found"))
+                best = best.join(better, INSTANCE, "left").select(INSTANCE, F.greatest("best", "_found").alias("best"))
             nodes = nodes.where("tail is null or page <> tail")
             self.pages = {r.page for r in nodes.select("page").distinct().collect()} or {0}
         open_nodes = nodes.selectExpr(
@@ -204,7 +215,7 @@ class Search:
                 children = keep_dominant(children, few) if self.dominance else children
                 closed = closed.unionByName(children.withColumn("open", ~F.col("complete")).drop("complete"))
                 break
-            children = keep_best_of_weight(children, spread=not few)
+            children = keep_best_of_weight(children, spread=True)
             closed = closed.unionByName(children.where("complete").drop("complete").withColumn("open", F.lit(False)))
             open_nodes = children.where("not complete").drop("complete")
             # What this part has found is the cutoff in the next one.
@@ -217,9 +228,9 @@ class Search:
             closed = closed.unionByName(self.closed(within.where("value > before")))
             if few:
                 # Another page in the same round only for instances that have few nodes.
-                many = F.broadcast(within.where(F.col("n") > 1 << self.levels).select(INSTANCE))
+                many = F.broadcast(within.where(F.col("n") > FEW_NODES).select(INSTANCE))
                 closed = closed.unionByName(open_nodes.join(many, INSTANCE, "left_semi").withColumn("open", F.lit(True)))
-                within = within.where(F.col("n") <= 1 << self.levels)
+                within = within.where(F.col("n") <= FEW_NODES)
             best = within.select(INSTANCE, "best")
             open_nodes = open_nodes.drop("best")
         self.pages = {p + ahead + 1 for p in self.pages for ahead, _ in parts}

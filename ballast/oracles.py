@@ -13,6 +13,9 @@ instances AS (
     FROM customer LEFT JOIN items ON instance_id = c_custkey GROUP BY 1
 )"""
 
+#: In place of the price: orders that are worth their weight.
+EQUAL = "greatest(1, CAST(coalesce(q, 0) AS BIGINT)) AS value"
+
 BRAND_ITEMS = """
 items AS (
     SELECT CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS instance_id, p_partkey AS item_id,
@@ -22,16 +25,6 @@ items AS (
 instances AS (SELECT DISTINCT instance_id, CAST(100 AS BIGINT) AS capacity FROM items)"""
 
 
-def priced_items(premium: int) -> str:
-    return f"""
-items AS (
-    SELECT CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS instance_id, p_partkey AS item_id,
-           CAST(round(p_retailprice) AS BIGINT) AS weight, CAST(round(p_retailprice) AS BIGINT) + {premium} AS value
-    FROM part
-),
-instances AS (SELECT DISTINCT instance_id, CAST(10000 AS BIGINT) AS capacity FROM items)"""
-
-
 def best_of_all(items: str, sense: str) -> str:
     """Dynamic programme over the weight reached, one item at a time."""
     if sense == "max":
@@ -325,8 +318,7 @@ def oracle_sql() -> dict[str, str]:
         "best_subset_choices": customers["max"] + " SELECT instance_id, objective AS value, true AS fits FROM best",
         "solution_report": customers["max"] + WHOLE_REPORT,
         "report_written": brands["max"] + WHOLE_REPORT,
-        "best_subset_equal": best_of_all(priced_items(0), "max") + REPORT,
-        "best_subset_correlated": best_of_all(priced_items(100), "max") + REPORT,
+        "best_subset_equal": best_of_all(CUSTOMER_ITEMS.replace("CAST(round(o_totalprice * 100) AS BIGINT) AS value", EQUAL), "max") + REPORT,
         "best_subset_budgeted": brands["max"] + REPORT,
         "best_subset_resumed": customers["max"] + REPORT,
         "apportion_budget_600": budget(600),

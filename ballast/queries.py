@@ -17,8 +17,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Fixed value: the cluster that the levelling rule was made for has this many work slots.
 N_SLOTS = 39
 BRAND_CAPACITY = 100
-PRICE_CAPACITY = 10_000
-PREMIUM = 100
 # Suppliers have hundreds of lines each; a cap above the mean lets them level.
 NO_CAP = 1_000_000_000
 
@@ -33,12 +31,10 @@ def _brands(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return items, views.fixed_capacity(items, BRAND_CAPACITY)
 
 
-def _priced(premium: int) -> Callable:
-    def made(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-        items = views.priced_items(spark, folder, premium)
-        return items, views.fixed_capacity(items, PRICE_CAPACITY)
-
-    return made
+def _equal(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Orders that are worth their weight: no order is better than another, so bounds tell little."""
+    items, instances = _customers(spark, folder)
+    return items.withColumn("value", F.col("weight")), instances
 
 
 def seed_frontier(spark: SparkSession, folder: str) -> DataFrame:
@@ -285,8 +281,7 @@ def queries() -> dict[str, Query]:
         "best_subset_brand_min": _best_subset(_brands, "min"),
         "best_subset_no_dominance": _best_subset(_customers, "max", dominance=False, levels_per_round=4),
         "best_subset_choices": best_subset_choices,
-        "best_subset_equal": _best_subset(_priced(0), "max", slab=256),
-        "best_subset_correlated": _best_subset(_priced(PREMIUM), "max", slab=256),
+        "best_subset_equal": _best_subset(_equal, "max"),
         "best_subset_budgeted": _best_subset(_brands, "max", round_seconds=600_000),
         "best_subset_resumed": best_subset_resumed,
         "report_written": report_written,

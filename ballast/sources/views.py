@@ -47,17 +47,6 @@ def brand_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def priced_items(spark: SparkSession, folder: str, premium: int = 0) -> DataFrame:
-    """Parts as items of their brand: weight is the price in whole units, value the same and ``premium``.
-
-    No item is better than another per weight, or hardly: bounds tell little, and the search has to be kept small otherwise.
-    """
-    price = F.round("p_retailprice").cast("bigint")
-    return brand_items(spark, folder).select("instance_id", "item_id").join(
-        table(spark, folder, "part").select(F.col("p_partkey").alias("item_id"), price.alias("weight"), (price + premium).alias("value")), "item_id"
-    ).select("instance_id", "item_id", "weight", "value")
-
-
 def fixed_capacity(items: DataFrame, capacity: int) -> DataFrame:
     return items.select("instance_id").distinct().withColumn("capacity", F.lit(capacity).cast("bigint"))
 
