@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 COVERAGE = 0.8
 #: Words of the text per aligned word, at most, between the first and the last one.
 SPREAD = 1.6
-#: Gaps without unique words are aligned word by word up to this many pairs of words.
-SMALL_GAP = 2500
+#: Up to this many pairs of words a gap without unique words is aligned in one table; a larger one is halved first.
+TABLE = 2500
 
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
@@ -122,8 +122,31 @@ def longest_rising(values: list[int]) -> list[int]:
     return found[::-1]
 
 
+def common_lengths(a: Sequence[str], b: Sequence[str]) -> list[int]:
+    """The length of a longest common subsequence of ``a`` and each beginning of ``b``."""
+    row = [0] * (len(b) + 1)
+    for word in a:
+        corner = 0
+        for j, other in enumerate(b, 1):
+            above = row[j]
+            row[j] = corner + 1 if word == other else max(above, row[j - 1])
+            corner = above
+    return row
+
+
 def common_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence, for small gaps."""
+    """A longest common subsequence, in space that grows with the lists only (Hirschberg 1975): half of ``a`` goes with
+    the beginning of ``b``, and half with the rest, where the two have most in common."""
+    if len(a) * len(b) <= TABLE or len(a) == 1:
+        return common_in_table(a, b)
+    half = len(a) // 2
+    ahead, behind = common_lengths(a[:half], b), common_lengths(a[half:][::-1], b[::-1])[::-1]
+    cut = max(range(len(b) + 1), key=lambda j: ahead[j] + behind[j])
+    return common_words(a[:half], b[:cut]) + [(half + p, cut + q) for p, q in common_words(a[half:], b[cut:])]
+
+
+def common_in_table(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence of short lists."""
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -158,8 +181,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         unique = [(k, place[w]) for k, w in enumerate(a[i:x], i) if here[w] == 1 and w in place]
         anchors = [unique[k] for k in longest_rising([p for _, p in unique])]
         if not anchors:
-            if (x - i) * (y - j) <= SMALL_GAP:
-                found += [(i + p, j + q) for p, q in common_words(a[i:x], b[j:y])]
+            found += [(i + p, j + q) for p, q in common_words(a[i:x], b[j:y])]
             continue
         found += anchors
         edges = [(i - 1, j - 1), *anchors, (x, y)]

@@ -127,3 +127,30 @@ def test_neighbours_of_a_license_are_not_it(text):
 def test_usual_forms_of_a_name(text, want):
     assert [n for n, _, _ in found(text)] == want
     assert all(words_of(span)[0] in ("released", "licensed", "this") and span.lower().count("released") <= 1 for _, span, _ in found(text))
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        after = [0]
+        for j, y in enumerate(b):
+            after.append(row[j] + 1 if x == y else max(row[j + 1], after[-1]))
+        row = after
+    return row[-1]
+
+
+def test_gaps_of_any_size_are_aligned_as_far_as_possible():
+    """Without unique words nothing anchors: the alignment is a longest common subsequence, however long the lists."""
+    import random
+
+    from ballast.llm.licenses import align, common_words
+
+    cycle = [f"w{i % 7}" for i in range(62)]
+    assert len(align(cycle[:60], cycle[2:62])) == 58
+    draw = random.Random(4)
+    for n, m in ((3, 900), (70, 80), (200, 150), (400, 30)):
+        a, b = [draw.choice("abcde") for _ in range(n)], [draw.choice("abcde") for _ in range(m)]
+        pairs = common_words(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:]))
+        assert len(pairs) == longest_common(a, b)
