@@ -96,7 +96,8 @@ def write_archive(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Archi
     made = records(pages)
     stored = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
     made = made.withColumn("size", F.octet_length("header") + stored + len(END))
-    total = pages.agg(F.sum(F.octet_length("html") + 600)).first()[0] or 0
+    taken = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in ("html", "url")]
+    total = pages.agg(F.sum(taken[0] + taken[1] + 600)).first()[0] or 0
     archives = max(1, -(-int(total) // archive_bytes))
     # A record's place in its archive is the order by two hashes; equal rows are equal records, so their order is all the same.
     made = made.withColumn("tie", F.xxhash64("page_id", "url", "digest")).withColumn("tie2", F.hash("page_id", "url", "digest"))
