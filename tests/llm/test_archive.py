@@ -4,6 +4,7 @@ import hashlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from ballast.llm.archive import END, page_records, parse_record, plan_reads, read_records, records, write_archive
 from ballast.sources.tables import table
@@ -96,3 +97,10 @@ def test_broken_records_are_told():
         parse_record(b"nothing")
     with pytest.raises(ValueError):
         parse_record(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")
+
+
+def test_null_pages_count_for_the_number_of_archives(spark):
+    pages = spark.range(4000).selectExpr("id as page_id", "concat('http://x/', id) as url", "if(id < 10, repeat('y', 50), null) as html")
+    index = write_archive(pages, archive_bytes=100_000).index
+    largest = index.groupBy("archive").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
+    assert index.count() == 4000 and largest <= 200_000
