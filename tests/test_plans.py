@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ballast import apportion_budget, merge_incumbent
 from ballast.operators import budget
-from ballast.operators.frontier import expand_frontier, keep_dominant
+from ballast.operators.frontier import expand_frontier, keep_best_of_weight
 from ballast.plans.blocks import range_blocks, running_totals
 from ballast.plans.firsts import first_k
 from ballast.plans.scratch import drop_folder, scratch_root
@@ -79,15 +79,16 @@ def test_merge_combines_before_its_only_shuffle(spark, data):
 
 def test_round_has_no_python_and_no_cross_join(spark, many_blocks):
     nodes = spark.createDataFrame(
-        [], "instance_id BIGINT, depth INT, weight BIGINT, value BIGINT, bound BIGINT, flips ARRAY<BIGINT>"
+        [],
+        "instance_id BIGINT, page INT, depth INT, weight BIGINT, value BIGINT, bound BIGINT, tail INT, from_page INT, parent_round INT, parent BIGINT, mask BIGINT",
     )
-    item = "item_id: BIGINT, weight: BIGINT, value: BIGINT, greedy: BOOLEAN, addable_after: BIGINT"
+    item = "position: BIGINT, item_id: BIGINT, weight: BIGINT, value: BIGINT, greedy: BOOLEAN, addable_after: BIGINT"
     pages = spark.createDataFrame(
         [],
-        f"instance_id BIGINT, budget BIGINT, crit_weight BIGINT, crit_value BIGINT, last BOOLEAN, items ARRAY<STRUCT<{item}>>",
+        f"instance_id BIGINT, page INT, budget BIGINT, crit_weight BIGINT, crit_value BIGINT, last BOOLEAN, items ARRAY<STRUCT<{item}>>, page_size INT, advance INT",
     )
     best = spark.createDataFrame([], "instance_id BIGINT, best BIGINT")
-    plan = keep_dominant(expand_frontier(nodes, pages, best))
+    plan = keep_best_of_weight(expand_frontier(nodes, pages, best))
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     for word in ("Python", "Pandas", "Window", "Cartesian", "Cross"):
         assert word not in text
