@@ -42,3 +42,13 @@ def packed(df: DataFrame, name: str = "_row") -> Column:
 
 def unpacked(columns: Iterable[str], name: str = "_row") -> list[Column]:
     return [F.col(f"{name}.`{c}`").alias(c) for c in columns]
+
+
+def open_shared(path: str):
+    """A file of the shared folder, opened for reading inside a task through the file system that holds it."""
+    from pyarrow import fs
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.replace("file:/", "file:///", 1)
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)

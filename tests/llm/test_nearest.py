@@ -81,3 +81,25 @@ def test_repeated_ids_and_vectors(spark):
     rows = [(0, [1.0, 1.0, 0.5])] * 2 + [(i, [1.0, 1.0, 0.5]) for i in range(1, 9)]
     got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3)
     assert all(i != 0 for i, _ in got[0]) and {i for i, _ in got[0]} <= {1, 2, 3}
+
+
+def test_each_length_is_searched_by_itself(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=(6, 9, 9)[i % 3]).tolist()) for i in range(0, 600, 4)]
+    rows.append((1000, [1.0]))
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), k=5)
+    for d in (6, 9, 1):
+        same = [r for r in rows if len(r[1]) == d]
+        want = plain(same, 5)
+        assert recall({q: got.get(q, []) for q in want}, want) >= 0.98 if any(want.values()) else not any(got.get(q) for q in want)
+
+
+def test_blocks_are_bounded_by_bytes_and_slices(spark, monkeypatch):
+    from ballast.llm import nearest
+
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(nearest, "SLICE", 3)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=12).tolist()) for i in range(0, 1200, 5)]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), k=4)
+    assert recall(got, plain(rows, 4)) >= 0.98
