@@ -6,14 +6,18 @@ counts: a node that looks and reads alike on every page is template, one that va
 each page.
 
 The tree is never built in one place: its counts are groups (host, node, style or text), summed on Spark, and a page needs
-only the importance of its own paths. Markup that names itself (navigation, footers, adverts, comments, by tag, role or class) has importance 0
-whatever its entropy, as adverts vary too. An ``article`` or ``main`` element is a prior: everything else inside of it starts at importance 1, and
+only the importance of its own paths. Markup that names itself (navigation, footers, adverts, comments, by tag, role or class) goes
+whatever its entropy, as adverts vary too; it is not counted. Inline markup is part of its block's text: outside of an article it goes if a part of its class, id
+or role names it, inside only if a whole one does (``ad``, not ``share-price``). An ``article`` or ``main`` element is a prior: everything else inside of it starts at importance 1, and
 what stands outside of it on the same page at 0. The prior weighs as much as ``PRIOR_PAGES`` pages against the entropy over the differing pages that have the
 node. So a branch inside goes if many differing pages repeat it, one outside stays if it varies over many of them, and
 a text that copies of one page repeat is kept.
 
-Defined results: a null html is an empty page with an empty text; pages without a usable URL share the empty host. Hosts with fewer than
-``FEW_PAGES`` pages have too little to compare, and their unnamed branches are all kept. Broken markup is read as far as it goes:
+An undecided node on a page without a main element starts at 1 as well, at the weight of ``UNDECIDED_PAGES`` pages: one that never varies goes from four pages
+on. The weights grow with the pages; there is no number of pages at which the rule is another one.
+
+Defined results: a null html is an empty page with an empty text; pages without a usable URL share the empty host. A node on a single
+page has nothing to be compared with and keeps its prior. Only ``br`` and ``hr`` end a block among the elements without content. Broken markup is read as far as it goes:
 an unclosed element ends with its parent, an unclosed comment, script or style at the end of the page.
 """
 
@@ -32,11 +36,11 @@ from pyspark.sql import functions as F
 from ballast.llm.common import at_most
 from ballast.plans.scratch import materialize
 
-FEW_PAGES = 4
 LEAST_IMPORTANCE = 0.3
 #: What a branch beside a main element needs to stay.
 BESIDE_IMPORTANCE = 0.7
 PRIOR_PAGES = 5
+UNDECIDED_PAGES = 1.5
 #: Weight of a node's presentation against that of its text.
 DAMPING = 0.5
 
@@ -47,6 +51,7 @@ NAME_PARTS = re.compile(r"[^a-z]+")
 # Elements by their meaning in HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+BREAKS = frozenset(("br", "hr"))
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
 BOILERPLATE = frozenset("head nav footer aside form button select option optgroup datalist fieldset menu dialog svg canvas object audio video map".split()) | RAW
 MAIN = frozenset(("article", "main"))
@@ -63,7 +68,7 @@ NAMED = frozenset(
     "related recommended widget widgets pagination pager skip complementary contentinfo search searchbox alert dialog form".split()
 )
 HEADER = frozenset(("header", "topbar"))
-#: First letters of nodes that names decide on.
+#: First letters of nodes that names decide on. The first ones are never kept.
 NAMED_OUT, NAMED_IN = "-", "+"
 #: And of undecided nodes on a page with a main element.
 BESIDE = "~"
@@ -93,17 +98,18 @@ class Page:
         return f"{BESIDE}{b.path}" if self.has_main and b.decided < 0 else b.node
 
 
-def attributes(raw: str) -> tuple[str, frozenset[str]]:
-    """The classes as they enter a path, and the words in class, id and role."""
+def attributes(raw: str) -> tuple[str, frozenset[str], frozenset[str]]:
+    """The classes as they enter a path, the words in class, id and role, and their whole values."""
     if "=" not in raw:
-        return "", frozenset()
-    classes, parts = "", set()
+        return "", frozenset(), frozenset()
+    classes, parts, wholes = "", set(), set()
     for name, x, y, z in ATTRIBUTE.findall(raw):
         value = (x or y or z).lower()
         if name.lower() == "class":
             classes = ".".join(sorted(set(value.split())))
         parts.update(NAME_PARTS.split(value))
-    return classes, frozenset(parts)
+        wholes.update(value.split())
+    return classes, frozenset(parts), frozenset(wholes)
 
 
 def decoded(text: str) -> str:
@@ -154,14 +160,13 @@ def parse(page: str) -> Page:
                 flush()
             continue
         if tag in INLINE and tag not in VOID:
-            classes, parts = attributes(m[3])
-            if not parts & NAMED:
+            _, parts, wholes = attributes(m[3])
+            if not (wholes if stack[-1][2] == 1 else parts) & NAMED:
                 continue
             # Named inline markup (an advert in a span) ends with its own tag; it is rare, so it becomes a block.
         if tag in VOID:
-            if tag == "wbr":
-                continue
-            flush()
+            if tag in BREAKS:
+                flush()
             continue
         if tag in RAW:
             flush()
@@ -185,7 +190,7 @@ def parse(page: str) -> Page:
                     close(n)
                     break
         flush()
-        classes, parts = attributes(m[3])
+        classes, parts, _ = attributes(m[3])
         _, path, decided = stack[-1]
         styles.setdefault(path, []).append(tag)
         inside = decided == 1
@@ -213,7 +218,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
     """(host, node, kind, value, n): on how many pages a node has a presentation style (kind 0) or a text (kind 1), and, where
     there is a prior, on how many with the same text as a whole it stands (kind 2).
 
-    A node is a path with what names decide on it. Summed within each batch before they leave the task, and over all
+    A node is a path with what names decide on it; what they drop isn't counted. Summed within each batch before they leave the task, and over all
     batches by Spark.
     """
 
@@ -227,6 +232,8 @@ def style_counts(pages: DataFrame) -> DataFrame:
                 texts: dict[str, list[str]] = {}
                 whole = short("\n".join(b.text for b in read.blocks if b.decided)) if read.has_main else 0
                 for b in read.blocks:
+                    if not b.decided:
+                        continue
                     name = read.node(b)
                     texts.setdefault(name, []).append(b.text)
                     if b.path in read.styles:
@@ -245,20 +252,21 @@ def style_counts(pages: DataFrame) -> DataFrame:
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """(host, node, importance): 0 where names decide, else the mean of the entropies of a node's texts and styles, each over
-    the log of the number of pages that have the node, and weighed with the prior, if it has one. The prior or else 1 for a node on
-    too few pages, which must differ if there is a prior."""
+    """(host, node, importance): the mean of the entropies of a node's texts and styles, each over the log of the number of pages that have the
+    node, and weighed with the prior. Pages count once if there is a main element to copy."""
     total = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("nlog"), F.count("*").alias("values"))
-    # - sum p log p with p = n / m is log m - (sum n log n) / m.
-    entropy = (F.log2("m") - F.col("nlog") / F.col("m")) / F.log2("m")
-    each = total.select("host", "node", "kind", F.when(F.col("kind") == 2, F.col("values").cast("double")).when(F.col("m") < FEW_PAGES, 1.0).otherwise(entropy).alias("h"))
-    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("h")))
-    nodes = each.groupBy("host", "node").agg(pick(0).alias("style"), pick(1).alias("content"), pick(2).alias("pages"))
+    # - sum p log p with p = n / m is log m - (sum n log n) / m. A single page has an entropy of 0 over a log of 0.
+    entropy = F.when(F.col("m") > 1, (F.log2("m") - F.col("nlog") / F.col("m")) / F.log2("m")).otherwise(1.0)
+    pick = lambda kind, value: F.max(F.when(F.col("kind") == kind, value))
+    nodes = total.groupBy("host", "node").agg(
+        pick(0, entropy).alias("style"), pick(1, entropy).alias("content"), pick(1, F.col("m")).alias("pages"), pick(2, F.col("values")).alias("differing")
+    )
     mixed = F.coalesce((1 - DAMPING) * F.col("content") + DAMPING * F.col("style"), "content")
     named = F.substring("node", 1, 1)
-    prior = F.when(named == NAMED_IN, 1.0).when(named == BESIDE, 0.0)
-    weighed = F.when(F.col("pages") < FEW_PAGES, prior).otherwise((PRIOR_PAGES * prior + F.col("pages") * mixed) / (PRIOR_PAGES + F.col("pages")))
-    return nodes.select("host", "node", F.when(named == NAMED_OUT, 0.0).when(prior.isNotNull(), weighed).otherwise(mixed).alias("importance"))
+    prior = F.when(named == BESIDE, 0.0).otherwise(1.0)
+    weight = F.when(named.isin(NAMED_IN, BESIDE), F.lit(float(PRIOR_PAGES))).otherwise(UNDECIDED_PAGES)
+    pages = F.coalesce("differing", "pages")
+    return nodes.select("host", "node", ((weight * prior + pages * mixed) / (weight + pages)).alias("importance"))
 
 
 def low_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
@@ -269,9 +277,9 @@ def low_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
 
 
 def text_of(page: str, low: frozenset[str]) -> str:
-    """The text of the branches that are left; beside a main element those that ``low`` lists stay."""
+    """The text of the branches that no name drops and that are left; beside a main element those that ``low`` lists stay."""
     read = parse(page)
-    named = ((b, read.node(b)) for b in read.blocks)
+    named = ((b, read.node(b)) for b in read.blocks if b.decided)
     return " ".join(b.text for b, node in named if (node in low) == (node[0] == BESIDE))
 
 

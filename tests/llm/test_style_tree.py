@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from ballast.llm.style_tree import host_of, main_text, parse, text_of
+from ballast.llm.style_tree import host_of, low_nodes, main_text, parse, text_of
 from ballast.sources.tables import table
 
 def text(html):
@@ -31,6 +31,9 @@ def text(html):
         ("<ARTICLE><P>Up</P></ARTICLE>", "Up"),
         ("a&am<b>p;</b> &lt<i>b</i>", "a&amp; <b"),
         ("</div></p>x</b><p", "x"),
+        ("<p>wo<img src=a>rd <input>one<embed></p><p>a<br>b<hr>c", "word one a b c"),
+        ('<article><p>see <span class="form-of">plural of word</span> here</p></article>', "see plural of word here"),
+        ('<article>The <a class="share-price" href="x">price</a> rose<span class="ad">buy</span></article>', "The price rose"),
     ],
 )
 def test_text_of_one_page(html, want):
@@ -103,3 +106,32 @@ def test_main_elements_are_a_prior(spark):
     got = {r.page_id: r.text for r in main_text(df).collect()}
     assert all(got[i] == got[100 + i] == f"Story {i} tells of {i * i} things." for i in range(40))
     assert got[201] == "Story 2 tells of 4 things. Read our terms before you go on."
+
+
+def test_pages_of_a_host_weigh_without_a_step(spark):
+    """Template without names goes from four pages on, on every host by itself; expected texts are written down, not parsed."""
+    rows = [(100 * n + i, u, h) for n in range(1, 8) for i, u, h in site(f"h{n}.example", n)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for page_id, found in got.items():
+        n, i = divmod(page_id, 100)
+        story = f"Story {i} tells of {i * i} things. It ends at {i}."
+        assert found == (story if n >= 4 else f"Home News {story} All rights reserved. Contact us.")
+
+
+def test_entropy_decides_rows_on_many_hosts(spark):
+    """Unnamed boxes of each host's own wording, in and beside articles: without the low nodes they would all be in the text."""
+    box = lambda h: f"<section><p>House rules number {h}.</p></section>"
+    page = lambda h, i: f"<body><div class='x{h}'><p>Site {h}</p></div><article><p>On {h} day {i} came {i * 7 + h}.</p>{box(h)}</article></body>"
+    rows = [(h * 100 + i, f"https://host{h}.example/{i}", page(h, i)) for h in range(12) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert got == {h * 100 + i: f"On {h} day {i} came {i * 7 + h}." for h in range(12) for i in range(20)}
+    off = {i: text_of(page, frozenset()) for i, _, page in rows}
+    assert all(off[i] != t for i, t in got.items())
+
+
+def test_only_undecided_nodes_are_shipped(spark, data):
+    named = "<nav><p>a</p></nav><div class='ad'>b</div>"
+    rows = [(i, "http://h.example/", f"<body>{named}<article><p>Text {i}.</p></article></body>") for i in range(30)]
+    low = low_nodes(spark.createDataFrame(rows, "page_id long, url string, html string").select("url", "html"))
+    assert low.count() == 0
