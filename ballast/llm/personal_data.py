@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,6 +47,9 @@ UNLABELLED = 0.1
 #: An instance is accepted from this trust on.
 ACCEPT = 0.9
 ROUNDS = 3
+#: Longer words around mentions are one and the same word in a pattern; they are no vocabulary, and patterns stay short.
+WORD_CHARS = 60
+LONG_WORD = "..long.."
 
 SPAN = "struct<kind:int,begin:int,end:int>"
 MENTION = "struct<seed:int,looks:int,begin:int,end:int,value:string,contexts:array<string>>"
@@ -113,26 +118,43 @@ def lookalikes(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def contexts(text: str, begin: int, end: int) -> list[str]:
-    """Lexical patterns of a mention: the word before, the two before, the one after, those on both sides."""
-    plain = lambda s: re.sub(r"[0-9]", "0", s.lower()).split()
-    before, after = plain(text[max(0, begin - 60) : begin])[-2:], plain(text[end : end + 40])[:1]
-    left, right = (before or ["^"])[-1], (after or ["$"])[0]
-    found = [f"L {left}", f"R {right}", f"B {left} _ {right}"]
-    return found + ([f"LL {' '.join(before)}"] if len(before) == 2 else [])
+class Words:
+    """Where the words of a text begin and end, found once for all of its mentions."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.begins, self.ends = array("q"), array("q")
+        for m in re.finditer(r"\S+", text):
+            self.begins.append(m.start())
+            self.ends.append(m.end())
+
+    def word(self, begin: int, end: int) -> str:
+        """In lower case with zeros for digits. Words of more than ``WORD_CHARS`` characters are all the same."""
+        return re.sub(r"[0-9]", "0", self.text[begin:end].lower()) if end - begin <= WORD_CHARS else LONG_WORD
+
+    def contexts(self, begin: int, end: int) -> list[str]:
+        """Lexical patterns of a mention: the word before, the two before, the one after, those on both sides. What touches the mention is a word."""
+        at, past = bisect_left(self.begins, begin) - 1, bisect_right(self.ends, end)
+        left = self.word(self.begins[at], min(self.ends[at], begin)) if at >= 0 else "^"
+        right = self.word(max(self.begins[past], end), self.ends[past]) if past < len(self.ends) else "$"
+        found = [f"L {left}", f"R {right}", f"B {left} _ {right}"]
+        return found + ([f"LL {self.word(self.begins[at - 1], self.ends[at - 1])} {left}"] if at >= 1 else [])
 
 
 def scan_text(text: str) -> tuple[list, list]:
     """Base spans and mentions (seed kind or -1, looks, begin, end, value, contexts)."""
-    base = base_spans(text)
-    mentions = [(k, 1 << k, b, e, text[b:e].lower(), contexts(text, b, e)) for k, b, e in base]
+    base, more = base_spans(text), lookalikes(text)
+    if not base and not more:
+        return [], []
+    words = Words(text)
+    mentions = [(k, 1 << k, b, e, text[b:e].lower(), words.contexts(b, e)) for k, b, e in base]
     taken = sorted((b, e) for _, b, e in base)
     at = 0
-    for looks, b, e in sorted(lookalikes(text), key=lambda x: (x[1], x[2])):
+    for looks, b, e in sorted(more, key=lambda x: (x[1], x[2])):
         while at < len(taken) and taken[at][1] <= b:
             at += 1
         if not any(x < e and b < y for x, y in taken[at : at + 4]):
-            mentions.append((-1, looks, b, e, text[b:e].lower(), contexts(text, b, e)))
+            mentions.append((-1, looks, b, e, text[b:e].lower(), words.contexts(b, e)))
     return base, mentions
 
 
