@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ballast.llm.common import LOWER, ROW_KEY, UPPER, at_most, packed, row_key, unpacked
+from ballast.llm.common import LOWER, ROW_KEY, UPPER, at_most, crowded, join_parts, packed, row_key, unpacked
 from ballast.llm.graph import components
 from ballast.plans.scratch import materialize, release
 
@@ -137,9 +137,10 @@ def shingle_sets(rows: DataFrame, words_per_shingle: int) -> DataFrame:
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with the sizes na, nb and the number of shared shingles, ``rest`` (those of a that b lacks) and
-    ``linked``: do they share ``percent`` hundredths of their union?"""
+    ``linked``: do they share ``percent`` hundredths of their union? ``pairs`` is a written table; a class of many pairs is dealt to several tasks."""
     side = lambda n: sets.select(F.col("key").alias(n), F.col("shingles").alias(f"s{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    many = lambda n: crowded(pairs.groupBy(n).agg(F.count("*").alias("n")), n)
+    both = join_parts(join_parts(pairs, side("a"), "a", "b", many("a")), side("b"), "b", "a", many("b"))
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sa", "sb").alias("rest"))
     both = both.withColumn("shared", F.col("na") - F.size("rest"))
     return both.withColumn("linked", F.col("shared") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
@@ -159,13 +160,15 @@ def open_pairs(star: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     hubs = star.select("b", F.col("nb")).distinct()
     spokes = star.select(F.col("b").alias("hub"), F.col("a").alias("key"), F.col("na").alias("size"), F.col("shared").alias("i"), "rest")
     itself = hubs.select(F.col("b").alias("hub"), F.col("b").alias("key"), F.col("nb").alias("size"), F.col("nb").alias("i"), F.array().cast("array<long>").alias("rest"))
-    rows = spokes.unionByName(itself).join(named("key", "own"), "key", "left").join(named("hub", "centre"), "hub", "left")
+    many = materialize(crowded(star.groupBy(F.col("b").alias("hub")).agg(F.count("*").alias("n")), "hub"), "crowded")
+    rows = spokes.unionByName(itself).join(named("key", "own"), "key", "left")
+    rows = join_parts(rows, named("hub", "centre"), "hub", "key", many, "left")
     rows = rows.withColumn("own", F.coalesce("own", "key")).withColumn("centre", F.coalesce("centre", "hub"))
     rows = rows.withColumn("outside", F.col("own") != F.col("centre"))
     open_hubs = rows.where("outside").select("hub").distinct()
     # The most that a partner's size can be if the hub's shingles are to do, and the least that it can be at all.
     rows = rows.withColumn("cap", F.expr(f"i * {100 + percent} div {percent} - size")).withColumn("least", F.expr(f"(size * {percent} + 99) div 100"))
-    rows = materialize(rows.join(open_hubs, "hub", "left_semi"), "spokes")
+    rows = materialize(join_parts(rows, open_hubs, "hub", "key", many), "spokes")
 
     right = lambda *c: rows.select("hub", F.col("key").alias("b"), F.col("own").alias("other"), *c)
     left = rows.where("outside").select("hub", F.col("key").alias("a"), "own", "size", "cap", "least")
@@ -193,11 +196,12 @@ def near_duplicate_classes(rows: DataFrame, words_per_shingle: int = 5, percent:
     """
     done = materialize(sketch(rows, words_per_shingle), "sketch")
     classes = materialize(
-        done.where("key is not null").groupBy("key").agg(F.min("id").alias("least_id"), F.first("bands").alias("bands")), "classes"
+        done.where("key is not null").groupBy("key").agg(F.min("id").alias("least_id"), F.first("bands").alias("bands"), F.count("*").alias("n")), "classes"
     )
     buckets = materialize(classes.select("key", F.explode("bands").alias("bucket")), "buckets")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    members = materialize(buckets.join(shared, "bucket"), "members")
+    shared = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    full = crowded(shared, "bucket", "m")
+    members = materialize(join_parts(buckets, shared, "bucket", "key", full), "members")
     release(buckets)
 
     wanted = members.select("key").distinct().join(classes.select("key", "least_id"), "key").select("key", "least_id")
@@ -209,19 +213,19 @@ def near_duplicate_classes(rows: DataFrame, words_per_shingle: int = 5, percent:
 
     weight = members.groupBy("key").agg(F.sum("m").alias("w"))
     hubs = members.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("w", "key")).alias("h"))
-    star = members.join(hubs, "bucket").select(F.col("key").alias("a"), F.col("h.key").alias("b")).where("a <> b").distinct()
+    star = join_parts(members, hubs, "bucket", "key", full).select(F.col("key").alias("a"), F.col("h.key").alias("b")).where("a <> b").distinct()
     star = materialize(star, "pairs")
     star = materialize(compared(star, sets, percent), "star")
     links = star.where("linked").select("a", "b")
     first = components(links)
-    late = compared(open_pairs(star, first, percent), sets, percent).where("linked").select("a", "b")
+    late = compared(materialize(open_pairs(star, first, percent), "open"), sets, percent).where("linked").select("a", "b")
     label = components(links.unionByName(materialize(late, "late")))
 
     named = classes.select("key", "least_id").join(label.withColumnRenamed("node", "key"), "key", "left")
     named = named.select("key", "least_id", F.coalesce("label", "key").alias("label"))
     least = named.groupBy("label").agg(F.min(F.struct(F.isnull("least_id"), "least_id", "key")).alias("m"))
     named = named.join(least, "label").select("key", F.col("m.least_id").alias("component_id"), F.col("m.key").alias("component"))
-    joined = done.select("id", *ROW_KEY, "key", "n_shingles").join(materialize(named, "named"), "key", "left")
+    joined = join_parts(done.select("id", *ROW_KEY, "key", "n_shingles"), materialize(named, "named"), "key", "id", crowded(classes, "key"), "left")
     alone = F.col("key").isNull()
     component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
     first = alone | (F.col("key") == F.col("component")) & F.col("id").eqNullSafe(F.col("component_id"))
