@@ -35,27 +35,6 @@ def at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-#: Rows of one key that a join keeps together.
-KEY_ROWS = 500
-
-
-def crowded(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """(key, parts) of the keys that have more than ``KEY_ROWS`` rows by ``counts`` (key, n)."""
-    return counts.where(F.col(n) > KEY_ROWS).select(key, F.ceil(F.col(n) / KEY_ROWS).cast("int").alias("_parts"))
-
-
-def join_parts(rows: DataFrame, one_per_key: DataFrame, key: str, by: str, many: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` joined with a table that has one row per key, of which crowded keys are dealt to several tasks by the column ``by``.
-
-    ``many`` (:func:`crowded`) tells into how many parts. The one row is repeated for each of them, which is at most once
-    per ``KEY_ROWS`` rows.
-    """
-    many = at_most(many)
-    left = rows.join(many, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), "_parts"), F.lit(0)).cast("int"))
-    right = one_per_key.join(many, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-    return left.drop("_parts").join(right.drop("_parts"), [key, "_part"], how).drop("_part")
-
-
 def packed(df: DataFrame, name: str = "_row") -> Column:
     """All columns of ``df`` as one struct, so that added columns can't clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)

@@ -112,32 +112,3 @@ def test_components_of_long_paths(spark):
     edges = edges.unionByName(spark.createDataFrame([(1000, 1001), (1001, 1000), (1000, 1000)], "a long, b long"))
     got = {r.node: r.label for r in components(edges).collect()}
     assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
-
-
-def test_a_crowded_hub_is_dealt_to_many_tasks(spark, monkeypatch):
-    """With five rows of a key kept together, a large group of copies, a large bucket and its hub are in parts; the classes stay the same."""
-    from ballast.llm import common
-
-    monkeypatch.setattr(common, "KEY_ROWS", 5)
-    rng = random.Random(12)
-    base = [f"w{i}" for i in range(60)]
-    rows = [(i, " ".join(base)) for i in range(40)]
-    for i in range(60):
-        near = base[: rng.randrange(50, 60)] + [f"x{rng.randrange(8)}" for _ in range(rng.randrange(7))]
-        rows.append((100 + i, " ".join(near)))
-    rows += [(None, " ".join(base)), (300, None), (301, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert result(df) == expected(rows, 2)
-
-
-def test_parts_of_crowded_keys(spark):
-    from ballast.llm.common import KEY_ROWS, crowded, join_parts
-
-    n = 20 * KEY_ROWS
-    rows = spark.range(n).selectExpr("if(id < 9000, 'hot', concat('k', id)) as k", "id")
-    one = rows.select("k").distinct().withColumn("v", F.concat("k", F.lit("!")))
-    many = crowded(rows.groupBy("k").agg(F.count("*").alias("n")), "k")
-    assert [tuple(r) for r in many.collect()] == [("hot", 18)]
-    got = join_parts(rows, one.where("k <> 'k9500'"), "k", "id", many, "left")
-    assert got.columns == ["k", "id", "v"] and got.count() == n
-    assert got.where("v is null").count() == 1 and got.where("v <> concat(k, '!')").count() == 0
