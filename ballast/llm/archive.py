@@ -8,7 +8,8 @@ Payloads that repeat are stored once: of records with equal payloads of at least
 page_id is a response and the others are revisits that refer to it.
 
 Defined results: a null html is an empty payload, a null url an empty target. Null ids come after all others in the
-choice of the response; rows that repeat the smallest id and the payload are all responses.
+choice of the response; rows that repeat the smallest id and the payload are all responses. Rows that are equal in all
+three columns are dealt to several archives, as many as their records fill.
 """
 
 from __future__ import annotations
@@ -72,6 +73,28 @@ def records(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", "digest", "payload_bytes", "record_type", "refers_to", header.alias("header"), F.when(again, "").otherwise(F.col("payload")).alias("payload"))
 
 
+def deal(made: DataFrame, archives: int, archive_bytes: int) -> DataFrame:
+    """``made`` with the number of each record's archive.
+
+    Records go by hash. Rows that agree in all columns agree in the hash, so they are counted, and one of them stands for
+    all: its copies go in chunks of at most an archive to one archive after the other. That depends on
+    counts alone, so index and archives get the same deal although each computes it for itself.
+    """
+    key, columns = ["tie", "tie2"], made.columns
+    repeats = at_most(materialize(made.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1"), "warc-repeats"))
+    alone = made.join(repeats, key, "left_anti").withColumn("_part", F.lit(0).cast("long"))
+    some = made.join(repeats, key).groupBy(*key).agg(F.first(F.struct(*columns)).alias("_row"), F.first("_n").alias("_n"))
+    some = some.withColumn("_chunk", F.greatest(F.lit(1), F.floor(F.lit(archive_bytes) / F.col("_row.size"))))
+    some = some.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / F.col("_chunk")))))
+    # The chunks of a group leave its task before they become records.
+    some = some.repartition(*key, "_part")
+    copies = F.least("_chunk", F.col("_n") - F.col("_part") * F.col("_chunk"))
+    some = some.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    dealt = alone.select(*columns, "_part").unionByName(some.select(*[F.col(f"_row.{c}").alias(c) for c in columns], "_part"))
+    place = F.pmod(F.pmod("tie", F.lit(archives)) + F.col("_part"), F.lit(archives))
+    return dealt.withColumn("archive", place.cast("int")).drop("_part")
+
+
 def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The records of each archive in a batch as one compressed row."""
     for batch in batches:
@@ -101,7 +124,7 @@ def write_archive(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Archi
     archives = max(1, -(-int(total) // archive_bytes))
     # A record's place in its archive is the order by two hashes; equal rows are equal records, so their order is all the same.
     made = made.withColumn("tie", F.xxhash64("page_id", "url", "digest")).withColumn("tie2", F.hash("page_id", "url", "digest"))
-    made = made.withColumn("archive", F.pmod("tie", F.lit(archives)).cast("int"))
+    made = deal(made, archives, archive_bytes)
     order = ["tie", "tie2"]
     running = F.sum("size").over(Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     index = made.select(

@@ -104,3 +104,17 @@ def test_null_pages_count_for_the_number_of_archives(spark):
     index = write_archive(pages, archive_bytes=100_000).index
     largest = index.groupBy("archive").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
     assert index.count() == 4000 and largest <= 200_000
+
+
+def test_equal_rows_are_dealt_to_many_archives(spark):
+    """Short and long payloads, alone and beside other rows: no archive of more than twice the size, and all rows come back."""
+    for html in ("z" * 60, "z" * 500):
+        same = spark.range(4000).selectExpr("7L as page_id", "'http://x/' as url", f"'{html}' as html")
+        other = spark.range(500).selectExpr("id + 100 as page_id", "null as url", "if(id % 2 = 0, null, repeat('y', 300)) as html")
+        pages = same.unionByName(other).repartition(7)
+        archive = write_archive(pages, archive_bytes=100_000)
+        sizes = [r.n for r in archive.index.groupBy("archive").agg(F.sum(F.col("length") + len(END)).alias("n")).collect()]
+        assert len(sizes) > 10 and max(sizes) <= 200_000
+        got = read_records(archive, archive.index).groupBy("page_id", "payload", "record_type").count().collect()
+        assert {(r.payload, r.record_type): r["count"] for r in got if r.page_id == 7} == {(html, "response"): 4000}
+        assert sum(r["count"] for r in got) == 4500
