@@ -4,7 +4,8 @@ The index holds one posting (term, document, position) for every occurrence in t
 texts of a term of the test items. It is written once to the shared folder. Every window of an item is
 looked up by its two rarest terms: their posting lists are shifted by the terms' places in the item and intersected,
 which leaves the documents and diagonals where the window can occur. The remaining terms are then
-checked on those diagonals only, and matches are maximal runs of agreeing words.
+checked on those diagonals only, and matches are maximal runs of agreeing words. Proximity matches, in which words have
+moved or one is missing, come from the same lists with room around the diagonals.
 
 Everything is DataFrame functions. Terms are looked up by a broadcast table only if a count shows that
 the items' vocabulary is small; otherwise the same joins are shuffle joins.
@@ -112,23 +113,59 @@ def phrase_matches(index: PositionalIndex, items: Items, window: int = 10) -> Da
     return kept.select(*ROW_KEY, "tid", "begin", (F.col("begin") + F.col("n")).alias("end"))
 
 
-def proximity_matches(index: PositionalIndex, items: Items, window: int = 10, slop: int = 5) -> DataFrame:
-    """(_h1, _h2, tid, begin, end): the two rarest words of a window stand at most ``slop`` words
-    further apart, or closer, than in the item, in the same order or not."""
-    small = at_most(anchors(items, index, window).where("p2 is not null"))
-    first = index.postings.join(small, F.col("term") == F.col("t1")).select(
+def near_windows(items: Items, index: PositionalIndex, window: int, missing: int) -> DataFrame:
+    """(tid, at, least, words, p1, t1, p2, t2): every window with its words that occur and their places, how many must agree, and
+    one row for each pair of its rarest words, as many as leave two when those that may be missing are.
+    Windows with too few words that occur, or less than two, are left out."""
+    counted = items.terms.join(index.frequency, "term", "left")
+    listed = counted.groupBy("tid", "size").agg(F.array_sort(F.collect_list(F.struct("ipos", "tf", "term"))).alias("w"))
+    starts = listed.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.col("size") - window + 1, F.lit(1)))))
+    cut = starts.withColumn("c", F.slice("w", F.col("at"), F.least("size", F.lit(window))))
+    there = F.filter("c", lambda x: x["tf"].isNotNull())
+    rare = cut.withColumn("r", F.array_sort(F.transform(there, lambda x: F.struct(x["tf"].alias("tf"), x["ipos"].alias("ipos"), x["term"].alias("term")))))
+    rare = rare.withColumn("least", F.when(F.col("size") < window, F.col("size")).otherwise(F.lit(max(2, window - missing))))
+    rare = rare.where((F.size("r") >= F.col("least")) & (F.size("r") >= 2))
+    plain = F.transform("r", lambda x: F.struct(x["ipos"].alias("ipos"), x["term"].alias("term")))
+    rare = rare.select("tid", "at", "least", plain.alias("words"), F.slice("r", F.lit(1), F.size("c") - F.col("least") + 2).alias("heads"))
+    pairs = rare.select("*", F.posexplode("heads").alias("i", "x")).select("*", F.posexplode("heads").alias("j", "y")).where("i < j")
+    return pairs.selectExpr("tid", "at", "least", "words", "x.ipos as p1", "x.term as t1", "y.ipos as p2", "y.term as t2")
+
+
+def proximity_matches(index: PositionalIndex, items: Items, window: int = 10, slop: int = 5, missing: int = 1) -> DataFrame:
+    """(_h1, _h2, tid, at, begin, end): windows whose words stand about where they should.
+
+    All words of the window but ``missing`` stand at most ``slop`` words from their place, counted from an occurrence of one of its
+    rarest words; of an item shorter than a window all words do. Their order does not matter. Of the ``missing + 2`` rarest words two
+    must then be there, so pairs of these are what is looked up. ``at`` is the window's number in the
+    item, from 1; begin and end, exclusive, enclose the rare words.
+    """
+    windows = materialize(near_windows(items, index, window, missing), "windows")
+    pairs = at_most(windows.select("tid", "p1", "t1", "p2", "t2").distinct())
+    first = index.postings.join(pairs, F.col("term") == F.col("t1")).select(
         *ROW_KEY, "tid", "p1", "p2", F.col("pos").alias("x"), (F.col("pos") - F.col("p1")).alias("d1")
     )
-    second = index.postings.join(small, F.col("term") == F.col("t2")).select(
+    second = index.postings.join(pairs, F.col("term") == F.col("t2")).select(
         *ROW_KEY, "tid", "p1", "p2", F.col("pos").alias("y"), (F.col("pos") - F.col("p2")).alias("d2")
     )
     # Diagonals at most slop apart lie in the same cell of slop + 1 diagonals or in neighbouring ones.
     cell = lambda d: F.floor(F.col(d) / (slop + 1))
-    around = first.withColumn("cell", F.explode(F.array(cell("d1") - 1, cell("d1"), cell("d1") + 1)))
-    both = around.join(second.withColumn("cell", cell("d2")), [*ROW_KEY, "tid", "p1", "p2", "cell"]).where(
-        (F.abs(F.col("d1") - F.col("d2")) <= slop) & (F.col("x") != F.col("y"))
-    )
-    return both.select(*ROW_KEY, "tid", F.least("x", "y").alias("begin"), (F.greatest("x", "y") + 1).alias("end")).distinct()
+    around = lambda d: F.explode(F.array(cell(d) - 1, cell(d), cell(d) + 1))
+    both = first.withColumn("cell", around("d1")).join(second.withColumn("cell", cell("d2")), [*ROW_KEY, "tid", "p1", "p2", "cell"])
+    both = both.where(F.abs(F.col("d1") - F.col("d2")) <= slop)
+    spans = both.groupBy(*ROW_KEY, "tid", "p1", "p2", "d1").agg(F.min(F.least("x", "y")).alias("begin"), (F.max(F.greatest("x", "y")) + 1).alias("end"))
+    spans = materialize(spans, "near-pairs")
+    place = [*ROW_KEY, "tid", "at", "d1"]
+    found = spans.join(at_most(windows.select("tid", "at", "p1", "p2")), ["tid", "p1", "p2"])
+    found = found.groupBy(*place).agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    found = found.join(at_most(windows.select("tid", "at", "least", "words").distinct()), ["tid", "at"])
+    awaited = found.select(*place, "least", "begin", "end", F.explode("words").alias("word")).select("*", "word.ipos", "word.term").drop("word")
+    awaited = awaited.withColumn("due", F.col("d1") + F.col("ipos")).withColumn("cell", around("due"))
+    near = index.postings.join(at_most(spans.select(*ROW_KEY).distinct()), ROW_KEY, "left_semi").withColumn("cell", cell("pos")).distinct()
+    # A word is counted once for its window, whichever cells it stands in.
+    agreed = awaited.join(near, [*ROW_KEY, "term", "cell"]).where(F.abs(F.col("pos") - F.col("due")) <= slop)
+    agreed = agreed.groupBy(*place, "ipos").agg(F.first("least").alias("least"), F.first("begin").alias("begin"), F.first("end").alias("end"))
+    whole = agreed.groupBy(*place).agg(F.count("*").alias("n"), F.first("least").alias("least"), F.first("begin").alias("begin"), F.first("end").alias("end"))
+    return whole.where("n >= least").select(*ROW_KEY, "tid", "at", "begin", "end")
 
 
 def hits(matches: DataFrame, items: Items) -> DataFrame:
@@ -152,15 +189,26 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     return materialize(hits(found, items), "hits")
 
 
-def document_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``documents``."""
-    found = benchmark_hits(documents, benchmark, window)
+def document_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 5, missing: int = 1) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) for every row of ``documents``.
+
+    n_near counts the items of which a window stands nearby (:func:`proximity_matches`), those with exact occurrences among them
+    unless they have one word only. The other columns are of exact occurrences.
+    """
+    items = read_items(benchmark)
+    index = build_index(documents.select(*row_key("doc_id", "text"), "text"), items.terms.select("term"))
+    exact = materialize(phrase_matches(index, items, window), "matches")
+    moved = proximity_matches(index, items, window, slop, missing).select(*ROW_KEY, "tid").distinct()
+    moved = moved.join(at_most(items.ids), "tid").select(*ROW_KEY, "item_id").distinct().groupBy(*ROW_KEY).agg(F.count("*").alias("n_near"))
+    moved = materialize(moved, "near")
+    index.release()
+    found = materialize(hits(exact, items).join(moved, ROW_KEY, "full"), "hits")
     rows = documents.select("doc_id", *row_key("doc_id", "text"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     ids = F.array_join(F.coalesce("item_ids", F.array().cast("array<string>")), ",")
     return rows.join(at_most(found), ROW_KEY, "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        "doc_id", "n_words", count("n_hit").alias("n_hit"), count("n_items").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"), (count("n_hit") > 0).alias("contaminated"), count("n_near").alias("n_near"),
     )
 
 

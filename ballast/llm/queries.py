@@ -115,10 +115,26 @@ dw AS (
 h AS (SELECT r, n, i, item_id FROM dw JOIN bw USING (n, g)),
 c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
 t AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
-      FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+      FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r),
+bt AS (SELECT q, item_id, n, s, unnest(range(s, s + n)) AS ipos, unnest(w[s:s + n - 1]) AS term
+       FROM (SELECT q, item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s
+             FROM (SELECT row_number() OVER () AS q, item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0))),
+dp AS (SELECT r, pos, term FROM (SELECT r, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM bt)),
+tf AS (SELECT term, count(*) AS tf FROM dp GROUP BY term),
+wt AS (SELECT *, row_number() OVER (PARTITION BY q, s ORDER BY tf NULLS LAST, ipos) AS k, count(tf) OVER (PARTITION BY q, s) AS there
+       FROM bt LEFT JOIN tf USING (term)),
+wo AS (SELECT *, CASE WHEN n < 10 THEN n ELSE 9 END AS need FROM wt WHERE tf IS NOT NULL AND there >= 2 AND there >= CASE WHEN n < 10 THEN n ELSE 9 END),
+pr AS (SELECT x.q, x.s, x.ipos AS p1, x.term AS t1, y.ipos AS p2, y.term AS t2 FROM wo x JOIN wo y ON x.q = y.q AND x.s = y.s AND x.k < y.k AND y.k <= x.n - x.need + 2),
+ca AS (SELECT DISTINCT q, s, x.r, x.pos - p1 AS d1 FROM pr JOIN dp x ON x.term = t1 JOIN dp y ON y.term = t2 AND y.r = x.r
+       WHERE abs((x.pos - p1) - (y.pos - p2)) <= 5),
+ne AS (SELECT ca.r, item_id FROM ca JOIN wo ON wo.q = ca.q AND wo.s = ca.s
+       JOIN dp ON dp.r = ca.r AND dp.term = wo.term AND abs(dp.pos - wo.ipos - d1) <= 5
+       GROUP BY ca.r, ca.q, ca.s, d1, item_id, need HAVING count(DISTINCT wo.ipos) >= need),
+m AS (SELECT r, count(*) AS n_near FROM (SELECT DISTINCT r, item_id FROM ne) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r) LEFT JOIN m USING (r)
 """
 
 NEAR_DUPLICATES = r"""

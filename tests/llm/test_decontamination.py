@@ -86,6 +86,64 @@ def test_proximity_finds_words_moved_apart(spark):
     assert {r.doc_id for r in found.collect()} == {1}
 
 
+def near_items(docs, items, window=10, slop=5, missing=1):
+    """Per document the number of items with a window nearby, by trying every place."""
+    texts = [words(t) for _, t in docs]
+    tf = {}
+    for w in texts:
+        for x in w:
+            tf[x] = tf.get(x, 0) + 1
+    out = []
+    for w in texts:
+        found = set()
+        for k, item in items:
+            v = words(item)
+            n = min(window, len(v))
+            for a in range(len(v) - n + 1) if n else ():
+                there = sorted((tf[v[p]], p) for p in range(a, a + n) if v[p] in tf)
+                need = n if n < window else n - missing
+                for _, p in there[: n - need + 1] if len(there) >= max(2, need) else ():
+                    for x in (i for i, o in enumerate(w) if o == v[p]):
+                        low = x - p - slop
+                        if sum(v[i] in w[max(0, low + i) : max(0, low + i + 2 * slop + 1)] for _, i in there) >= need:
+                            found.add(k)
+        out.append(len(found))
+    return out
+
+
+def test_windows_nearby_as_by_brute_force(spark):
+    """Inserted, replaced, dropped and swapped words, among few different words; exact columns are as they were."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 5, 10, 14])))) for i in range(25)]
+    docs = []
+    for i in range(120):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(4)):
+            at, kind = rng.randrange(len(w) + 1), rng.randrange(4)
+            if kind == 0:
+                w.insert(at, "new")
+            elif kind == 1 and at < len(w):
+                w[at] = "other"
+            elif kind == 2 and at < len(w) > 1:
+                del w[at]
+            elif kind == 3:
+                rng.shuffle(w)
+        docs.append((i, " ".join(rng.choices(vocabulary, k=rng.randrange(30)) + w + rng.choices(vocabulary, k=rng.randrange(30)))))
+    found = document_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = [r.n_near for r in sorted(found.collect(), key=lambda r: r.doc_id)]
+    assert got == near_items(docs, items) and any(got)
+    assert result(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")) == expected(docs, items)
+
+
+def test_a_changed_passage_is_near_and_not_a_hit(spark):
+    item = [f"w{i}" for i in range(15)]
+    texts = [item[:7] + ["new"] + item[7:], item[:7] + ["other"] + item[8:], item[::-1], item[:5], [f"x{i}" for i in range(15)]]
+    docs = spark.createDataFrame([(i, " ".join(["clean", "words", *t])) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = document_contamination(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_hit, r.n_near) for r in got.collect()) == [(0, 0, 1), (1, 0, 1), (2, 0, 0), (3, 0, 0), (4, 0, 0)]
+
+
 def test_the_plan_has_no_python(spark, data):
     plan = document_contamination(table(spark, data, "documents"), table(spark, data, "benchmark"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
