@@ -4,14 +4,17 @@ A license template and a text are aligned on the words that are unique to both:
 in the same order in both holds as anchors, and the gaps between anchors are aligned in the same way, until a gap
 has no unique words left. Coverage is the share of the template's words that found a partner.
 
-A template that is covered must have most of its words in the text, so of any more words than may be missing one is there: that test
-passes over texts, and loses none. In what is left, places are cut out where words that only the template has stand
+A template that is covered must have most of its words in the text, so of any more words than may be missing one is there, and the words
+that both have, each as often as in the one that has it less often, are enough. These tests
+pass over texts and parts of texts, and lose none. In what is left, places are cut out where words that only the template has stand
 close together, so that a license that occurs several times is found each time.
 
 Coverage does not tell a license from its neighbours, which differ in a word or two. So each template has the words that must be there
-(``MUST``): the name with its version and clauses, right behind what introduces it, so that no other word can stand in
+(``must``): the name with its version and clauses, right behind what introduces it, so that no other word can stand in
 between ("Lesser", "Educational Community"). A place without them is no match.
 
+Templates are notices, SPDX lines and, under names that end in ``-whole``, complete license texts (``license_texts``).
+
 Defined results: null and empty texts have no matches. Of matches that overlap in a text the one that covers more words counts, then the better
 covered one, then the first by name. Rows that repeat are scanned each.
 """
@@ -22,6 +25,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from importlib.resources import files
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -70,6 +74,16 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
+TEMPLATES["BSD-2-Clause-name"] = "Released under the BSD 2-Clause License."
+TEMPLATES["BSD-3-Clause-name"] = "Released under the BSD 3-Clause License."
+#: Ids that an SPDX line names.
+SPDX = (
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0-only",
+    "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense",
+)
+TEMPLATES |= {f"SPDX-{name}": f"SPDX-License-Identifier: {name}" for name in SPDX}
+TEMPLATES |= {x.name.removesuffix(".txt"): x.read_text("utf-8") for x in files(__package__).joinpath("license_texts").iterdir() if x.name.endswith(".txt")}
+
 #: Words between "under" and a name that belong to no name.
 FILL = r"(?:(?:the|a|an|terms|conditions|provisions|of|and|same|standard|permissive) )*"
 UNDER = rf"\b(?:under|to) {FILL}"
@@ -93,8 +107,23 @@ MUST = {
     "MIT-text": ("", r"\bfree of charge\b", r"\bcopyright notice\b"),
     "MPL-2.0": (rf"{UNDER}mozilla public {LICENSE} {VERSION}2(?:\.0)?(?!\S)",),
 }
-#: Words shortly behind a template that make it another license: the third clause of BSD-3-Clause, the fourth of the old one.
-NOT_BEHIND = {"BSD-2-Clause": frozenset(("endorse", "advertising"))}
+MUST |= {f"SPDX-{name}": ("", rf"\bspdx-license-identifier {re.escape(name.lower())}(?!\S)") for name in SPDX}
+MUST |= {f"BSD-{n}-Clause-name": (rf"{UNDER}bsd {n}-clause {LICENSE}\b",) for n in (2, 3)}
+MUST |= {
+    "Apache-2.0-whole": ("", r"\bapache license version 2\.0(?!\S)"),
+    "BSD-2-Clause-whole": ("", r"\bsource code\b", r"\bbinary form\b"),
+    "BSD-3-Clause-whole": ("", r"\bsource code\b", r"\bbinary form\b", r"\bendorse or promote\b"),
+    "CC0-1.0-whole": ("", r"\bcc0 1\.0 universal\b"),
+    "GPL-2.0-whole": ("", r"\bgnu general public license version 2 june 1991\b"),
+    "GPL-3.0-whole": ("", r"\bgnu general public license version 3 29 june 2007\b"),
+    "ISC-whole": ("", r"\bwithout fee\b", r"\bcopyright notice\b"),
+    "LGPL-2.1-whole": ("", r"\bgnu lesser general public license version 2\.1(?!\S)"),
+    "LGPL-3.0-whole": ("", r"\bgnu lesser general public license version 3 29 june 2007\b"),
+    "MIT-whole": ("", r"\bfree of charge\b", r"\bcopyright notice\b"),
+    "MPL-2.0-whole": ("", r"\bmozilla public license version 2\.0(?!\S)"),
+}
+#: Words in a match or shortly behind it that make it another license: the third clause of BSD-3-Clause, the fourth of the old one.
+NOT_BEHIND = {name: frozenset(("endorse", "advertising")) for name in ("BSD-2-Clause", "BSD-2-Clause-whole")} | {"BSD-3-Clause-whole": frozenset(("advertising",))}
 BEHIND = 60
 
 
@@ -211,12 +240,23 @@ class Template:
             self.signs.add(w)
             covered += count[w]
 
+        self.place = {w: i for i, w in enumerate(self.words) if w in self.once}
+        self.count, self.least = count, self.needed(coverage)
+
+    def reachable(self, count: Counter[str], size: int) -> bool:
+        """Whether words with these counts could cover the template, in whatever order they stand."""
+        if size < self.least:
+            return False
+        few, many = sorted((self.count, count), key=len)
+        return sum(min(n, many.get(w, 0)) for w, n in few.items()) >= self.least
+
     def needed(self, coverage: float) -> int:
         return max(1, int(-(-len(self.words) * coverage // 1)))
 
     def places(self, words: list[str]) -> Iterator[tuple[int, int]]:
         """Ranges of words where the template could be: its signs stand close together, each range around one
-        occurrence of the sign that is there most often."""
+        occurrence of the sign that is there most often. The text around a long license may repeat some of its words, so
+        ranges are also laid where most signs agree on the begin."""
         reach = int(len(self.words) * SPREAD) + 1
         at = [i for i, w in enumerate(words) if w in self.signs]
         group: list[int] = []
@@ -231,10 +271,28 @@ class Template:
                 borders = [min(max((a + after + b - before) // 2, a + 1), b) for a, b in zip(hubs, hubs[1:], strict=False)]
                 for hub, low, high in zip(hubs, [0, *borders], [*borders, len(words)], strict=True):
                     yield max(low, hub - reach), min(high, hub + reach)
+                yield from self.agreed(words, group)
                 group = []
             if i is not None:
                 group.append(i)
 
+    def agreed(self, words: list[str], group: list[int]) -> Iterator[tuple[int, int]]:
+        """Ranges that begin where more signs put the begin than anywhere else within half a template."""
+        size = len(self.words)
+        step = max(2, size // 16)
+        votes = Counter((k - self.place[words[k]]) // step for k in group if words[k] in self.place)
+        votes = {c: votes[c - 1] + votes[c] + votes[c + 1] for c in list(votes)}
+        cells, near = sorted(votes), size // (2 * step)
+        best: list[int] = []
+        for c in cells:
+            if best and c - best[-1] <= near:
+                if votes[c] > votes[best[-1]]:
+                    best[-1] = c
+            else:
+                best.append(c)
+        for c in best:
+            yield max(0, (c - 1) * step), min(len(words), (c + 2) * step + size)
+
     def titled(self, words: list[str], first: int, last: int) -> Iterator[tuple[int, int, int, int]]:
         """The parts of a range around each occurrence of the template's name, and the place of the name; all of it without one."""
         if self.title is None:
@@ -251,7 +309,7 @@ class Template:
     def holds(self, words: list[str], begin: int, end: int) -> bool:
         """Whether what must be among the words is there, and nothing behind them makes them another license."""
         text = " ".join(words[begin : end + 1])
-        return all(x.search(text) for x in self.must) and self.not_behind.isdisjoint(words[end + 1 : end + 1 + BEHIND])
+        return all(x.search(text) for x in self.must) and self.not_behind.isdisjoint(words[begin : end + 1 + BEHIND])
 
 
 def find_licenses(text: str, templates: list[Template], coverage: float) -> list[tuple[str, int, int, float]]:
@@ -259,8 +317,9 @@ def find_licenses(text: str, templates: list[Template], coverage: float) -> list
     if not text:
         return []
     low = text.lower()
-    present = set(WORD.findall(low))
-    possible = [t for t in templates if not t.signs.isdisjoint(present)]
+    present = Counter(WORD.findall(low))
+    size = present.total()
+    possible = [t for t in templates if not t.signs.isdisjoint(present) and t.reachable(present, size)]
     if not possible:
         return []
     spans = [(m.start(), m.end()) for m in WORD.finditer(low)]
@@ -268,6 +327,8 @@ def find_licenses(text: str, templates: list[Template], coverage: float) -> list
     found = []
     for t in possible:
         for first, last, named, name_end in (x for place in t.places(words) for x in t.titled(words, *place)):
+            if not t.reachable(Counter(words[first:last]), last - first):
+                continue
             pairs = align(t.words, words[first:last])
             if len(pairs) < t.needed(coverage):
                 continue

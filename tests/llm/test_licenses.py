@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -154,3 +155,72 @@ def test_gaps_of_any_size_are_aligned_as_far_as_possible():
         assert all(a[i] == b[j] for i, j in pairs)
         assert all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:]))
         assert len(pairs) == longest_common(a, b)
+
+
+def plain_align(a, b):
+    """Patience alignment written down as it is defined, by recursion, with a longest common subsequence where nothing is unique."""
+    if not a or not b:
+        return 0
+    if a[0] == b[0]:
+        return 1 + plain_align(a[1:], b[1:])
+    if a[-1] == b[-1]:
+        return 1 + plain_align(a[:-1], b[:-1])
+    unique = [(a.index(w), b.index(w)) for w in a if a.count(w) == b.count(w) == 1]
+    if not unique:
+        return longest_common(a, b)
+    best = max((c for n in range(1, len(unique) + 1) for c in combinations(unique, n) if all(p[1] < q[1] for p, q in zip(c, c[1:], strict=False))), key=len)
+    edges = [(-1, -1), *best, (len(a), len(b))]
+    return len(best) + sum(plain_align(a[p + 1 : r], b[q + 1 : s]) for (p, q), (r, s) in zip(edges, edges[1:], strict=False))
+
+
+def test_coverage_is_at_least_what_anchors_in_order_leave():
+    """With one possible run of anchors the alignment is the plain one; of several longest runs either may be taken."""
+    rng = random.Random(11)
+    for _ in range(400):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randrange(14))]
+        b = [w for w in a if rng.random() < 0.8]
+        for _ in range(rng.randrange(4)):
+            b.insert(rng.randrange(len(b) + 1), rng.choice("abcxyz"))
+        unique = [b.index(w) for w in a if a.count(w) == b.count(w) == 1]
+        if unique == sorted(unique):
+            assert len(align(a, b)) == plain_align(a, b)
+        assert len(align(a, b)) <= longest_common(a, b)
+
+
+WHOLE = sorted(n for n in TEMPLATES if n.endswith("-whole"))
+
+
+def test_whole_texts_are_there():
+    assert len(WHOLE) == 12 and all(len(words_of(TEMPLATES[n])) > 100 for n in WHOLE)
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_licenses_in_long_texts(name):
+    """Beside text that repeats words of the license, with words left out but those that name it, and twice in a row."""
+    rng = random.Random(name)
+    names = set("endorse or promote source code binary form free of charge without fee copyright notice".split())
+    own = words_of(TEMPLATES[name])
+    prose = " ".join(rng.choice([*rng.sample(own, 20), "prose", "words"]) for _ in range(3000))
+    changed = " ".join(w for w in TEMPLATES[name].split() if rng.random() > 0.03 or w[0].isupper() or w[-1].isdigit() or w in names)
+    got = [(n, c) for n, _, c in found(f"{prose}\n{changed}\n{prose}") if n == name]
+    assert len(got) == 1 and got[0][1] > 0.9
+    assert [n for n, _, _ in found(f"{TEMPLATES[name]}\n\n{TEMPLATES[name]}")].count(name) == 2
+
+
+def test_whole_licenses_and_their_neighbours():
+    four = TEMPLATES["BSD-3-Clause-whole"].replace("3. Neither", "3. All advertising materials mentioning features must display this. 4. Neither")
+    assert not [n for n, _, _ in found(four) if n.startswith("BSD")]
+    assert [n for n, _, _ in found(TEMPLATES["BSD-3-Clause-whole"])] == ["BSD-3-Clause-whole"]
+    affero = TEMPLATES["GPL-3.0-whole"].replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE").replace("29 June", "19 November")
+    assert "GPL-3.0-whole" not in [n for n, _, _ in found(affero)]
+    for text in ("SPDX-License-Identifier: MIT-0", "SPDX-License-Identifier: LicenseRef-x of MIT", "Released under the BSD 4-Clause License."):
+        assert found(text) == []
+
+
+def test_counts_lose_no_covered_text():
+    rng = random.Random(6)
+    for t in READY:
+        words = [w for w in t.words if rng.random() < 0.9]
+        if len(align(t.words, words)) >= t.least:
+            assert t.reachable(Counter(words), len(words))
+        assert not t.reachable(Counter(t.words[: t.least - 1]), t.least - 1)
