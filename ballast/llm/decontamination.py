@@ -156,16 +156,31 @@ def proximity_matches(index: PositionalIndex, items: Items, window: int = 10, sl
     spans = materialize(spans, "near-pairs")
     place = [*ROW_KEY, "tid", "at", "d1"]
     found = spans.join(at_most(windows.select("tid", "at", "p1", "p2")), ["tid", "p1", "p2"])
-    found = found.groupBy(*place).agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    found = found.join(at_most(windows.select("tid", "at", "least", "words").distinct()), ["tid", "at"])
-    awaited = found.select(*place, "least", "begin", "end", F.explode("words").alias("word")).select("*", "word.ipos", "word.term").drop("word")
-    awaited = awaited.withColumn("due", F.col("d1") + F.col("ipos")).withColumn("cell", around("due"))
-    near = index.postings.join(at_most(spans.select(*ROW_KEY).distinct()), ROW_KEY, "left_semi").withColumn("cell", cell("pos")).distinct()
+    found = materialize(found.groupBy(*place).agg(F.min("begin").alias("begin"), F.max("end").alias("end")), "near-found")
+    whole = at_most(windows.select("tid", "at", "least", "words").distinct())
+    # A few rare words tell nearly all chance pairs from matches, and have short lists; what passes is checked on all words.
+    absent, all_of = F.size("words") - F.col("least"), F.size("words")
+    few = F.least(all_of, F.lit(missing + 4))
+    found = materialize(standing(index, found.join(whole, ["tid", "at"]), F.slice("words", F.lit(1), few), few - absent, slop), "near-few")
+    return standing(index, found.join(whole, ["tid", "at"]), F.col("words"), F.col("least"), slop).select(*ROW_KEY, "tid", "at", "begin", "end")
+
+
+def standing(index: PositionalIndex, found: DataFrame, checked: Column, need: Column, slop: int) -> DataFrame:
+    """The rows (_h1, _h2, tid, at, d1, begin, end) of ``found`` of which at least ``need`` of the words ``checked`` stand
+    at most ``slop`` words from their place on the diagonal d1."""
+    place = [*ROW_KEY, "tid", "at", "d1"]
+    cell = lambda c: F.floor(F.col(c) / (slop + 1))
+    rows = found.select(*place, "begin", "end", need.alias("need"), checked.alias("checked"))
+    awaited = rows.select(*place, "begin", "end", "need", F.explode("checked").alias("word")).select("*", "word.ipos", "word.term").drop("word")
+    awaited = awaited.withColumn("due", F.col("d1") + F.col("ipos"))
+    docs, terms = at_most(found.select(*ROW_KEY).distinct()), at_most(awaited.select("term").distinct())
+    near = index.postings.join(docs, ROW_KEY, "left_semi").join(terms, "term", "left_semi").withColumn("cell", cell("pos")).distinct()
+    around = awaited.withColumn("cell", F.explode(F.array(cell("due") - 1, cell("due"), cell("due") + 1)))
+    agreed = around.join(near, [*ROW_KEY, "term", "cell"]).where(F.abs(F.col("pos") - F.col("due")) <= slop)
     # A word is counted once for its window, whichever cells it stands in.
-    agreed = awaited.join(near, [*ROW_KEY, "term", "cell"]).where(F.abs(F.col("pos") - F.col("due")) <= slop)
-    agreed = agreed.groupBy(*place, "ipos").agg(F.first("least").alias("least"), F.first("begin").alias("begin"), F.first("end").alias("end"))
-    whole = agreed.groupBy(*place).agg(F.count("*").alias("n"), F.first("least").alias("least"), F.first("begin").alias("begin"), F.first("end").alias("end"))
-    return whole.where("n >= least").select(*ROW_KEY, "tid", "at", "begin", "end")
+    kept = [F.first(c).alias(c) for c in ("begin", "end", "need")]
+    agreed = agreed.groupBy(*place, "ipos").agg(*kept)
+    return agreed.groupBy(*place).agg(F.count("*").alias("n"), *kept).where("n >= need").drop("n", "need")
 
 
 def hits(matches: DataFrame, items: Items) -> DataFrame:
