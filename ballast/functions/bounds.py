@@ -61,9 +61,17 @@ def flip_can_win(best: str) -> str:
     return f"{slack} >= {product(f'({best} + 1 - base_value)', 'crit_weight')}"
 
 
+# The largest number whose square is a BIGINT.
+ROOT = 3_037_000_499
+
+
 def capped_quotient(a: str, b: str, divisor: str, cap: str) -> str:
-    """``least(a * b div divisor, cap)``; capping first keeps the result a BIGINT."""
-    return f"least({product(a, b)}, {product(cap, divisor)}) div cast({divisor} as decimal(19, 0))"
+    """``least(a * b div divisor, cap)`` for numbers that are not negative; capping first keeps the result a BIGINT.
+
+    Numbers whose product is surely a BIGINT are multiplied as such, which takes a fraction of the time.
+    """
+    wide = f"least({product(a, b)}, {product(cap, divisor)}) div cast({divisor} as decimal(19, 0))"
+    return f"if({a} between 0 and {ROOT}L and {b} between 0 and {ROOT}L, least({a} * {b} div {divisor}, {cap}), {wide})"
 
 
 def node_bound(node: str, item: str) -> str:

@@ -59,15 +59,28 @@ _CHILDREN = """array(
               n.mask | shiftleft(1L, cast(item.position - from_page * page_size as int)) as mask),
        null))"""
 
+# The children of all nodes ``open`` for one item that can still beat ``best``.
+_SURVIVORS = f"""filter(
+        transform(
+            filter(flatten(transform(open, n -> {_CHILDREN})), c -> c is not null),
+            c -> struct(c.weight as weight, c.value as value, c.mask as mask, {node_bound("c", "item")} as bound)),
+        c -> c.bound > best)"""
+
 # All descendants of a node that survive the items of one page, level by level.
 _DESCENDANTS = f"""aggregate(
     items,
     array(struct(weight, value, mask, bound)),
-    (open, item) -> filter(
-        transform(
-            filter(flatten(transform(open, n -> {_CHILDREN})), c -> c is not null),
-            c -> struct(c.weight as weight, c.value as value, c.mask as mask, {node_bound("c", "item")} as bound)),
-        c -> c.bound > best))"""
+    (open, item) -> {_SURVIVORS})"""
+
+# The same, but every node is a choice of its own, so the most valuable one is the cutoff of its level: it stays, and
+# others only if they can still lead to more. After the last item only that one is left.
+_LED = f"""aggregate(
+    items,
+    array(struct(weight, value, mask, bound)),
+    (open, item) -> element_at(
+        transform(transform(array({_SURVIVORS}), kept -> struct(kept, transform(kept, c -> c.value) as worth)),
+            x -> element_at(transform(array(struct(array_max(x.worth) as most, array_position(x.worth, array_max(x.worth)) - 1 as place)),
+                top -> filter(x.kept, (c, i) -> c.bound > top.most or i = top.place)), 1)), 1))"""
 
 
 def expand_frontier(
@@ -76,6 +89,7 @@ def expand_frontier(
     best: DataFrame | None = None,
     hot: DataFrame | None = None,
     small: bool = False,
+    lead: bool = False,
 ) -> DataFrame:
     """Decide the next few items of every node.
 
@@ -85,7 +99,8 @@ def expand_frontier(
     on to the next item. Nodes that have decided the last item are ``complete``; nodes
     without a page leave the frontier. ``hot`` names (instance, page) with very many nodes, see
     :func:`ballast.plans.skew.hot_keys`. With ``small`` the caller vouches that
-    ``best`` has few rows: the nodes stay where they are and meet their pages by broadcast.
+    ``best`` has few rows: the nodes stay where they are and meet their pages by broadcast. With ``lead`` the most valuable
+    descendant of a node is the cutoff for its others, level by level, so that not all of them are returned.
 
     One join; the levels are a fold inside the joined row, whose size the page bounds.
     """
@@ -94,11 +109,12 @@ def expand_frontier(
     if small:
         rows = nodes.join(F.broadcast(page), PAGE_KEY)
     else:
-        rows = join_by_key(nodes, page, PAGE_KEY, hot)
+        rows = join_by_key(nodes, page, PAGE_KEY, hot, shuffle_tasks(nodes))
     rows = rows.where("bound is null or bound > best")
     path = ["tail", *[c for c in PATH_COLUMNS if c != "mask"]]
+    descendants = _LED if lead else _DESCENDANTS
     return rows.selectExpr(
-        INSTANCE, "page + advance as page", "cast(depth + size(items) as int) as depth", *path, "best", "last as complete", f"inline({_DESCENDANTS})"
+        INSTANCE, "page + advance as page", "cast(depth + size(items) as int) as depth", *path, "best", "last as complete", f"inline({descendants})"
     ).select(*NODE_COLUMNS, "best", "complete")
 
 

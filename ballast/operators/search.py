@@ -209,13 +209,14 @@ class Search:
             if hot is not None:
                 hot = hot.withColumn("page", F.col("page") + ahead)
             page = self.space.page(*sorted(p + ahead for p in self.pages), piece=piece)
-            children = expand_frontier(open_nodes, page, best, hot, small)
+            children = expand_frontier(open_nodes, page, best, hot, small, lead=self.dominance)
             # A complete node has beaten the best known choice: it is emitted as one.
             if k + 1 == len(parts):
                 children = keep_dominant(children, few) if self.dominance else children
                 closed = closed.unionByName(children.withColumn("open", ~F.col("complete")).drop("complete"))
                 break
-            children = keep_best_of_weight(children, spread=True)
+            # Written, as the rows below are read in several ways, each of which would expand all nodes anew.
+            children = materialize(keep_best_of_weight(children, spread=True), "children")
             closed = closed.unionByName(children.where("complete").drop("complete").withColumn("open", F.lit(False)))
             open_nodes = children.where("not complete").drop("complete")
             # What this part has found is the cutoff in the next one.

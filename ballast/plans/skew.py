@@ -23,11 +23,23 @@ def hot_keys(rows: DataFrame, key: str, n_rows: int, hot_rows: int = HOT_ROWS) -
     return rows.groupBy(key).count().where(F.col("count") > limit).select(key)
 
 
-def join_by_key(rows: DataFrame, one_per_key: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """Inner join; the rows of hot keys stay where they are and meet a broadcast."""
+def join_by_key(
+    rows: DataFrame, one_per_key: DataFrame, key: str | list[str], hot: DataFrame | None, tasks: int | None = None
+) -> DataFrame:
+    """Inner join; the rows of hot keys stay where they are and meet a broadcast.
+
+    With ``tasks`` the others go to so many tasks and are not joined into fewer: small rows that take long stay apart.
+    The hint keeps Spark from broadcasting ``rows`` to the few tasks of the other side.
+    """
+
+    def met(df: DataFrame) -> DataFrame:
+        if tasks is None:
+            return df.join(one_per_key, key)
+        return df.repartition(tasks, *([key] if isinstance(key, str) else key)).join(one_per_key.hint("merge"), key)
+
     if hot is None:
-        return rows.join(one_per_key, key)
+        return met(rows)
     hot = F.broadcast(hot)
     of_hot = F.broadcast(one_per_key.join(hot, key, "left_semi"))
-    usual = rows.join(hot, key, "left_anti").join(one_per_key, key)
+    usual = met(rows.join(hot, key, "left_anti"))
     return rows.join(of_hot, key).unionByName(usual)

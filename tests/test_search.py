@@ -265,3 +265,37 @@ def test_pages_have_folders_of_their_own_kind(spark):
     rows = spark.range(400).selectExpr("cast(id as int) as page").selectExpr("page", f"{page_folder('page')} as f").collect()
     assert [r.f for r in rows[:64]] == list(range(64))
     assert all(r.f == 63 + r.page // 64 for r in rows[64:])
+
+
+def equal_space(spark, weights, capacity):
+    """Search space of one instance whose items are worth their weight, and its root."""
+    items = spark.createDataFrame([(1, i, w, w) for i, w in enumerate(weights)], ITEMS)
+    space = search_space(rank_items(items, spark.createDataFrame([(1, capacity)], INSTANCES)), page_size=8, reduce=False)
+    roots = space.roots().withColumnsRenamed({"base_weight": "weight", "base_value": "value"})
+    return space, seed_frontier(roots, 1, carry=["weight", "value"])
+
+
+@pytest.mark.parametrize("weights, capacity", [([7, 11, 13, 17, 19, 23, 29, 31], 75), ([10**12 + i * i for i in range(8)], 4 * 10**12 + 50)])
+def test_most_valuable_descendant_leads_the_others(spark, weights, capacity):
+    space, root = equal_space(spark, weights, capacity)
+    best = space.page(0).select("instance_id", F.expr("best - 1").alias("best"))
+    every = expand_frontier(root, space.page(0), best).agg(F.count("*").alias("n"), F.max("value").alias("most")).first()
+    led = expand_frontier(root, space.page(0), best, lead=True).collect()
+    assert every.n > 1 and [r.value for r in led] == [every.most]
+    assert every.most == most_value([(w, w) for w in weights], capacity)
+
+
+def test_round_expands_its_nodes_once(spark, monkeypatch):
+    from ballast.operators import search
+
+    written = []
+    plain = search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, label: written.append(label) or plain(df, label))
+    draw = random.Random(3)
+    items = [(i, k, w, w) for i in range(6) for k, w in enumerate(draw.randint(20, 200) for _ in range(14))]
+    caps = {i: sum(r[2] for r in items if r[0] == i) // 2 for i in range(6)}
+    result = select_best_subset(spark.createDataFrame(items, ITEMS), spark.createDataFrame(list(caps.items()), INSTANCES))
+    assert {r.instance_id: r.objective for r in result.report.collect()} == {
+        i: most_value([(r[2], r[3]) for r in items if r[0] == i], c) for i, c in caps.items()
+    }
+    assert written.count("children") == result.rounds
