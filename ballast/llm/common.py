@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +25,8 @@ def row_key(*columns: str) -> list[Column]:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, UPPER, LOWER)
+    """Lower-case A-Z and nothing else. Of texts that are ASCII throughout, :func:`lower` does that and takes less time."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -52,3 +54,14 @@ def open_shared(path: str):
         path = path.replace("file:/", "file:///", 1)
     system, name = fs.FileSystem.from_uri(path)
     return system.open_input_file(name)
+
+
+def give_back() -> None:
+    """Return to the system what earlier tasks of this Python worker have freed, which the allocators keep otherwise."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -38,13 +38,23 @@ def words(text: Column) -> Column:
 
 @dataclass
 class PositionalIndex:
-    """postings (term, _h1, _h2, pos) and frequency (term, tf) of the terms that were asked for."""
+    """postings (term, _h1, _h2, pos) and frequency (term, tf) of the terms that were asked for; ``stored`` is what is written:
+    the postings and, if a column to ``name`` the rows by was given, one row for each row, with its name and at ``pos`` its
+    number of words."""
 
-    postings: DataFrame
+    stored: DataFrame
     frequency: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.stored.where(F.col("term") != "").drop("_name")
+
+    def sizes(self) -> DataFrame:
+        """(_name, _h1, _h2, n_words) of every row."""
+        return self.stored.where(F.col("term") == "").select("_name", *ROW_KEY, F.col("pos").cast("long").alias("n_words"))
+
     def release(self) -> None:
-        release(self.postings, self.frequency)
+        release(self.stored, self.frequency)
 
 
 @dataclass
@@ -63,11 +73,22 @@ def read_items(items: DataFrame) -> Items:
     return Items(lists.select("tid", "item_id").distinct(), materialize(texts, "terms"))
 
 
-def build_index(rows: DataFrame, terms: DataFrame) -> PositionalIndex:
-    """Postings of ``terms`` (term) in ``rows`` (_h1, _h2, text)."""
-    tokens = rows.select(*ROW_KEY, F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    postings = materialize(tokens.join(at_most(terms.distinct()), "term"), "postings")
-    return PositionalIndex(postings, materialize(postings.groupBy("term").agg(F.count("*").alias("tf")), "frequency"))
+def build_index(rows: DataFrame, terms: DataFrame, name: str | None = None) -> PositionalIndex:
+    """Postings of ``terms`` (term) in ``rows`` (_h1, _h2, text), which ``name`` names.
+
+    With a name, the empty word, which no text has, stands behind the last word of each row, so that words are parted once.
+    """
+    listed, asked = words(F.col("text")), terms.distinct()
+    if name is None:
+        tokens = rows.select(*ROW_KEY, F.posexplode(listed).alias("pos", "term"))
+    else:
+        listed = F.concat(listed, F.array(F.lit("")))
+        tokens = rows.select(*ROW_KEY, F.col(name).alias("_name"), F.posexplode(listed).alias("pos", "term"))
+        tokens = tokens.withColumn("_name", F.when(F.col("term") == "", F.col("_name")))
+        asked = asked.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+    stored = materialize(tokens.join(at_most(asked), "term"), "postings")
+    frequency = stored.where(F.col("term") != "").groupBy("term").agg(F.count("*").alias("tf"))
+    return PositionalIndex(stored, materialize(frequency, "frequency"))
 
 
 def anchors(items: Items, index: PositionalIndex, window: int) -> DataFrame:
@@ -147,10 +168,7 @@ def proximity_matches(index: PositionalIndex, items: Items, window: int = 10, sl
     second = index.postings.join(pairs, F.col("term") == F.col("t2")).select(
         *ROW_KEY, "tid", "p1", "p2", F.col("pos").alias("y"), (F.col("pos") - F.col("p2")).alias("d2")
     )
-    # Diagonals at most slop apart lie in the same cell of slop + 1 diagonals or in neighbouring ones.
-    cell = lambda d: F.floor(F.col(d) / (slop + 1))
-    around = lambda d: F.explode(F.array(cell(d) - 1, cell(d), cell(d) + 1))
-    both = first.withColumn("cell", around("d1")).join(second.withColumn("cell", cell("d2")), [*ROW_KEY, "tid", "p1", "p2", "cell"])
+    both = first.withColumn("cell", cells("d1", slop)).join(second.withColumn("cell", cell("d2", slop)), [*ROW_KEY, "tid", "p1", "p2", "cell"])
     both = both.where(F.abs(F.col("d1") - F.col("d2")) <= slop)
     spans = both.groupBy(*ROW_KEY, "tid", "p1", "p2", "d1").agg(F.min(F.least("x", "y")).alias("begin"), (F.max(F.greatest("x", "y")) + 1).alias("end"))
     spans = materialize(spans, "near-pairs")
@@ -165,17 +183,26 @@ def proximity_matches(index: PositionalIndex, items: Items, window: int = 10, sl
     return standing(index, found.join(whole, ["tid", "at"]), F.col("words"), F.col("least"), slop).select(*ROW_KEY, "tid", "at", "begin", "end")
 
 
+def cell(place: str, slop: int, shift: int = 0) -> Column:
+    """The cell of a place or diagonal. Cells are wide enough that what is at most ``slop`` away mostly lies in the same one."""
+    return F.floor((F.col(place) + shift) / (4 * (slop + 1)))
+
+
+def cells(place: str, slop: int) -> Column:
+    """One row for each cell, one or two, that holds something at most ``slop`` away."""
+    return F.explode(F.sequence(cell(place, slop, -slop), cell(place, slop, slop)))
+
+
 def standing(index: PositionalIndex, found: DataFrame, checked: Column, need: Column, slop: int) -> DataFrame:
     """The rows (_h1, _h2, tid, at, d1, begin, end) of ``found`` of which at least ``need`` of the words ``checked`` stand
     at most ``slop`` words from their place on the diagonal d1."""
     place = [*ROW_KEY, "tid", "at", "d1"]
-    cell = lambda c: F.floor(F.col(c) / (slop + 1))
     rows = found.select(*place, "begin", "end", need.alias("need"), checked.alias("checked"))
     awaited = rows.select(*place, "begin", "end", "need", F.explode("checked").alias("word")).select("*", "word.ipos", "word.term").drop("word")
     awaited = awaited.withColumn("due", F.col("d1") + F.col("ipos"))
     docs, terms = at_most(found.select(*ROW_KEY).distinct()), at_most(awaited.select("term").distinct())
-    near = index.postings.join(docs, ROW_KEY, "left_semi").join(terms, "term", "left_semi").withColumn("cell", cell("pos")).distinct()
-    around = awaited.withColumn("cell", F.explode(F.array(cell("due") - 1, cell("due"), cell("due") + 1)))
+    near = index.postings.join(docs, ROW_KEY, "left_semi").join(terms, "term", "left_semi").withColumn("cell", cell("pos", slop)).distinct()
+    around = awaited.withColumn("cell", cells("due", slop))
     agreed = around.join(near, [*ROW_KEY, "term", "cell"]).where(F.abs(F.col("pos") - F.col("due")) <= slop)
     # A word is counted once for its window, whichever cells it stands in.
     kept = [F.first(c).alias(c) for c in ("begin", "end", "need")]
@@ -211,14 +238,14 @@ def document_contamination(documents: DataFrame, benchmark: DataFrame, window: i
     unless they have one word only. The other columns are of exact occurrences.
     """
     items = read_items(benchmark)
-    index = build_index(documents.select(*row_key("doc_id", "text"), "text"), items.terms.select("term"))
+    index = build_index(documents.select("doc_id", *row_key("doc_id", "text"), "text"), items.terms.select("term"), "doc_id")
     exact = materialize(phrase_matches(index, items, window), "matches")
     moved = proximity_matches(index, items, window, slop, missing).select(*ROW_KEY, "tid").distinct()
     moved = moved.join(at_most(items.ids), "tid").select(*ROW_KEY, "item_id").distinct().groupBy(*ROW_KEY).agg(F.count("*").alias("n_near"))
     moved = materialize(moved, "near")
+    rows = materialize(index.sizes().withColumnRenamed("_name", "doc_id"), "sizes")
     index.release()
     found = materialize(hits(exact, items).join(moved, ROW_KEY, "full"), "hits")
-    rows = documents.select("doc_id", *row_key("doc_id", "text"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     ids = F.array_join(F.coalesce("item_ids", F.array().cast("array<string>")), ",")
     return rows.join(at_most(found), ROW_KEY, "left").select(

@@ -15,14 +15,14 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import at_most
+from ballast.llm.common import at_most, give_back
 from ballast.plans.scratch import materialize
 
 LENGTH = 2048
@@ -39,6 +39,18 @@ PLAIN = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0x100)) if c not in (
 PLAIN_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
+class Memory(dict):
+    """Answers of a function of one word, asked for once each."""
+
+    def __init__(self, answer: Callable[[str], bytes]):
+        super().__init__()
+        self.answer = answer
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.answer(word)
+        return found
+
+
 class WordIds:
     """Ids of whole texts. The tokenizer never joins what white space parts, nor runs of letters with others, so the
     ids of a text are those of its words in a row. Each word is looked up once; a plain one is parted into
@@ -58,8 +70,8 @@ class WordIds:
         marks = {x["content"][:1] for x in made["added_tokens"]}
         self.plain = re.compile("[" + "".join(re.escape(c) for c in PLAIN if c not in marks) + "]*").fullmatch
         self.bytes = byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.known = Memory(self.word)
+        self.runs = Memory(self.run)
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -68,26 +80,18 @@ class WordIds:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        words = text.replace("\n", " ").split(" ")
-        for w in words:
-            if w not in known:
-                known[w] = self.word(w)
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(known.__getitem__, text.replace("\n", " ").split(" ")))
 
     def word(self, word: str) -> bytes:
         if not self.plain(word):
             return as_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        runs = self.runs
-        if len(runs) > REMEMBERED:
-            runs.clear()
-        found = []
-        for run in PLAIN_RUNS.findall(word.lower()):
-            ids = runs.get(run)
-            if ids is None:
-                letters = run if run.isascii() else "".join(map(self.bytes.__getitem__, run.encode()))
-                ids = runs[run] = as_bytes([t.id for t in self.model.tokenize(letters)])
-            found.append(ids)
-        return b"".join(found)
+        if len(self.runs) > REMEMBERED:
+            self.runs.clear()
+        return b"".join(map(self.runs.__getitem__, PLAIN_RUNS.findall(word.lower())))
+
+    def run(self, run: str) -> bytes:
+        letters = run if run.isascii() else run.encode().decode("latin-1").translate(self.bytes)
+        return as_bytes([t.id for t in self.model.tokenize(letters)])
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -106,6 +110,7 @@ def pieces(documents: DataFrame, tokenizer: str, length: int = LENGTH, closing:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         ids_of, end = WordIds(tokenizer), np.array([closing], "<u4").tobytes()
         for batch in batches:
             out = []

@@ -147,3 +147,14 @@ def test_a_changed_passage_is_near_and_not_a_hit(spark):
 def test_the_plan_has_no_python(spark, data):
     plan = document_contamination(table(spark, data, "documents"), table(spark, data, "benchmark"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_words_are_counted_where_postings_are_made(spark):
+    rows = [(1, "one two Three"), (1, "one two Three"), (2, None), (None, "ÄÖ İI four"), (3, "..."), (4, "K İ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *row_key("doc_id", "text"))
+    terms = spark.createDataFrame([("one",), ("four",)], "term string")
+    index = build_index(df, terms, "doc_id")
+    counted = sorted(((r["_name"], r.n_words) for r in index.sizes().collect()), key=repr)
+    assert counted == sorted(((i, len(words(t))) for i, t in rows), key=repr)
+    assert sorted((r.term, r.pos) for r in index.postings.collect()) == [("four", 2), ("one", 0), ("one", 0)]
+    assert {r.term: r.tf for r in index.frequency.collect()} == {"one": 2, "four": 1}

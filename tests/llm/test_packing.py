@@ -98,3 +98,30 @@ def test_many_groups_cost_few_sequences(spark):
     many = check_places(pack_pieces(df, per_group=300).collect())
     total = df.agg(F.sum("length")).first()[0]
     assert one <= 1.01 * total / LENGTH + 1 and many <= 1.02 * total / LENGTH + 1
+
+
+def test_words_and_runs_are_looked_up_once(monkeypatch):
+    ids, asked = WordIds(PATH), []
+    for name in ("known", "runs"):
+        memory = getattr(ids, name)
+        monkeypatch.setattr(memory, "answer", lambda w, f=memory.answer, n=name: asked.append((n, w)) or f(w))
+    text = "Été garden, garden Été\ngarden"
+    plain = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert ids(text) + ids(text) == 2 * np.array(plain, "<u4").tobytes()
+    assert len(asked) == len(set(asked)) and ("known", "garden") in asked and ("runs", "été") in asked
+
+
+def test_freed_memory_goes_back_to_the_system():
+    from ballast.llm.common import give_back
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    kept, held = [], []
+    for i in range(200_000):  # every 50th block stays, so that the allocator keeps the pages around it
+        (kept if i % 50 == 0 else held).append(bytes(1000 + i % 7))
+    full = resident()
+    del held
+    give_back()
+    assert resident() < full - 50_000_000 and len(kept) == 4000
