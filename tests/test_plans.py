@@ -106,7 +106,7 @@ def test_only_own_folders_are_dropped(spark, tmp_path):
 
 
 def test_join_by_key_keeps_small_rows_in_many_tasks(spark):
-    rows = spark.range(1000).selectExpr("id % 50 as key", "id")
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id % 50 as key", "id")
     names = spark.range(50).selectExpr("id as key", "concat('k', id) as name")
-    joined = join_by_key(rows, names, "key", None, 7)
-    assert joined.count() == 1000 and joined.rdd.getNumPartitions() == 7
+    joined = join_by_key(rows, names, "key", None, 8)
+    assert joined.count() == 1000 and joined.rdd.getNumPartitions() == 8
