@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,10 +59,28 @@ def open_shared(path: str):
 
 def give_back() -> None:
     """Return to the system what earlier tasks of this Python worker have freed, which the allocators keep otherwise."""
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """The same without a search for garbage in cycles, which takes longer."""
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function of a task's batches, between two calls of :func:`give_back`. Workers outlive their tasks, so that
+    what one step leaves in them would otherwise add to what all later steps take."""
+
+    @functools.wraps(run)
+    def tidy(batches: Iterator) -> Iterator:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return tidy

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ballast.llm.common import at_most, packed, unpacked
+from ballast.llm.common import at_most, giving_back, packed, unpacked
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -162,6 +162,7 @@ def predictor(model: ByteConvNet):
     """A pandas UDF from text to (lang, score): mean probability over the windows, weighted by bytes."""
 
     @F.pandas_udf("lang string, score double")
+    @giving_back
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tables = model.tables() if model.languages else None
         for texts in batches:

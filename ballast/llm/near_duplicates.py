@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ballast.llm.common import LOWER, ROW_KEY, UPPER, at_most, packed, row_key, unpacked
+from ballast.llm.common import LOWER, ROW_KEY, UPPER, at_most, giving_back, packed, row_key, unpacked
 from ballast.llm.graph import components
 from ballast.plans.scratch import materialize, release
 
@@ -107,6 +107,7 @@ def set_key(shingles: np.ndarray) -> bytes:
 def sketch(rows: DataFrame, words_per_shingle: int) -> DataFrame:
     """(id, text) -> (id, _h1, _h2, key, n_shingles, bands). Texts without words have a null key."""
 
+    @giving_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words_per_shingle)
         for batch in batches:
@@ -126,6 +127,7 @@ def sketch(rows: DataFrame, words_per_shingle: int) -> DataFrame:
 def shingle_sets(rows: DataFrame, words_per_shingle: int) -> DataFrame:
     """(text, ...) -> (key, shingles)."""
 
+    @giving_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words_per_shingle)
         for batch in batches:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import ROW_KEY, at_most, packed, row_key, unpacked
+from ballast.llm.common import ROW_KEY, at_most, giving_back, packed, row_key, unpacked
 from ballast.plans.scratch import materialize
 
 #: The kinds, in the order in which spans are listed.
@@ -166,6 +166,7 @@ def listed(spans) -> str:
 def scan(rows: DataFrame) -> DataFrame:
     """(_h1, _h2, doc_id, text) -> the same keys, base spans and mentions."""
 
+    @giving_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             both = [scan_text(t) if isinstance(t, str) else ([], []) for t in batch["text"]]
@@ -291,9 +292,11 @@ def mask_personal_data(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     spans = found.select(*ROW_KEY, F.array_union("base", "more").alias("_spans")).dropDuplicates(ROW_KEY)
 
     @F.pandas_udf("string")
-    def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        got = ((t, [] if s is None else [(x["kind"], x["begin"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True))
-        return pd.Series([masked(t, s) if s else t for t, s in got], dtype=object)
+    @giving_back
+    def mask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, spans in batches:
+            got = ((t, [] if s is None else [(x["kind"], x["begin"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True))
+            yield pd.Series([masked(t, s) if s else t for t, s in got], dtype=object)
 
     rows = documents.select(packed(documents), *row_key("doc_id", "text")).join(at_most(spans), ROW_KEY, "left")
     rows = rows.select("_row", F.when(F.col("_spans").isNull(), F.col("_row.text")).otherwise(mask("_row.text", "_spans")).alias("_text"))
