@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import at_most
+from ballast.llm.common import at_most, giving_back
 from ballast.llm.language import held_out
 from ballast.plans.scratch import materialize
 
@@ -40,12 +40,28 @@ BLOCK = 4_000_000
 QUANTILES = (0.95, 0.96, 0.965, 0.97, 0.975, 0.98, 0.985, 0.99, 0.995)
 #: Stands before the first character of a text and for nothing else.
 START = "\x02"
-PLAIN = str.maketrans("123456789\0" + START, "000000000  ")
+PLAIN = dict(zip("123456789\0" + START, "000000000  ", strict=True))
+PLAIN_TABLE = str.maketrans(PLAIN)
 
 
 def symbols(text: str) -> str:
     """Lower case, white space as single spaces, digits as 0."""
-    return " ".join(text.lower().translate(PLAIN).split())
+    text = text.lower()
+    if text.isascii():
+        text = text.translate(PLAIN_TABLE)
+    else:  # other texts are translated character by character, which takes ten times as long as replacing
+        for c, plain in PLAIN.items():
+            text = text.replace(c, plain)
+    return " ".join(text.split())
+
+
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in rising order, and for each value the number of its own: by hashing, as sorting all of them costs several times that."""
+    number, distinct = pd.factorize(values)
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[number]
 
 
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,16 +75,21 @@ def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i in range(ORDER - 1):  # windows that begin in the last characters of a text reach into the next one
         over = begins[1:] - 1 - i
         inside[over[over >= 0]] = False
-    alphabet = np.unique(codes)
+    there = np.zeros(int(codes.max()) + 1, bool)
+    there[codes] = True
+    alphabet = np.flatnonzero(there).astype(np.uint32)
     if len(alphabet) ** ORDER >= 2**64:  # n-grams of so many characters don't fit a number
         grams, number = np.unique(np.lib.stride_tricks.sliding_window_view(codes, ORDER)[inside], axis=0, return_inverse=True)
         return grams, number.reshape(-1), np.cumsum(sizes)
-    small = np.searchsorted(alphabet, codes).astype(np.uint16)
+    place = np.zeros(len(there), np.uint16)
+    place[alphabet] = np.arange(len(alphabet))
+    small = place[codes]
     width = np.uint64(len(alphabet))
     key = small[: len(inside)].astype(np.uint64)
     for i in range(1, ORDER):
-        key = key * width + small[i : len(inside) + i]
-    distinct, number = np.unique(key[inside], return_inverse=True)
+        key *= width
+        key += small[i : len(inside) + i]
+    distinct, number = numbered(key[inside])
     grams = np.empty((len(distinct), ORDER), np.uint32)
     for i in range(ORDER - 1, -1, -1):
         grams[:, i] = alphabet[(distinct % width).astype(np.int64)]
@@ -109,6 +130,7 @@ def cut_blocks(rows: DataFrame) -> DataFrame:
         counts = np.bincount(number[train], minlength=len(grams))
         return pd.DataFrame({"block": [name], **found, "texts": [data], "grams": [as_strings(grams)], "counts": [counts]})
 
+    @giving_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: dict[tuple[str, bool], tuple[list, list[str], list[str], list[int]]] = {}
         for batch in batches:
@@ -202,6 +224,7 @@ def perplexities(blocks: DataFrame, model: DataFrame) -> DataFrame:
     joined = blocks.select("block", "lang", "ids", "roles", "texts").join(answers, "block", "left")
     names = ["id", "lang", "role", "n_symbols", "perplexity"]
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # only one block at a time becomes Python objects

@@ -3,10 +3,11 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ballast.llm.quality import ORDER, START, as_strings, chosen_limits, document_quality, kneser_ney, symbols, windows
+from ballast.llm.quality import ORDER, START, as_strings, chosen_limits, document_quality, kneser_ney, numbered, symbols, windows
 from ballast.sources.tables import table
 from tests.llm.cases import documents, no_documents
 
@@ -151,3 +152,19 @@ def test_labelled_rows_that_are_rejected(spark, data):
     assert share([r for r in rows if r.toxic == 1]) >= 0.6  # 0.12 at the 0.99 quantile times 1.25
     assert share([r for r in rows if r.toxic == 0 and r.quality == 0]) >= 0.8
     assert share([r for r in rows if r.toxic == 0 and r.quality == 1]) <= 0.03
+
+
+def test_symbols_of_texts_with_other_letters():
+    assert symbols("\x02É1\0 9\t\u3000İΣ 2") == " ".join("É0  0 İΣ 0".lower().split())
+    assert symbols("A1\x02b\n\n9") == "a0 b 0"
+
+
+def test_values_are_numbered_without_sorting_them(monkeypatch):
+    values = np.random.default_rng(3).integers(0, 50, 4000).astype(np.uint64) * np.uint64(2**58)
+    distinct, place = np.unique(values, return_inverse=True)
+    longest, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **b: longest.append(len(x)) or argsort(x, *a, **b))
+    monkeypatch.setattr(np, "unique", None)
+    got, number = numbered(values)
+    assert (got == distinct).all() and (number == place).all() and max(longest) == len(distinct)
+    assert [len(x) for x in windows(["abab", "ba"])] == [6, 6, 2]
