@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import inspect
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ballast.llm.packing import LENGTH, WordIds, pack_documents, pack_pieces, sum_of_squares
+from ballast.llm import language, near_duplicates, packing, personal_data, quality
+from ballast.llm.packing import LENGTH, WordIds, pack_documents, pack_pieces, slices, sum_of_squares
 from ballast.sources.tables import table
 from tests.llm.cases import documents, no_documents
 
@@ -125,3 +128,36 @@ def test_freed_memory_goes_back_to_the_system():
     del held
     give_back()
     assert resident() < full - 50_000_000 and len(kept) == 4000
+
+
+def test_words_of_many_texts_are_looked_up_together(monkeypatch):
+    t, ids, rng, asked = Tokenizer.from_file(PATH), WordIds(PATH), random.Random(2), []
+    for alphabet in ("aB \n1.,'sé ßÀ-", "aB c\n\t1.,'sé ßΣ̈ \x1c<|endoftext|>日\U0001f600-"):
+        for n in (0, 1, 300):
+            texts = [None if rng.random() < 0.1 else "".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(n)]
+            got, sizes = ids.of_texts(pa.array(texts, pa.string()))
+            ends = [0, *np.cumsum(sizes).tolist()]
+            assert [got[a:b].tolist() for a, b in zip(ends, ends[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    ids.runs.clear()
+    monkeypatch.setattr(ids, "known", None)  # no look by word: plain words need none
+    monkeypatch.setattr(ids.runs, "answer", lambda r, f=ids.runs.answer: asked.append(r) or f(r))
+    ids.of_texts(pa.array(["the cat, the dog", None, "the\ncat"]))
+    assert sorted(asked) == [",", "cat", "dog", "the"]
+
+
+def test_batches_are_cut_by_bytes_and_no_row_is_lost():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [3, None, 5, 6, 7], "text": ["é" * 4, None, "abc", "x" * 50, ""]})
+    parts = list(slices(batch, 11))
+    assert [p.num_rows for p in parts] == [3, 1, 1] and pa.concat_batches(parts).equals(batch)
+    assert list(slices(batch.slice(0, 0), 11)) == []
+
+
+def test_workers_hand_back_what_a_step_leaves(monkeypatch):
+    from ballast.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append("back"))
+    step = common.giving_back(lambda batches: (calls.append(x) or x for x in batches))
+    assert list(step(iter([1, 2]))) == [1, 2] and calls == ["back", 1, 2, "back"]
+    for make in (personal_data.scan, near_duplicates.sketch, near_duplicates.shingle_sets, packing.pieces, quality.cut_blocks, language.predictor):
+        assert "giving_back" in inspect.getsource(make)
