@@ -31,7 +31,7 @@ LENGTH = 2048
 #: Pieces that one task packs, and underfull sequences that one task packs again.
 GROUP = 50_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Bytes of texts, about, whose words are looked up together.
 SLICE = 2_000_000
 

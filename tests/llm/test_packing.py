@@ -161,3 +161,13 @@ def test_workers_hand_back_what_a_step_leaves(monkeypatch):
     assert list(step(iter([1, 2]))) == [1, 2] and calls == ["back", 1, 2, "back"]
     for make in (personal_data.scan, near_duplicates.sketch, near_duplicates.shingle_sets, packing.pieces, quality.cut_blocks, language.predictor):
         assert "giving_back" in inspect.getsource(make)
+
+
+def test_a_worker_remembers_a_bounded_number_of_words():
+    ids = WordIds(PATH)
+    for at in range(0, 260_000, 10_000):
+        texts = [" ".join(chr(97 + k % 26) + "".join(chr(97 + (k // 26**i) % 26) for i in range(1, 5)) for k in range(at, at + 10_000))]
+        found, sizes = ids.of_texts(pa.array(texts))
+        assert len(found) == sizes.sum()
+        assert len(ids.runs) + len(ids.known) <= 111_000
+    assert found.tolist() == Tokenizer.from_file(PATH).encode(texts[0], add_special_tokens=False).ids

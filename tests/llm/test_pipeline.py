@@ -3,6 +3,8 @@ from __future__ import annotations
 import shutil
 
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -73,3 +75,31 @@ def test_run_writes_every_stage(spark, data):
     made = corpus_pipeline.run(spark, data)
     assert made.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert made.agg(F.max("length")).first()[0] <= 2048
+
+
+@pytest.mark.parametrize("stage", ["language", "near_duplicates", "personal_data", "pack"])
+def test_workers_get_small_batches_of_long_texts(spark, data, stage):
+    long = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+
+    def bytes_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    try:
+        dict(corpus_pipeline.STAGES)[stage](spark, table(spark, data, "documents"), data)
+        sizes = [r.n for r in long.mapInArrow(bytes_of, "n long").collect()]
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH)
+    assert sum(sizes) > 20_000_000
+    assert max(sizes) < 5_000_000
+
+
+def test_run_keeps_the_limit_of_the_session(spark, data):
+    corpus_pipeline.run(spark, data)
+    assert corpus_pipeline.BATCH not in spark.conf.getAll
+    spark.conf.set(corpus_pipeline.BATCH, "1m")
+    try:
+        corpus_pipeline.run(spark, data)
+        assert spark.conf.get(corpus_pipeline.BATCH) == "1m"
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH)
