@@ -171,3 +171,34 @@ def test_a_worker_remembers_a_bounded_number_of_words():
         assert len(found) == sizes.sum()
         assert len(ids.runs) + len(ids.known) <= 111_000
     assert found.tolist() == Tokenizer.from_file(PATH).encode(texts[0], add_special_tokens=False).ids
+
+
+def test_words_of_the_last_call_stay_remembered(monkeypatch):
+    ids, asked = WordIds(PATH), []
+    monkeypatch.setattr(ids.runs, "answer", lambda r, f=ids.runs.answer: asked.append(r) or f(r))
+
+    def words(at):
+        return pa.array([" ".join("".join(chr(97 + (k // 26**i) % 26) for i in range(4)) for k in range(at, at + 60_000))])
+
+    first, _ = ids.of_texts(words(0))
+    last, _ = ids.of_texts(words(60_000))
+    assert len(asked) == 120_000 and len(ids.runs) <= packing.REMEMBERED
+    assert (ids.of_texts(words(60_000))[0] == last).all() and len(asked) == 120_000
+    assert (ids.of_texts(words(0))[0] == first).all() and len(asked) == 180_000
+
+
+def test_texts_are_parted_by_their_bytes():
+    ids, t = WordIds(PATH), Tokenizer.from_file(PATH)
+    texts = ["It'S we'LLx  a''s\n12", "ÀÉ×ß <B> c\tD", "x'", "s", "É", "\u0301E ", "", " \n", "'re", "don'", "", "t've"]
+    data = [x.encode() for x in texts]
+    low, begins, whole = ids.parts(bytearray(b"".join(data)), np.cumsum([0, *map(len, data)])[:-1])
+    parts = [bytes(low[a:b]).decode() for a, b in zip(begins, [*begins[1:], len(low)])]
+    assert parts[:9] == ["it", "'s", " we", "'ll", "x", "  a", "''", "s", "\n1"]
+    assert parts[9:] == ["2", "ÀÉ×ß", " <B>", " c\tD", "x", "'", "s", "é", "\u0301E", " ", " \n", "'re", "don", "'", "t", "'ve"]
+    assert [parts[i] for i in whole] == ["ÀÉ×ß", " <B>", " c\tD", "\u0301E"]
+    for array in (pa.array(["cut off", *texts, None])[1:], pa.array([*texts, None], pa.large_string())):
+        got, sizes = ids.of_texts(array)
+        ends = np.cumsum([0, *sizes])
+        assert [got[a:b].tolist() for a, b in zip(ends, ends[1:])] == [t.encode(x, add_special_tokens=False).ids for x in [*texts, ""]]
+    got, sizes = ids.of_texts(pa.array([None, ""], pa.string()))
+    assert len(got) == 0 and sizes.tolist() == [0, 0]
