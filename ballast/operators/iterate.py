@@ -56,6 +56,7 @@ def iterate_until_empty(
     park: Park | None = None,
     revive: Revive | None = None,
     keep: bool = False,
+    deal_up_to: int | None = None,
 ) -> Iteration:
     """Apply ``step`` to the open rows until none is left.
 
@@ -66,7 +67,8 @@ def iterate_until_empty(
 
     Each round is one job. Its rows are written to the shared scratch folder, which ends
     the lineage, and the open rows of the round before are dropped, unless ``keep`` says that they are still
-    needed. Open rows that are few are dealt out evenly to all tasks. Only the counts and the halt flag come to the driver.
+    needed. Open rows that are few are dealt out evenly to all tasks, unless there are more than ``deal_up_to``: a step that spreads so
+    many by itself would send them twice. Only the counts and the halt flag come to the driver.
 
     ``park(open_rows, n_open)`` may hold rows back: it returns them with an INT ``wave``, or None if all of them enter the next
     round. Those of wave 0 enter. The others wait in a table; when a later round leaves nothing open, the next wave of the
@@ -78,7 +80,7 @@ def iterate_until_empty(
     spark = seed.sparkSession
     folder = new_folder(spark, label)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in seed.schema.fields])
-    loop = _Loop(spark, folder, schema, step, halt, park, revive, keep)
+    loop = _Loop(spark, folder, schema, step, halt, park, revive, keep, deal_up_to)
     loop.start(seed)
     return loop.run(max_rounds)
 
@@ -92,13 +94,14 @@ def resume(
     park: Park | None = None,
     revive: Revive | None = None,
     keep: bool = False,
+    deal_up_to: int | None = None,
 ) -> Iteration:
     """Go on with a loop whose driver was lost or that ended at its round limit, behind its last finished round.
 
     ``folder`` is that of its tables, the other arguments are those of the loop. What an unfinished round has
     written is written anew.
     """
-    loop = _Loop(spark, folder, None, step, halt, park, revive, keep)
+    loop = _Loop(spark, folder, None, step, halt, park, revive, keep, deal_up_to)
     loop.recover()
     return loop.run(max_rounds)
 
@@ -106,9 +109,10 @@ def resume(
 class _Loop:
     """The state between rounds: the manifest of the last one is all of it, besides the tables."""
 
-    def __init__(self, spark, folder, schema, step, halt, park, revive, keep):
+    def __init__(self, spark, folder, schema, step, halt, park, revive, keep, deal_up_to):
         self.spark, self.folder, self.schema = spark, folder, schema
         self.step, self.halt, self.park, self.revive, self.keep = step, halt, park, revive, keep
+        self.deal_up_to = deal_up_to
         self.history: list[tuple] = []
 
     def start(self, seed: DataFrame) -> None:
@@ -223,7 +227,9 @@ class _Loop:
                 rows, n_open = self.admit()
                 self.state = self.state | {"round": number + 1, "waiting": self.waiting}
                 if n_open:
-                    seen = self.write(self.step(self.dealt(rows, n_open), number, n_open), number + 1)
+                    if self.deal_up_to is None or n_open <= self.deal_up_to:
+                        rows = self.dealt(rows, n_open)
+                    seen = self.write(self.step(rows, number, n_open), number + 1)
                 else:  # nothing that was held back is worth a round any more
                     empty = self.spark.createDataFrame([], self.schema).withColumn("open", F.lit(True))
                     seen = self.write(empty, number + 1)

@@ -14,12 +14,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballast.functions.bounds import check_whole, exact_ratio, flip_can_win
 from ballast.functions.status import check_sense
-from ballast.plans.blocks import BLOCK, block_totals, range_blocks, running_totals
+from ballast.plans.blocks import BLOCK, block_totals, range_blocks, running_totals, shuffle_tasks
 from ballast.plans.scratch import materialize, new_folder, release
 
 INSTANCE = "instance_id"
@@ -27,6 +27,9 @@ INSTANCE = "instance_id"
 # So many items at the end of an instance, in whole pages, have their choices listed as a whole (``completion.py``).
 TAIL_ITEMS = 16
 
+# So many items on either side of the cut of the greedy choice have all their choices tried for the first solution.
+NEAR_ITEMS = 6
+
 # The first pages, which most instances have, are stored in a folder each; later ones share folders of as many.
 PAGE_FOLDERS = 64
 
@@ -133,8 +136,8 @@ def greedy_solutions(ranked: Ranked, core: DataFrame | None = None) -> DataFrame
     """One solution per searchable instance: (instance, objective, flips).
 
     The greedy choice, or, with ``core`` given, the best one that differs from it by
-    putting in one item that still fits, or by changing one item for the critical one.
-    ``flips`` are the items decided against the greedy order.
+    putting in one item that still fits, by changing one item for the critical one, or by any change of the items
+    around the critical one. ``flips`` are the items decided against the greedy order.
     """
     heads = ranked.heads.where("status is null")
     plain = heads.selectExpr(INSTANCE, "base_value as objective", "cast(array() as array<bigint>) as flips")
@@ -147,10 +150,46 @@ def greedy_solutions(ranked: Ranked, core: DataFrame | None = None) -> DataFrame
                 then base_value - value + crit_value end as objective""",
         "if(greedy, array(item_id, crit_item), array(item_id)) as flips",
     ).where("objective is not null")
-    best = plain.unionByName(variants).groupBy(INSTANCE).agg(F.expr("max(struct(objective, flips)) as best"))
+    best = plain.unionByName(variants).unionByName(near_solutions(core)).groupBy(INSTANCE).agg(F.expr("max(struct(objective, flips)) as best"))
     return best.selectExpr(INSTANCE, "best.objective", "best.flips")
 
 
+def near_solutions(core: DataFrame) -> DataFrame:
+    """The best choice that differs from the greedy one only in its last ``NEAR_ITEMS`` items and in the first as many behind
+    them, for instances where it is better: (instance, objective, flips).
+
+    Choices are listed as two numbers, ``less`` and ``more``, whose bits are the items taken out and put in. With plain columns
+    for the items Spark makes one loop of it, without arrays; a row has no more than these items, whatever the instance.
+    """
+    outward = Window.partitionBy(INSTANCE, "greedy").orderBy(
+        F.expr("if(greedy, ratio, null)").asc(), F.expr("if(greedy, item_id, null)").desc(), *_order()
+    )
+    usable = core.where("not greedy or crit_item is not null")
+    placed = usable.withColumn("place", F.row_number().over(outward) - 1).where(F.col("place") < NEAR_ITEMS)
+    columns = []
+    for side, test in (("less", "greedy"), ("more", "not greedy")):
+        columns.append(F.expr(f"cast(count_if({test}) as int) as n_{side}"))
+        for k in range(NEAR_ITEMS):
+            columns += [F.expr(f"coalesce(max(if({test} and place = {k}, {c}, null)), 0L) as {side}_{c}{k}") for c in ("weight", "value")]
+            columns.append(F.expr(f"max(if({test} and place = {k}, item_id, null)) as {side}_item{k}"))
+    near = placed.groupBy(INSTANCE, "budget", "base_weight", "base_value").agg(*columns)
+    # To all tasks of a shuffle: there are few rows, but many choices of each.
+    near = materialize(near.repartition(shuffle_tasks(core), INSTANCE), "near")
+
+    def total(side: str, column: str) -> str:
+        return " + ".join(f"if({side} & {1 << k} <> 0, {side}_{column}{k}, 0L)" for k in range(NEAR_ITEMS))
+
+    rows = near.selectExpr("*", "explode(sequence(0, shiftleft(1, n_less) - 1)) as less")
+    rows = rows.selectExpr("*", f"base_weight - ({total('less', 'weight')}) as weight", f"base_value - ({total('less', 'value')}) as value")
+    rows = rows.selectExpr("*", "explode(sequence(0, shiftleft(1, n_more) - 1)) as more")
+    rows = rows.where(f"weight + {total('more', 'weight')} <= budget").selectExpr(
+        INSTANCE, f"value + {total('more', 'value')} as objective", "base_value", f"less | shiftleft(more, {NEAR_ITEMS}) as flipped"
+    )
+    top = rows.where("objective > base_value").groupBy(INSTANCE).agg(F.max("objective").alias("objective"), F.max_by("flipped", "objective").alias("flipped"))
+    items = [f"if(flipped & {1 << j} <> 0, {side}_item{j % NEAR_ITEMS}, null)" for j, side in enumerate(["less"] * NEAR_ITEMS + ["more"] * NEAR_ITEMS)]
+    return top.join(near, INSTANCE).selectExpr(INSTANCE, "objective", f"filter(array({', '.join(items)}), i -> i is not null) as flips")
+
+
 @dataclass
 class SearchSpace:
     """``pages``: core items by (instance, page), ``last`` marking the final page;

@@ -23,9 +23,9 @@ from ballast.operators.incumbent import is_halted, merge_incumbent, solution_rep
 from ballast.operators.iterate import Iteration, iterate_until_empty, resume
 from ballast.operators.paths import flipped_items, walk_back
 from ballast.operators.ranking import GREEDY, Ranked, SearchSpace, rank_items, search_space
-from ballast.plans.blocks import block_totals, range_blocks, running_totals
+from ballast.plans.blocks import block_totals, range_blocks, running_totals, shuffle_tasks
 from ballast.plans.scratch import Scratch, materialize, scratch_scope
-from ballast.plans.skew import hot_keys
+from ballast.plans.skew import hot_limit
 
 LEVELS_PER_ROUND = 8
 
@@ -127,8 +127,9 @@ def select_best_subset(
         )
         halted = bool(halt_all and is_halted(ranked.heads).first()["halted"])
         loop = iterate_until_empty(
-            search.seed(), search.step, 0 if halted else max_rounds, label="nodes", park=search.park, revive=search.revive, keep=True
-        )
+            search.seed(), search.step, 0 if halted else max_rounds, label="nodes", park=search.park, revive=search.revive, keep=True,
+            deal_up_to=search.few_open,
+        )
         return search.result(loop, halted, scratch)
 
 
@@ -138,7 +139,9 @@ def resume_search(result: SearchResult, max_rounds: int | None = None) -> Search
         search = result.search
         spark = search.ranked.heads.sparkSession
         search.large = True
-        loop = resume(spark, result.folder, search.step, max_rounds, park=search.park, revive=search.revive, keep=True)
+        loop = resume(
+            spark, result.folder, search.step, max_rounds, park=search.park, revive=search.revive, keep=True, deal_up_to=search.few_open
+        )
         scratch.folders += result.scratch.folders
         return search.result(loop, False, scratch)
 
@@ -166,6 +169,11 @@ class Search:
     #: What instances have left of their shares: (instance, unspent).
     ledger: DataFrame | None = None
 
+    @property
+    def few_open(self) -> int:
+        """So many open nodes are a small frontier: they meet their pages where they are, more are spread by their instance and page."""
+        return self.small_frontier // self.levels
+
     def seed(self) -> DataFrame:
         roots = self.space.roots().withColumnsRenamed({"base_weight": "weight", "base_value": "value"})
         seed = seed_frontier(roots, 1, carry=["weight", "value", "best"]).select(*NODE_COLUMNS, "best")
@@ -178,13 +186,19 @@ class Search:
 
     def step(self, nodes: DataFrame, number: int, n_open: int) -> DataFrame:
         """One round: improvements found so far as closed rows, and the children of all nodes."""
-        small = n_open * self.levels <= self.small_frontier
-        # Every node is a choice of its own.
-        known = nodes.groupBy(INSTANCE).agg(
+        small = n_open <= self.few_open
+        # Every node is a choice of its own. Written, as are the few rows below, since each of their readers would go through all nodes again.
+        counted = nodes.groupBy(PAGE_KEY).agg(
             F.max("best").alias("before"), F.max("value").alias("value"),
-            F.max_by("round", "value").alias("parent_round"), F.max_by("node", "value").alias("parent"),
+            F.max_by("round", "value").alias("parent_round"), F.max_by("node", "value").alias("parent"), F.count("*").alias("n"),
+        )
+        counted = materialize(counted, "known")
+        known = counted.groupBy(INSTANCE).agg(
+            F.max("before").alias("before"), F.max("value").alias("value"),
+            F.max_by("parent_round", "value").alias("parent_round"), F.max_by("parent", "value").alias("parent"),
         )
         known = known.withColumn("best", F.greatest("before", "value"))
+        most = 0 if small else counted.agg(F.max("n")).first()[0]
         best = known.select(INSTANCE, "best")
         closed = self.closed(known.where("value > before").selectExpr("*", "0 as from_page", "0L as mask"))
 
@@ -205,9 +219,12 @@ class Search:
         few = small and not self.large
         parts = self.parts(few)
         for k, (ahead, piece) in enumerate(parts):
-            hot = hot_keys(nodes, PAGE_KEY, n_open, max(1, self.hot_nodes >> (self.levels // 2 * k)))
-            if hot is not None:
-                hot = hot.withColumn("page", F.col("page") + ahead)
+            limit = hot_limit(n_open, max(1, self.hot_nodes >> (self.levels // 2 * k)))
+            hot = None
+            if most > limit:
+                hot = counted.where(F.col("n") > limit).select(INSTANCE, (F.col("page") + ahead).alias("page"))
+                # Nodes of hot instances are expanded where they are: dealt out to all tasks, as the children below already are.
+                open_nodes = open_nodes.repartition(shuffle_tasks(open_nodes)) if k == 0 else open_nodes
             page = self.space.page(*sorted(p + ahead for p in self.pages), piece=piece)
             children = expand_frontier(open_nodes, page, best, hot, small, lead=self.dominance)
             # A complete node has beaten the best known choice: it is emitted as one.
@@ -224,7 +241,7 @@ class Search:
             within = children.groupBy(INSTANCE).agg(
                 F.max("value").alias("value"), F.count("*").alias("n"), *[F.max_by(c, "value").alias(c) for c in way]
             )
-            within = best.withColumnRenamed("best", "before").join(within, INSTANCE)
+            within = materialize(best.withColumnRenamed("best", "before").join(within, INSTANCE), "within")
             within = within.withColumn("best", F.greatest("before", "value"))
             closed = closed.unionByName(self.closed(within.where("value > before")))
             if few:

@@ -17,12 +17,17 @@ def hot_keys(rows: DataFrame, key: str, n_rows: int, hot_rows: int = HOT_ROWS) -
     ``n_rows`` is the measured row count. At most ``n_rows / limit`` keys can exceed the
     limit, so the result never has more than ``MAX_HOT_KEYS`` rows.
     """
-    limit = max(hot_rows, n_rows // MAX_HOT_KEYS)
+    limit = hot_limit(n_rows, hot_rows)
     if n_rows <= limit:
         return None
     return rows.groupBy(key).count().where(F.col("count") > limit).select(key)
 
 
+def hot_limit(n_rows: int, hot_rows: int = HOT_ROWS) -> int:
+    """A key of a table of ``n_rows`` is hot above so many rows."""
+    return max(hot_rows, n_rows // MAX_HOT_KEYS)
+
+
 def join_by_key(
     rows: DataFrame, one_per_key: DataFrame, key: str | list[str], hot: DataFrame | None, tasks: int | None = None
 ) -> DataFrame:

@@ -101,3 +101,15 @@ def test_a_loop_is_resumed_behind_its_last_round(spark):
 def test_nothing_to_resume(spark, tmp_path):
     with pytest.raises(ValueError):
         resume(spark, str(tmp_path), countdown)
+
+
+def test_rows_that_the_step_spreads_are_not_dealt(spark):
+    dealt = {}
+
+    def step(rows, number, n_open):
+        dealt[n_open] = "Repartition" in rows._jdf.queryExecution().logical().toString()
+        return countdown(rows, number, n_open)
+
+    loop = iterate_until_empty(seed(spark, 1, 2, 3), step, deal_up_to=2)
+    assert loop.stop_reason == "empty"
+    assert dealt == {3: False, 2: True, 1: True}

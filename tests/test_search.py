@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ballast import select_best_subset
 from ballast.operators.frontier import expand_frontier, seed_frontier
 from ballast.operators.paths import flipped_items
-from ballast.operators.ranking import rank_items, search_space
+from ballast.operators.ranking import greedy_solutions, rank_items, search_space
 
 ITEMS = "instance_id BIGINT, item_id BIGINT, weight BIGINT, value BIGINT"
 INSTANCES = "instance_id BIGINT, capacity BIGINT"
@@ -299,3 +299,50 @@ def test_round_expands_its_nodes_once(spark, monkeypatch):
         i: most_value([(r[2], r[3]) for r in items if r[0] == i], c) for i, c in caps.items()
     }
     assert written.count("children") == result.rounds
+
+
+def test_first_solution_tries_all_choices_around_the_cut(spark, many_blocks):
+    draw = random.Random(31)
+    made = {}
+    for i in range(30):
+        weights = [draw.randint(20, 400) for _ in range(draw.randint(2, 8))]
+        values = weights if i % 2 else [w + draw.randint(0, 9) for w in weights]
+        made[i] = (sum(weights) // 2, list(zip(weights, values)))
+    made[100] = (5, [(2, 3)])  # everything fits
+    made[101] = (0, [(2, 3), (1, 1)])  # nothing does
+    items, instances = tables(spark, made)
+    ranked = rank_items(items, instances)
+    core = ranked.lines(ranked.heads).selectExpr("*", "crit_item is null or ratio > crit_ratio or (ratio = crit_ratio and item_id < crit_item) as greedy")
+    found = {r.instance_id: r for r in greedy_solutions(ranked, core).collect()}
+    greedy = {r.instance_id: set() for r in found.values()}
+    for r in core.where("greedy").collect():
+        greedy[r.instance_id].add(r.item_id)
+    for i, (capacity, rows) in made.items():
+        assert found[i].objective == most_value(rows, capacity)
+        chosen = greedy[i].symmetric_difference(found[i].flips)
+        assert sum(rows[n][1] for n in chosen) == found[i].objective
+        assert sum(rows[n][0] for n in chosen) <= capacity
+
+
+def test_equal_values_that_fill_the_capacity_open_no_node(spark):
+    draw = random.Random(32)
+    made = {i: (0, [(w, w) for w in (draw.randint(20, 200) for _ in range(40))]) for i in range(5)}
+    made = {i: (sum(w for w, _ in rows) // 2, rows) for i, (_, rows) in made.items()}
+    result = select_best_subset(*tables(spark, made))
+    assert result.rounds == 0 and result.stop_reason == "empty"
+    check(result, made, "max")
+
+
+@pytest.mark.parametrize("small_frontier", [0, 1_000_000])
+def test_round_counts_its_nodes_once(spark, monkeypatch, small_frontier):
+    from ballast.operators import search
+
+    written = []
+    plain = search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, label: written.append(label) or plain(df, label))
+    # No choice of even weights fills an odd capacity, so bounds prune little.
+    made = {i: (1001 + 2 * i, [(2 * w, 2 * w) for w in range(50 + i, 62 + i)]) for i in range(6)}
+    result = select_best_subset(*tables(spark, made), small_frontier=small_frontier)
+    assert result.rounds > 0
+    assert written.count("known") == result.rounds
+    check(result, made, "max")
